@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,20 @@ from pyspark.sql import functions as F
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session, so that they need no path of their own."""
+    context = spark.sparkContext
+    if getattr(context, "_lantern_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="lantern-"), "lantern.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    context.addPyFile(archive)
+    context._lantern_shipped = True
+
+
 def workspace(spark: SparkSession) -> str:
     """A fresh folder below the shared folder of ``spark.checkpoint.dir``.
 
@@ -49,4 +66,5 @@ def ascii_lower(c: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)

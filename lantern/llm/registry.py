@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lantern.llm import sentencepiece_codec, url_filter
+from lantern.llm import mixing, sentencepiece_codec, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_url_filter": url_filter.query,
         "op6_sentencepiece": sentencepiece_codec.query,
+        "op7_warc": warc.query,
+        "op8_mixing": mixing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": url_filter.oracle()}
+    return {"op4_url_filter": url_filter.oracle(), "op7_warc": warc.oracle()}
