@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lantern.llm.common import WORD, small_or_plain, table, workspace, written
 
 WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
-BLOCK, SHARD, SEED = 32, 8_000_000, 17
+BLOCK, SHARD, SEED = 32, 1_000_000, 17
 #: Sources or shards up to which their table is broadcast; beyond, the join is shuffled.
 BROADCAST_ROWS = 20_000
 #: A prime above any number of blocks in a shard, so that multiplying by it permutes them.
