@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lantern.llm import mixing, sentencepiece_codec, url_filter, warc
+from lantern.llm import fingerprints, html_extract, mixing, sentencepiece_codec, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extract": html_extract.query,
         "op4_url_filter": url_filter.query,
         "op6_sentencepiece": sentencepiece_codec.query,
         "op7_warc": warc.query,
         "op8_mixing": mixing.query,
+        "op9_fingerprints": fingerprints.query,
+        "op10_toxicity": toxicity.query,
     }
 
 
