@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lantern.llm import fingerprints, html_extract, mixing, sentencepiece_codec, toxicity, url_filter, warc
+from lantern.llm import fingerprints, html_extract, mixing, near_dedup, quality_rules, sentencepiece_codec, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extract": html_extract.query,
+        "op2_near_dedup": near_dedup.query,
+        "op3_quality_rules": quality_rules.query,
         "op4_url_filter": url_filter.query,
         "op6_sentencepiece": sentencepiece_codec.query,
         "op7_warc": warc.query,
