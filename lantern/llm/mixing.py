@@ -20,6 +20,8 @@ with the names of the outputs are replaced.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -129,3 +131,29 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of all ``documents`` takes of each."""
     sizes = sized(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
     return mix(sizes, sizes).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def cut(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
+    """``df`` with only the words of ``spans`` in ``text``: runs of neighbours as they stand, joined by line ends.
+
+    A text of which every word is taken stays as it is.
+    """
+
+    @F.pandas_udf("string")
+    def run(texts, parts):
+        out = []
+        for x, p in zip(texts, parts, strict=True):
+            words = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", x or "")]
+            runs: list[list[int]] = []
+            for s in p if words else ():
+                if runs and runs[-1][1] == s["start"]:
+                    runs[-1][1] = s["end"]
+                else:
+                    runs.append([s["start"], s["end"]])
+            out.append("\n".join(x[words[a][0] : words[b - 1][1]] for a, b in runs))
+        return texts.__class__(out, dtype=object)
+
+    words = F.aggregate(F.col(spans), F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    part = words < F.col("size")
+    # a text that stays does not go through Python
+    return df.withColumn(text, F.when(part, run(F.when(part, F.col(text)), F.when(part, F.col(spans)).otherwise(F.array().cast(df.schema[spans].dataType)))).otherwise(F.col(text)))
