@@ -32,7 +32,7 @@ def _own(tables: Tables, id: int, caller: Caller):
 def create(tables: Tables, events: DataFrame, caller: Caller, now: Column) -> Tables:
     """Adds valid ``events`` (with a ``venue`` struct) as pending ones of the caller; venues are reused or created."""
     fields = tables["venues"].columns[1:]
-    flat = events.drop("venue", "id").select("*", *(F.col(f"venue.{f}").alias(f) for f in fields))
+    flat = events.drop("id").select("*", *(F.col(f"venue.{f}").alias(f) for f in fields)).drop("venue")
     venues, rows = m.get_or_create(tables["venues"], flat)
     own = [c for c in rows.columns if c not in fields]
     rows = rows.select(*own).withColumns({"status": F.lit("PENDING"), "createdById": F.lit(caller.id), "createdAt": now, "rejectionReason": F.lit(None).cast("string"), "moderatedById": F.lit(None).cast("int")})

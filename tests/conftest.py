@@ -1,0 +1,69 @@
+import datetime as dt
+import os
+import sys
+from decimal import Decimal
+from pathlib import Path
+
+import pytest
+
+ROOT = str(Path(__file__).resolve().parent.parent)
+sys.path.insert(0, ROOT)
+# the Python workers of local mode find the package as the tests do
+os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
+
+from pyspark.sql import SparkSession  # noqa: E402
+
+from lantern.sources.schema import inline  # noqa: E402
+
+YEAR = 2030
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    session = (
+        SparkSession.builder.master("local[4]")
+        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.ui.enabled", "false")
+        .config("spark.driver.memory", "4g")
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}")
+        .getOrCreate()
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
+
+
+def event(id, **more):
+    base = {
+        "id": id, "title": f"Sortie {id}", "description": "Une description.", "isFree": False, "price": Decimal("7"), "isPermanent": False,
+        "dateStart": dt.date(YEAR, 1, 1), "dateEnd": dt.date(YEAR, 12, 31), "openTime": "10:00", "closeTime": "18:00", "setting": "BOTH", "status": "APPROVED",
+        "createdAt": dt.datetime(YEAR, 1, 1, 0, id % 60), "venueId": 1, "categoryId": 1, "createdById": 3, "moderatedById": 2,
+    }
+    return base | more
+
+
+@pytest.fixture(scope="session")
+def tables(spark):
+    now = dt.datetime(YEAR, 1, 1)
+    user = lambda i, role: {"id": i, "email": f"{role.lower()}@example.test", "passwordHash": "x", "displayName": f"{'ÉeZ'[i - 1]} {role}", "role": role, "createdAt": now}
+    rows = {
+        "users": [user(1, "ADMIN"), user(2, "MODERATOR"), user(3, "USER")],
+        "categories": [{"id": i, "name": n, "createdAt": now} for i, n in enumerate(["Parc", "Musée", "Sport", "Théâtre", "Autre"], 1)],
+        "venues": [
+            {"id": i, "name": f"Lieu {i}", "address": "1 rue", "city": "Ville", "postalCode": "75000", "lat": Decimal(lat), "lng": Decimal(lng)}
+            for i, lat, lng in ((1, "48.877778", "2.263056"), (2, "48.895651", "2.387950"), (3, "48.771389", "2.297222"), (4, "48.774722", "1.949444"))
+        ],
+        "events": [
+            event(1, title="A Jardin", ageMin=2, ageMax=12),
+            event(2, title="B Sciences", price=Decimal("15"), ageMin=2, ageMax=7, setting="INDOOR", categoryId=2, venueId=2),
+            event(3, title="C Étang", isFree=True, price=None, ageMin=3, ageMax=14, dateStart=dt.date(YEAR, 4, 1), dateEnd=dt.date(YEAR, 10, 31), setting="OUTDOOR", venueId=3),
+            event(4, title="D Aventure", price=Decimal("22"), ageMin=4, ageMax=15, dateStart=dt.date(YEAR, 4, 5), dateEnd=dt.date(YEAR, 11, 2), setting="OUTDOOR", categoryId=3, venueId=4),
+        ],
+        "api_keys": [
+            {"id": 1, "name": "used", "keyHash": "a", "createdAt": now, "lastUsedAt": now, "userId": 2},
+            {"id": 2, "name": "revoked", "keyHash": "b", "createdAt": now, "revokedAt": now, "userId": 3},
+            {"id": 3, "name": "never", "keyHash": "c", "createdAt": now, "userId": 1},
+        ],
+    }
+    return {n: inline(spark, n, r) for n, r in rows.items()}

@@ -1,0 +1,36 @@
+import math
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from lantern import driver
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def value(x):
+    return round(x, 6) if isinstance(x, float) and not math.isnan(x) else x
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no driver tables here")
+@pytest.mark.parametrize("name", list(driver.queries()))
+def test_same_rows_as_sql(spark, name):
+    db = duckdb.connect()
+    db.execute("SET timezone = 'UTC'")
+    for file in os.listdir(FOLDER):
+        db.execute(f"CREATE VIEW {file.split('.')[0]} AS SELECT * FROM '{FOLDER}/{file}'")
+    df = driver.queries()[name](spark, FOLDER)
+    asked = db.execute(driver.oracle_sql()[name])
+    columns = [x[0] for x in asked.description]
+    assert sorted(df.columns) == sorted(columns)
+    at = [columns.index(c) for c in df.columns]
+    want = sorted(repr(tuple(value(r[i]) for i in at)) for r in asked.fetchall())
+    assert sorted(repr(tuple(map(value, r))) for r in df.collect()) == want
+
+
+def test_entry_has_all_of_the_driver(spark):
+    assert set(driver.queries()) <= set(entry.queries()) and set(driver.oracle_sql()) <= set(entry.oracle_sql())
+    if os.path.isdir(FOLDER):
+        assert entry.entry(spark).count() > 0
