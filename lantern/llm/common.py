@@ -1,4 +1,7 @@
-"""What the operators share: the shared work folder, written tables, and small Column helpers."""
+"""What the operators share: the shared work folder, written tables, and small Column helpers.
+
+Inside, the operators name their own columns with a leading underscore; such names are theirs alone.
+"""
 
 from __future__ import annotations
 

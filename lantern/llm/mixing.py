@@ -89,12 +89,12 @@ def mix(df: DataFrame, sizes: DataFrame, id: str = "doc_id", block: int = BLOCK,
     known = known.withColumn("seats", F.round(F.sum("target").over(Window.partitionBy()) / block).cast("long"))
     known = apportion(known, "target", "seats", ["source"], [], "quota")
     known = known.withColumn("_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard)).cast("long"))
-    known = known.select(F.col("source").alias("_source"), "source_size", "target", "quota", "_shards")
+    known = known.select(F.col("source").alias("_source"), "source_size", "target", F.col("quota").alias("_quota"), "_shards")
     known = written(known, workspace(df.sparkSession), "sources")
     by_source = small_or_plain(known, BROADCAST_ROWS)
 
     placed = deal(sizes.join(by_source, sizes["source"].eqNullSafe(by_source["_source"])))
-    shards = placed.groupBy("source", "_shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("quota"))
+    shards = placed.groupBy("source", "_shard").agg(F.sum("size").alias("shard_size"), F.first("_quota").alias("quota"))
     shards = apportion(shards.withColumnRenamed("_shard", "shard"), "shard_size", "quota", ["source", "shard"], ["source"], "blocks")
     blocks = F.ceil(F.col("shard_size") / block).cast("long")
     shards = shards.select(F.col("source").alias("_in"), F.col("shard").alias("_part"), blocks.alias("_n"), F.least("blocks", F.lit(how.get("repeats", REPEATS)) * blocks).alias("_q"))
@@ -118,7 +118,7 @@ def mix(df: DataFrame, sizes: DataFrame, id: str = "doc_id", block: int = BLOCK,
     spans = F.when(F.col("size") > 0, F.filter(F.transform(covered, span), lambda x: x["times"] > 0)).otherwise(F.array())
     rows = rows.withColumn("spans", spans)
     taken = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + (x["end"] - x["start"]) * x["times"])
-    return rows.withColumn("taken", taken).drop("_source", "quota", "_shards", "_shard", "_in", "_part", "_n", "_q", "_start", "_end")
+    return rows.withColumn("taken", taken).drop("_source", "_quota", "_shards", "_shard", "_in", "_part", "_n", "_q", "_start", "_end")
 
 
 def sized(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
