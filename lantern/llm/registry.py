@@ -24,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": url_filter.oracle(), "op7_warc": warc.oracle()}
+    return {"op2_near_dedup": near_dedup.oracle(), "op4_url_filter": url_filter.oracle(), "op7_warc": warc.oracle()}
