@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lantern.llm import fingerprints, html_extract, mixing, near_dedup, quality_rules, sentencepiece_codec, toxicity, url_filter, warc
+from lantern.llm import fingerprints, html_extract, mixing, near_dedup, quality_rules, sentencepiece_codec, token_counts, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_near_dedup": near_dedup.query,
         "op3_quality_rules": quality_rules.query,
         "op4_url_filter": url_filter.query,
+        "op5_token_counts": token_counts.query,
         "op6_sentencepiece": sentencepiece_codec.query,
         "op7_warc": warc.query,
         "op8_mixing": mixing.query,
