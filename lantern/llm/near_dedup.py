@@ -15,7 +15,8 @@ classes are the connected components of the links.
    ``LARGE`` nodes are candidates; a node beside a larger component is asked about it as a whole, and
    compared set by set with all its nodes, in blocks of both, of which only links leave. Where a region of
    the first depth was split, its nodes are asked about all larger components there, and those of small
-   components, while there are at most ``LEFT`` of them, are compared as in other regions.
+   components are compared as in other regions; over ``LEFT`` of them are dealt into blocks by a hash, and
+   each pair of blocks is compared by itself.
 5. Pairs with less than ``ENOUGH`` equal values go no further: a pair at 0.8 falls below that by 5 standard
    deviations. Nothing else is left out. That two nodes at 0.8 share no region at all has a chance of a few
    in a million; for more alike ones it is far smaller.
@@ -44,6 +45,8 @@ from lantern.llm.common import remove, ship, small_or_plain, table, workspace, w
 VALUES, ORDERS, DEPTH, LEVELS, REGION, LARGE, LEFT = 128, 32, 4, (8, 12, 16), 128, 32, 1024
 #: Nodes of a component, and nodes asked about it, that one task compares.
 BLOCK = 512
+#: A row is compared with every other of its key, or only with those of the other side.
+ANY, LOWER, UPPER = 0, 1, 2
 #: Equal values that a candidate needs: 128 * 0.8 less 5 standard deviations.
 ENOUGH = 80
 PERCENT = 80
@@ -247,21 +250,21 @@ def placed(rows: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def across(rows: DataFrame) -> DataFrame:
-    """``a, b, asks`` of ``rows`` (``placed``) alike in one region but of two components, with enough equal values.
+    """``a, b, asks`` of ``rows`` (``placed``, with ``side``) alike in one region but of two components, with enough equal values.
 
     Between small components they are nodes ``a < b``; else ``a`` is a node and ``b`` the larger component.
     """
     several = rows.groupBy(F.col("key").alias("_key")).agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("_n"))
     # two nodes are neighbours, which the first round has judged
     several = several.where("_low <> _high AND _n > 2").select("_key")
-    rows = rows.join(several, rows["key"] == several["_key"]).select("key", "id", "sig", "component", "size")
+    rows = rows.join(several, rows["key"] == several["_key"]).select("key", "id", "sig", "component", "size", "side")
 
-    def found(key, id, sig, component, size):
+    def found(key, id, sig, component, size, side):
         bounds = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         for i, j in zip(bounds, bounds[1:], strict=False):
             x, y = np.triu_indices(j - i, 1)
             x, y = x + i, y + i
-            apart = component[x] != component[y]
+            apart = (component[x] != component[y]) & ((side[x] == ANY) | (side[x] != side[y]))
             x, y = x[apart], y[apart]
             pairs = []
             for k in range(0, len(x), 4096):
@@ -283,8 +286,8 @@ def across(rows: DataFrame) -> DataFrame:
             if batch is not None:
                 if not batch.num_rows:
                     continue
-                key, id, component, size = (batch.column(i).to_numpy() for i in (0, 1, 3, 4))
-                now = [key, id, np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, VALUES), component, size]
+                key, id, component, size, side = (batch.column(i).to_numpy() for i in (0, 1, 3, 4, 5))
+                now = [key, id, np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, VALUES), component, size, side]
                 held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
                 cut = int(np.flatnonzero(held[0] != held[0][-1])[-1]) + 1 if (held[0] != held[0][-1]).any() else 0
             else:
@@ -334,14 +337,21 @@ def linked(pairs: DataFrame, df: DataFrame, id: str, text: str, width: int, fold
     return both.where(100 * common >= PERCENT * every).select("a", "b").distinct()
 
 
-def apart(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of ``rows`` (``placed``) in regions that were split: questions ``id, big``, and the rows of small components."""
+def apart(rows: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Of ``rows`` (``placed``) in regions that were split: questions ``id, big``, and the rows of small components, by blocks."""
     large = rows.where(F.col("size") > LARGE).select(F.col("key").alias("_key"), F.col("component").alias("big"), F.col("size").alias("big_size")).distinct()
     lower = (F.col("size") < F.col("big_size")) | (F.col("size") == F.col("big_size")) & (F.col("component") > F.col("big"))
     asks = rows.join(large, F.col("key") == F.col("_key")).where((F.col("component") != F.col("big")) & lower).select("id", "big").distinct()
     few = rows.where(F.col("size") <= LARGE)
-    counts = few.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n").between(2, LEFT))
-    return asks, few.join(counts, F.col("key") == F.col("_key"), "left_semi")
+    counts = few.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    few = few.join(small_or_plain(written(counts, folder, "left"), BROADCAST_ROWS), F.col("key") == F.col("_key")).drop("_key")
+    # two blocks together are about LEFT nodes; each pair of blocks has a key of its own
+    parts = F.when(F.col("_n") > LEFT, F.ceil(2 * F.col("_n") / LEFT)).otherwise(1).cast("long")
+    dealt = few.withColumn("_parts", parts).withColumn("_part", F.pmod(F.xxhash64(F.lit("left"), "id"), F.col("_parts")))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+    key = F.when(F.col("_parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("_part", "_other"), F.greatest("_part", "_other")))
+    side = F.when(F.col("_part") == F.col("_other"), ANY).when(F.col("_part") < F.col("_other"), LOWER).otherwise(UPPER)
+    return asks, dealt.select(key.alias("key"), "id", "sig", "component", "size", side.alias("side"))
 
 
 def answered(asks: DataFrame, known: DataFrame, df: DataFrame, id: str, text: str, width: int, folder: str) -> DataFrame:
@@ -430,10 +440,10 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width
 
     first = links(written(neighbours(regions), folder, "near_pairs"), "near")
     known = written(components(first, folder, "near_stars"), folder, "known")
-    rest, asks = placed(regions.drop("place"), known), None
+    rest, asks = placed(regions.drop("place"), known).withColumn("side", F.lit(ANY)), None
     hot = spark.read.parquet(f"{folder}/open_key").select("key", "id", "sig")
     if not hot.isEmpty():
-        asks, few = apart(written(placed(hot, known), folder, "hot"))
+        asks, few = apart(written(placed(hot, known), folder, "hot"), folder)
         # the key of a whole region differs from those of its parts
         rest = rest.unionByName(few)
     found = written(across(rest), folder, "across")

@@ -49,6 +49,20 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
     assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 2) == brute(rows, 2)
 
 
+def test_links_inside_a_large_family_of_unlike_texts(spark, monkeypatch):
+    """400 texts at 0.71 to each other, 100 of them with a partner at 0.81: more small nodes in a split region than ``LEFT``."""
+    base = [f"base{k}" for k in range(80)]
+    rows = []
+    for i in range(400):
+        own = [f"own{i - 300 if i >= 300 and k < 6 else i}x{k}" for k in range(16)]
+        rows.append((i, " ".join(base + own)))
+    for name, value in (("REGION", 8), ("LARGE", 4), ("LEFT", 32)):
+        monkeypatch.setattr(x, name, value)
+    got = found(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 1)
+    assert sum(got[i][1] == i - 300 for i in range(300, 400)) == 100
+    assert got == brute(rows, 1)
+
+
 def test_edges(spark):
     long = " ".join(f"x{k}" for k in range(60_000))
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One"), (5, "one"), (6, "ÉTÉ"), (7, "été"), (8, "a b"), (8, "a b"), (None, "A b"), (9, long), (10, long + " y"), (11, "a\x0bb"), (12, "a\u00a0b")]
