@@ -45,8 +45,9 @@ from lantern.llm.common import remove, ship, small_or_plain, table, workspace, w
 VALUES, ORDERS, DEPTH, LEVELS, REGION, LARGE, LEFT = 128, 32, 4, (8, 12, 16), 128, 32, 1024
 #: Nodes of a component, and nodes asked about it, that one task compares.
 BLOCK = 512
-#: A row is compared with every other of its key, or only with those of the other side.
-ANY, LOWER, UPPER = 0, 1, 2
+#: A row is compared with every other of its key, or only with those of the other side. Those of a ``REGION`` have
+#: been in the first round as well.
+MET, ANY, LOWER, UPPER = 0, 1, 2, 3
 #: Equal values that a candidate needs: 128 * 0.8 less 5 standard deviations.
 ENOUGH = 80
 PERCENT = 80
@@ -254,9 +255,9 @@ def across(rows: DataFrame) -> DataFrame:
 
     Between small components they are nodes ``a < b``; else ``a`` is a node and ``b`` the larger component.
     """
-    several = rows.groupBy(F.col("key").alias("_key")).agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("_n"))
-    # two nodes are neighbours, which the first round has judged
-    several = several.where("_low <> _high AND _n > 2").select("_key")
+    several = rows.groupBy(F.col("key").alias("_key")).agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("_n"), F.max("side").alias("_side"))
+    # two nodes of a region are neighbours, which the first round has judged; two that are left of a split one need not be
+    several = several.where((F.col("_low") != F.col("_high")) & ((F.col("_n") > 2) | (F.col("_side") != MET))).select("_key")
     rows = rows.join(several, rows["key"] == several["_key"]).select("key", "id", "sig", "component", "size", "side")
 
     def found(key, id, sig, component, size, side):
@@ -264,7 +265,7 @@ def across(rows: DataFrame) -> DataFrame:
         for i, j in zip(bounds, bounds[1:], strict=False):
             x, y = np.triu_indices(j - i, 1)
             x, y = x + i, y + i
-            apart = (component[x] != component[y]) & ((side[x] == ANY) | (side[x] != side[y]))
+            apart = (component[x] != component[y]) & ((side[x] <= ANY) | (side[x] != side[y]))
             x, y = x[apart], y[apart]
             pairs = []
             for k in range(0, len(x), 4096):
@@ -440,7 +441,7 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width
 
     first = links(written(neighbours(regions), folder, "near_pairs"), "near")
     known = written(components(first, folder, "near_stars"), folder, "known")
-    rest, asks = placed(regions.drop("place"), known).withColumn("side", F.lit(ANY)), None
+    rest, asks = placed(regions.drop("place"), known).withColumn("side", F.lit(MET)), None
     hot = spark.read.parquet(f"{folder}/open_key").select("key", "id", "sig")
     if not hot.isEmpty():
         asks, few = apart(written(placed(hot, known), folder, "hot"), folder)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from lantern.llm import near_dedup as x
@@ -63,6 +64,22 @@ def test_links_inside_a_large_family_of_unlike_texts(spark, monkeypatch):
     assert got == brute(rows, 1)
 
 
+def test_two_linked_texts_beside_large_families(spark, tmp_path, monkeypatch):
+    """Two nodes left of a split region, whose sub-regions were others: nothing has judged them yet."""
+    monkeypatch.setattr(x, "LARGE", 4)
+    texts = [(i, 100 * (i // 10), 10, [f"base{k}" for k in range(80)] + [f"family{i // 10}x{k}" for k in range(18)] + [f"own{i}"]) for i in range(100, 150)]
+    linked = [f"base{k}" for k in range(80)] + [f"shared{k}" for k in range(16)]
+    texts += [(1, 1, 1, [*linked, "one"]), (2, 2, 1, [*linked, "two"])]
+    rows = []
+    for id, component, size, words in texts:
+        text = " ".join(words).encode()
+        sig = x.signature(x.shingle_sets(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 1)[0])
+        rows.append((7, id, sig.astype(np.uint8).tobytes(), component, size))
+    few = x.apart(spark.createDataFrame(rows, "key long, id long, sig binary, component long, size int"), str(tmp_path))[1]
+    assert [r["id"] for r in few.orderBy("id").collect()] == [1, 2]
+    assert [tuple(r) for r in x.across(few).collect()] == [(1, 2, False)]
+
+
 def test_edges(spark):
     long = " ".join(f"x{k}" for k in range(60_000))
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One"), (5, "one"), (6, "ÉTÉ"), (7, "été"), (8, "a b"), (8, "a b"), (None, "A b"), (9, long), (10, long + " y"), (11, "a\x0bb"), (12, "a\u00a0b")]
