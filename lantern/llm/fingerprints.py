@@ -2,11 +2,13 @@
 
 A k-mer of code points is an anchor if, of its inner s-mers, the first or the last has the smallest hash.
 That depends on the k-mer alone, so a passage has the same anchors wherever it stands, and any change
-moves only the anchors that overlap it. The fingerprint of a text is its ``KEEP`` distinct anchors of
-smallest hash (all, if there are fewer), in text order, each as 16 hex digits: position, then hash. It is
-a sample of the whole text, of bounded size. A text that has no anchor, being too short or unlucky, is one
-anchor itself, at position 0. ``likeness`` estimates the share of common anchors among all of two texts
-from the smallest hashes of both together; ``matches`` pairs the common anchors' positions.
+moves only the anchors that overlap it. The anchors of a text are all of them, in text order, each as 16 hex
+digits: position, then hash; they grow with the text, so that ``matches``, which pairs the positions of
+common anchors, finds a passage in texts of any length. The fingerprint of a text is its ``KEEP`` distinct
+anchors of smallest hash (all, if there are fewer), at their first positions, spelled likewise: a sample of
+the whole text, of bounded size, from which ``likeness`` estimates the share of common anchors among all of
+two texts by the smallest hashes of both together. A text that has no anchor, being too short or unlucky, is
+one anchor itself, at position 0.
 
 ``with_next`` gives each row the following row in an order over the whole table, without sorting it into
 one task: quantiles of the ids cut the table into buckets, each bucket's first row is dealt to the bucket
@@ -55,8 +57,8 @@ def _runs(points: np.ndarray, size: int) -> np.ndarray:
     return _mixed(h) if step == size else h[:0]
 
 
-def anchors(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Positions and 32-bit hashes of each text's kept anchors, in text order."""
+def every_anchor(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Positions and 32-bit hashes of all of each text's anchors, in text order."""
     points = [np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in texts]
     every = np.concatenate(points) if points else np.zeros(0, np.uint32)
     ends = np.cumsum([len(p) for p in points])
@@ -74,22 +76,28 @@ def anchors(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     inside = at + K <= ends[doc] if len(at) else np.zeros(0, bool)
     at, doc = at[inside], doc[inside]
     hashes = (outer[at] >> np.uint64(32)).astype(np.uint32)
-    order = np.lexsort((at, hashes, doc))
-    at, doc, hashes = at[order], doc[order], hashes[order]
-    first = np.ones(len(at), bool)
-    first[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
-    at, doc, hashes = at[first], doc[first], hashes[first]
     cuts = np.searchsorted(doc, np.arange(len(texts) + 1))
     found = []
     for i, text in enumerate(texts):
-        p, h = at[cuts[i] : cuts[i + 1]][:KEEP] - starts[i], hashes[cuts[i] : cuts[i + 1]][:KEEP]
+        p, h = at[cuts[i] : cuts[i + 1]] - starts[i], hashes[cuts[i] : cuts[i + 1]]
         if not len(p) and text:
             p, h = np.zeros(1, np.int64), np.frombuffer(hashlib.sha256(text.encode()).digest()[:4], np.uint32)
-        order = np.argsort(p, kind="stable")
-        found.append((p[order], h[order]))
+        found.append((p, h))
     return found
 
 
+def sampled(anchor: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The ``KEEP`` distinct ones of smallest hash of a text's anchors, in text order."""
+    _, first = np.unique(anchor[1], return_index=True)
+    kept = np.sort(first[:KEEP])
+    return anchor[0][kept], anchor[1][kept]
+
+
+def anchors(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Positions and hashes of each text's sampled anchors, in text order."""
+    return [sampled(a) for a in every_anchor(texts)]
+
+
 def spelled(anchor: tuple[np.ndarray, np.ndarray]) -> str:
     return np.stack(anchor, axis=1).astype(">u4").tobytes().hex()
 
@@ -108,14 +116,14 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def matches(a: str, b: str) -> list[tuple[int, int]]:
-    """Positions in two texts of the anchors that their fingerprints share."""
+    """Positions of each anchor of one text (spelled) that another has, and where that one has it first."""
     (p, h), (q, g) = unspelled(a), unspelled(b)
-    where = dict(zip(g.tolist(), q.tolist(), strict=True))
+    where = dict(zip(g[::-1].tolist(), q[::-1].tolist(), strict=True))
     return [(i, where[x]) for i, x in zip(p.tolist(), h.tolist(), strict=True) if x in where]
 
 
 def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
-    """``df`` with the fingerprint of each whole text."""
+    """``df`` with the fingerprint (the sample) of each whole text."""
 
     @F.pandas_udf("string")
     def run(column):
@@ -187,14 +195,15 @@ def edited(text: str, after: str) -> str:
 
 
 def compared(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: fingerprints of its text and of its edited text, and their likeness; likeness to the next text."""
-    schema = f"{id} long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    """Per row: fingerprints of its text and of its edited text, and their likeness; likeness to the next text; all anchors of both."""
+    schema = f"{id} long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, anchors string, edited_anchors string"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def part(rows: list[tuple[int | None, str, str]]) -> pa.RecordBatch:
             texts, changed = [t for _, t, _ in rows], [edited(t, a) for _, t, a in rows]
-            found = anchors([*texts, rows[-1][2], *changed])
+            whole = every_anchor([*texts, rows[-1][2], *changed])
+            found = [sampled(a) for a in whole]
             own, new = found[: len(rows) + 1], found[len(rows) + 1 :]
             columns = [
                 [i for i, _, _ in rows],
@@ -204,8 +213,10 @@ def compared(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
                 [spelled(a) for a in new],
                 [likeness(a[1], b[1]) for a, b in zip(own, new, strict=False)],
                 [likeness(a[1], b[1]) for a, b in itertools.pairwise(own)],
+                [spelled(a) for a in whole[: len(rows)]],
+                [spelled(a) for a in whole[len(rows) + 1 :]],
             ]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.string()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
         rows, size = [], 0
@@ -222,5 +233,5 @@ def compared(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of all ``documents`` and of their edited texts."""
+    """Fingerprints and all anchors of all ``documents`` and of their edited texts."""
     return compared(table(spark, sf_dir, "documents", "doc_id", "text"))

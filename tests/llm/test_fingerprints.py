@@ -38,6 +38,19 @@ def test_context_free_and_sampled():
     assert [u.tolist() for u in x.unspelled(x.spelled(many))] == [many[0].tolist(), many[1].tolist()]
 
 
+def test_a_passage_is_found_in_long_texts(spark):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(5000)]
+    passage = " ".join(rng.choices(words, k=60))
+    a, b = (" ".join(rng.choices(words, k=20_000)) for _ in range(2))
+    one, two = f"{a[:70_001]} {passage} {a[70_001:]}", f"{b[:9_000]} {passage} {b[9_000:]}"
+    df = spark.createDataFrame([(2, one), (1, two)], "doc_id long, text string")
+    got = {r["doc_id"]: r.asDict() for r in x.compared(df).collect()}
+    pairs = x.matches(*(got[i].get("anchors", got[i]["fingerprint"]) for i in (2, 1)))
+    assert sum(i - j == 70_001 - 9_000 for i, j in pairs) >= 50
+    assert x.unspelled(got[2]["anchors"])[0].tolist() == brute_positions(one[:3000])[:400] + x.unspelled(got[2]["anchors"])[0].tolist()[400:]
+
+
 def test_table_order_and_edits(spark):
     df = documents(spark).select("doc_id", "text").repartition(5)
     order = sorted(df.collect(), key=lambda r: -r["doc_id"])
