@@ -3,10 +3,12 @@
 The standard library's parser streams a page as events. Block elements end a line; each line has its text,
 its tags and the element it stands in. The text-to-tag ratios of the lines are smoothed by a Gaussian and
 split by a threshold into content and other lines. The content region is the smallest container that
-has nearly all text of the content lines; an ``article`` or ``main`` element is not divided further. All of
-the region's lines are the main text, short ones included, but for those in elements that name themselves
-something else: by tag (``nav``, ``form``, ``script``...), role, or a word of class or id (``sidebar``,
-``cookie``, ``comments``...). A heading in the header of an article stays.
+has all content lines, the headings right before them and the page's ``h1``; an ``article`` or ``main`` element
+is not divided further. All of the region's lines are the main text, short ones included, but for those in
+elements that name themselves something else: by tag (``nav``, ``form``, ``script``...), role, or a word of class
+or id (``sidebar``, ``cookie``, ``comments``..., but not ``has-sidebar`` or ``no-comments``). Words do not count
+on an ``article``, nor on an element with most of the page's text, if no article or main has text beside it. A
+heading in the header of an article stays.
 
 Each page is parsed by itself in the task that reads it, so there is no shuffle, and memory is that of one
 page and its lines beside the batch.
@@ -30,9 +32,9 @@ from pyspark.sql import types as T
 
 from lantern.llm.common import table
 
-#: Share of the content lines' text that a container needs to be the region; deviation of the Gaussian in lines;
+#: Share of the page's text with which an element's words do not count; deviation of the Gaussian in lines;
 #: part of the smoothed ratios' standard deviation that is the threshold.
-SHARE, SIGMA, LEVEL = 0.8, 1.0, 0.5
+MOST, SIGMA, LEVEL = 0.5, 1.0, 0.5
 #: Pages that go through Python at once.
 SLICE_ROWS = 256
 
@@ -51,6 +53,8 @@ APART_WORDS = set(
     "promotion recommended recommendations related replies reply respond search share sharing sidebar signup sitemap social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
 HEADER_WORDS = {"header"}
+#: Words of a class or id that tell what an element has, not what it is.
+STATES = re.compile(r"\b(?:has|have|no|not|with|without|hide)[-_][\w-]+")
 #: A start tag of the first closes an open one of the second.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 CLOSES |= {t: {"p"} for t in BLOCK - CLOSES.keys() - {"html", "body", "option", "optgroup", "caption", "tbody", "thead", "tfoot"}}
@@ -61,8 +65,12 @@ MAIN, HEADER, APART = 0, 1, 2
 class Lines(HTMLParser):
     """Elements by number (0 is the page) and the lines of text in them."""
 
-    def __init__(self):
+    def __init__(self, trusted: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
+        self.trusted = trusted
+        #: By element: apart without regard to words, and characters before and in those that words set apart.
+        self.plain, self.since, self.named = [MAIN], {}, {}
+        self.chars, self.whole = 0, 0
         self.parent, self.tag, self.zone = [0], ["html"], [MAIN]
         self.stack, self.open = [0], {}
         self.lines: list[tuple[int, str, int, bool]] = []
@@ -97,12 +105,14 @@ class Lines(HTMLParser):
         above = self.stack[-1]
         self.parent.append(above)
         self.tag.append(tag)
-        self.zone.append(max(self.zone[above], self.own_zone(tag, dict(attrs))))
-        self.stack.append(len(self.tag) - 1)
+        own, number = self.own_zone(tag, dict(attrs), len(self.tag) - 1), len(self.tag) - 1
+        self.zone.append(max(self.zone[above], own))
+        self.plain.append(max(self.plain[above], MAIN if number in self.since else own))
+        self.stack.append(number)
         self.open[tag] = self.open.get(tag, 0) + 1
         self.heading += tag in HEADING
 
-    def own_zone(self, tag: str, attrs: dict[str, str | None]) -> int:
+    def own_zone(self, tag: str, attrs: dict[str, str | None], number: int) -> int:
         if tag in APART_TAGS:
             return APART
         in_article = any(self.open.get(t) for t in WHOLE)
@@ -113,9 +123,12 @@ class Lines(HTMLParser):
         style = re.sub(r"\s", "", attrs.get("style") or "").lower()
         if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in style or (attrs.get("role") or "").lower() in APART_ROLES:
             return APART
-        named = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
+        if tag in WHOLE or number in self.trusted:
+            return MAIN
+        named = STATES.sub(" ", f"{attrs.get('class') or ''} {attrs.get('id') or ''}")
         words = set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", named).lower())) if named != " " else set()
         if words & APART_WORDS:
+            self.since[number] = self.chars
             return APART
         if words & HEADER_WORDS:
             return HEADER if in_article or tag in HEADING else APART
@@ -139,18 +152,28 @@ class Lines(HTMLParser):
         if tag in BLOCK:
             self.end_line()
         while True:
-            top = self.tag[self.stack.pop()]
+            number = self.stack.pop()
+            if number in self.since:
+                self.named[number] = self.chars - self.since[number]
+            top = self.tag[number]
             self.open[top] -= 1
             self.heading -= top in HEADING
             if top == tag:
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.plain[self.stack[-1]] != APART:
+            size = len(data.strip())
+            self.chars += size
+            if self.zone[self.stack[-1]] == MAIN and any(self.open.get(t) for t in WHOLE):
+                self.whole += size
         (self.aside if self.zone[self.stack[-1]] == APART else self.text).append(data)
 
     def close(self) -> None:
         super().close()
         self.end_line()
+        for i in self.since.keys() - self.named.keys():
+            self.named[i] = self.chars - self.since[i]
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -165,6 +188,10 @@ def main_text(html: str) -> str:
     page = Lines()
     page.feed(html)
     page.close()
+    if not page.whole and (most := frozenset(i for i, n in page.named.items() if n > MOST * page.chars)):
+        page = Lines(most)
+        page.feed(html)
+        page.close()
     if not page.lines:
         return ""
     at, text, tags, kept = zip(*page.lines, strict=True)
@@ -173,14 +200,21 @@ def main_text(html: str) -> str:
     content = (ratios >= LEVEL * ratios.std()) & np.array(kept)
     if not content.any():
         content = np.array(kept)
-    weight = np.zeros(len(page.tag))
-    np.add.at(weight, np.array(at)[content], chars[content])
+    first = int(content.argmax())
+    headings = [k for k in range(first) if kept[k] and page.tag[at[k]] in HEADING]
+    held = set(np.flatnonzero(content).tolist()) | {k for k in headings if page.tag[at[k]] == "h1"}
+    for k in range(first - 1, -1, -1):
+        if kept[k] and k not in headings:
+            break
+        held |= {k} & set(headings)
+    weight = np.zeros(len(page.tag), int)
+    np.add.at(weight, np.array(at)[sorted(held)], 1)
     for i in range(len(page.tag) - 1, 0, -1):
         weight[page.parent[i]] += weight[i]
     region = 0
     for i in range(1, len(page.tag)):
-        # with a share over one half, heavy containers stand in each other, the outer ones first
-        if page.tag[i] in CONTAINER and weight[i] >= SHARE * weight[0] > 0:
+        # containers that hold all of these lines stand in each other, the outer ones first
+        if page.tag[i] in CONTAINER and weight[i] == weight[0] > 0:
             region = i
             if page.tag[i] in WHOLE:
                 break

@@ -16,6 +16,18 @@ def test_main_text():
     assert x.main_text(body) == "T\nA long paragraph of content.\ns"
 
 
+def test_pages_without_one_plain_article():
+    long, short = "A long paragraph of content that goes on. " * 20, "Another paragraph of the same content, which is shorter. " * 3
+    long, short = long.strip(), short.strip()
+    assert x.main_text(f"<body><h1>T</h1><div>{long}</div></body>") == f"T\n{long}"
+    assert x.main_text(f"<body><nav>m</nav><div><div><p>{long}</p></div><div><p>{short}</p></div></div></body>") == f"{long}\n{short}"
+    assert x.main_text(f"<body><article><p>{long}</p></article><article><p>{short}</p></article></body>") == f"{long}\n{short}"
+    assert x.main_text(f"<body><article class='post has-sidebar'><p>{long}</p></article><p class='ad'>{short}</p></body>") == long
+    assert x.main_text(f"<body><div id='content' class='no-comments'><p>{long}</p></div><div class='comments'>{short}</div></body>") == long
+    assert x.main_text(f"<body><div class='social-post'><p>{long}</p></div><div class='comments'>{short}</div></body>") == long
+    assert x.main_text(f"<body><article><p>{short}</p></article><div class='comments'>{long}</div></body>") == short
+
+
 def test_smoothing_keeps_a_constant():
     import numpy as np
 
