@@ -3,18 +3,21 @@
 Writing is all expressions: a payload becomes an HTTP response in chunked transfer framing, a response
 block longer than ``SEGMENT`` bytes becomes a first record and continuation records that name it as their
 origin, and payloads of at least ``LEAST`` bytes that occur again become revisit records of the one with
-the smallest id. Every record ends in the two line ends that the format asks for, which are the separator
-of Spark's text sink, so each task writes one archive file, compressed as a whole.
+the smallest id. Every record is a gzip member of its own, so an archive can be read from any record on. A
+member ends in the size of its content, whose highest byte is 0 below 16 MB: that byte is the separator of
+Spark's text sink, which thus writes archives to any store, of ``ARCHIVE`` records at most.
 
-Reading takes each file through a streaming parser that holds one record at a time. Continuation records
-are grouped by the identifier of their origin (and the payload digest, so that repeated identifiers do not
-mix), ordered by segment number, and checked: numbers 1 to n without a gap, lengths adding up to the total
-that the last one states. Only records in segments are shuffled. The HTTP block is then unframed.
+Reading takes each file once through a streaming parser that holds one record at a time; the parsed records are
+a table. Continuation records are grouped by the identifier of their origin (and the payload digest, so that
+repeated identifiers do not mix), ordered by segment number, and checked: numbers 1 to n without a gap, lengths
+adding up to the total that the last one states. Only records in segments are shuffled. The HTTP block is then
+unframed. Framing and reassembly join their pieces once, in time in proportion to the payload.
 
 Defined results: a null payload is an empty one; a null id is written as an empty name and read as null;
-repeated rows are records of their own, and among equal payloads with the same smallest id all are
-responses; a group of segments that fails its check has ``complete`` false and a null payload; an empty
-table gives no records.
+repeated rows are records of their own, and among equal payloads with the same smallest id (a tie) all are
+responses; rows of one id with different payloads are told apart by their digests; a very long payload becomes
+as many segments as it takes; a group of segments that fails its check has ``complete`` false and a null
+payload; an empty table gives no records; columns of the input other than ``id``, ``uri`` and ``payload`` play no part.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from lantern.llm.common import remove, small_or_plain, table, workspace, written
 
 #: Bytes of a block in one record, bytes of a chunk, least bytes of a payload that is revisited.
 SEGMENT, CHUNK, LEAST = 32_768, 4_096, 100
+#: Records in an archive file.
+ARCHIVE = 8_192
 #: Repeated payloads up to which their table (80 bytes a row) is broadcast; beyond, the join is shuffled.
 BROADCAST_ROWS = 20_000
 URN = "urn:lantern:"
@@ -64,8 +69,35 @@ def chunked(data: Column) -> Column:
     """``data`` in chunked transfer framing, closed by an empty chunk."""
     bin = lambda c: c.cast("binary")
     frame = lambda x: F.concat(bin(F.lower(F.hex(F.octet_length(x)))), bin(F.lit(EOL)), x, bin(F.lit(EOL)))
-    framed = F.aggregate(F.transform(_cut(data, CHUNK), frame), bin(F.lit("")), lambda a, x: F.concat(a, x))
-    return F.concat(framed, bin(F.lit(f"0{EOL}{EOL}")))
+    return F.concat(_joined(F.transform(_cut(data, CHUNK), frame)), bin(F.lit(f"0{EOL}{EOL}")))
+
+
+def _joined(pieces: Column) -> Column:
+    """An array of binary pieces as one, joined byte by byte."""
+    return F.array_join(pieces.cast("array<string>"), "").cast("binary")
+
+
+#: A gzip member without content.
+NOTHING = zlib.compressobj(wbits=31).flush()
+
+
+def member(record: bytes) -> bytes:
+    """``record`` as a gzip member, without its last byte, which is 0."""
+    pack = zlib.compressobj(wbits=31)
+    out = pack.compress(record) + pack.flush()
+    return (out if out[-1] == 0 else out + NOTHING)[:-1]
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """``value``, a record, as ``member``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.column(0).slice(start, 256)
+                yield pa.RecordBatch.from_arrays([pa.array([member(x.as_py()) for x in part], pa.binary())], names=["value"])
+
+    return rows.mapInArrow(run, "value binary")
 
 
 def write(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z") -> None:
@@ -101,15 +133,16 @@ def write(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z") -> No
         _line("Content-Length", F.octet_length("part")),
         F.lit(EOL),
     )
-    record = F.concat(header.cast("binary"), F.col("part")).cast("string")
-    rows.select(record.alias("value")).write.option("lineSep", EOL * 2).option("compression", "gzip").text(path)
+    record = F.concat(header.cast("binary"), F.col("part"), F.lit(EOL * 2).cast("binary"))
+    members = packed(rows.select(record.alias("value"))).select(F.col("value").cast("string"))
+    members.write.option("lineSep", "\0").option("maxRecordsPerFile", ARCHIVE).text(path)
     remove(spark, seen)
 
 
 class Stream:
     """Bytes of an archive, plain or gzip (in one member or many), unpacked as they are asked for."""
 
-    def __init__(self, data: bytes, step: int = 1 << 18):
+    def __init__(self, data: bytes, step: int = 1 << 14):
         self.data, self.at, self.step, self.held = memoryview(data), 0, step, bytearray()
         self.unpack = zlib.decompressobj(31) if data[:2] == b"\x1f\x8b" else None
 
@@ -146,7 +179,8 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     while (head := stream.until((EOL * 2).encode())) is not None:
         lines = head.decode("utf-8", "replace").strip().split(EOL)
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        block = stream.take(int(fields.get("content-length", 0)))
+        size = fields.get("content-length", "")
+        block = stream.take(int(size) if size.isdecimal() else 0)
         stream.take(4)
         yield fields, block
 
@@ -154,23 +188,25 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 FIELDS = {"type": "warc-type", "record_id": "warc-record-id", "uri": "warc-target-uri", "refers_to": "warc-refers-to", "digest": "warc-payload-digest", "origin": "warc-segment-origin-id", "segment": "warc-segment-number", "total": "warc-segment-total-length"}
 
 
-def _parsed(spark: SparkSession, path: str, segmented: bool) -> DataFrame:
+def parsed(spark: SparkSession, path: str) -> DataFrame:
+    """The fields and the block of every record of the archives below ``path``."""
     schema = ", ".join(f"{k} string" for k in FIELDS) + ", block binary"
     names = [*FIELDS, "block"]
 
+    def batch(rows: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "block" else pa.string()) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
-        for batch in batches:
-            for data in batch.column(0):
-                for fields, block in records(data.as_py()):
-                    if ("warc-segment-number" in fields) == segmented:
-                        rows.append([*(fields.get(k) for k in FIELDS.values()), block])
-                        size += len(block) + 500
-                    if size > BATCH_BYTES:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "block" else pa.string()) for n, c in zip(names, zip(*rows), strict=True)], names=names)
-                        rows, size = [], 0
+        for data in (x for b in batches for x in b.column(0)):
+            for fields, block in records(data.as_py()):
+                rows.append([*(fields.get(k) for k in FIELDS.values()), block])
+                size += len(block) + 500
+                if size > BATCH_BYTES:
+                    yield batch(rows)
+                    rows, size = [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "block" else pa.string()) for n, c in zip(names, zip(*rows), strict=True)], names=names)
+            yield batch(rows)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
 
@@ -188,13 +224,12 @@ def reassembled(parts: DataFrame) -> DataFrame:
     length = F.aggregate("blocks", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x["block"]))
     ordered = F.transform("blocks", lambda x: x["n"]) == F.sequence(F.lit(1), F.size("blocks"))
     whole = whole.withColumn("complete", F.coalesce((length == F.col("total")) & ordered, F.lit(False)))
-    block = F.aggregate("blocks", F.lit("").cast("binary"), lambda a, x: F.concat(a, x["block"]))
-    whole = whole.withColumn("block", F.when(F.col("complete"), block)).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1)))))
+    whole = whole.withColumn("block", F.when(F.col("complete"), _joined(F.transform("blocks", lambda x: x["block"])))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1)))))
     return whole.select("type", F.col("origin").alias("record_id"), "uri", "refers_to", "digest", "complete", "block")
 
 
 def http_payload(block: bytes | None) -> bytes | None:
-    """The body of an HTTP message, out of its chunked framing if its header says so."""
+    """The body of an HTTP message, out of its chunked framing if its header says so; null if that is broken."""
     if block is None:
         return None
     head, found, body = block.partition(b"\r\n\r\n")
@@ -202,7 +237,10 @@ def http_payload(block: bytes | None) -> bytes | None:
         return body if found else block
     parts, at = [], 0
     while (end := body.find(b"\r\n", at)) >= 0:
-        size = int(body[at:end].split(b";")[0], 16)
+        size = body[at:end].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", size):
+            return None
+        size = int(size, 16)
         if not size:
             return b"".join(parts)
         parts.append(body[end + 2 : end + 2 + size])
@@ -210,11 +248,15 @@ def http_payload(block: bytes | None) -> bytes | None:
     return None
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the archives below ``path``: type, record_id, uri, refers_to, digest, complete, payload."""
-    single = _parsed(spark, path, False).withColumn("complete", F.lit(True))
+def read(spark: SparkSession, path: str, folder: str = "") -> DataFrame:
+    """Records of the archives below ``path``: type, record_id, uri, refers_to, digest, complete, payload.
+
+    The parsed records are written to ``folder``, or else to a fresh one below the shared folder.
+    """
     names = ["type", "record_id", "uri", "refers_to", "digest", "complete", "block"]
-    found = single.select(*names).unionByName(reassembled(_parsed(spark, path, True)))
+    every = written(parsed(spark, path), folder or workspace(spark), "parsed")
+    single = every.where("segment IS NULL").withColumn("complete", F.lit(True))
+    found = single.select(*names).unionByName(reassembled(every.where("segment IS NOT NULL")))
     schema = "type string, record_id string, uri string, refers_to string, digest string, complete boolean, payload binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,15 +278,21 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
     folder = workspace(spark)
     write(pages.select(F.col("page_id").alias("id"), F.col("url").alias("uri"), F.col("html").alias("payload")), f"{folder}/archive")
-    back = read(spark, f"{folder}/archive")
-    small = back.select(id_of(F.col("record_id")).cast("long").alias("page_id"), F.col("type").alias("record_type"), id_of(F.col("refers_to")).cast("long").alias("refers_to"), F.octet_length("payload").cast("long").alias("_bytes"), F.sha2("payload", 256).alias("_digest"))
+    back = read(spark, f"{folder}/archive", folder)
+    names = [id_of(F.col(c)).cast("long").alias(n) for c, n in (("record_id", "page_id"), ("refers_to", "refers_to"))]
+    small = back.select(*names, F.col("type").alias("record_type"), F.substring_index("digest", ":", -1).alias("stated"), F.octet_length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("sha"))
     rows = written(small, folder, "records")
-    remove(spark, f"{folder}/archive")
-    told = rows.where("record_type = 'response' AND page_id IS NOT NULL").select(F.col("page_id").alias("_id"), F.col("_bytes").alias("_full"), F.col("_digest").alias("_sha"))
-    told = told.groupBy("_id").agg(F.first("_full").alias("_full"), F.first("_sha").alias("_sha"))
-    revisits = rows.where("record_type = 'revisit'").join(told, F.col("refers_to") == F.col("_id"), "left")
+    for done in ("archive", "parsed"):
+        remove(spark, f"{folder}/{done}")
+    responses, revisits = rows.where("record_type = 'response'"), rows.where("record_type = 'revisit'")
+    # what a revisit refers to: an id may have several payloads, so the digest counts as well
+    asked = revisits.select(F.col("refers_to").alias("_id"), F.col("stated").alias("_stated")).distinct()
+    told = responses.join(asked, (F.col("page_id") == F.col("_id")) & (F.col("stated") == F.col("_stated")), "left_semi")
+    told = told.groupBy(F.col("page_id").alias("_id"), F.col("stated").alias("_stated")).agg(F.first("bytes").alias("_bytes"), F.first("sha").alias("_sha"))
+    told = small_or_plain(written(told, folder, "told"), BROADCAST_ROWS)
+    revisits = revisits.join(told, (F.col("refers_to") == F.col("_id")) & (F.col("stated") == F.col("_stated")), "left")
     out = lambda df, n, sha: df.select("page_id", F.col(n).alias("payload_bytes"), F.col(sha).alias("payload_digest"), "record_type", "refers_to")
-    return out(rows.where("record_type = 'response'"), "_bytes", "_digest").unionAll(out(revisits, "_full", "_sha"))
+    return out(responses, "bytes", "sha").unionAll(out(revisits, "_bytes", "_sha"))
 
 
 def oracle() -> str:

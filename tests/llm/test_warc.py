@@ -1,4 +1,6 @@
 import gzip
+import hashlib
+import zlib
 
 import duckdb
 
@@ -28,6 +30,33 @@ def test_payloads_come_back(spark, tmp_path):
     assert got["<urn:lantern:3>"] == BIG.encode() and got["<urn:lantern:21>"] == b"0\r\n\r\n" * 50 and got["<urn:lantern:1>"] == b""
 
 
+def test_repeated_ids_with_different_payloads(spark, tmp_path):
+    a, b = "a" * 150, "b" * 250
+    path = folder(spark, tmp_path, pages=spark.createDataFrame([(5, "u", a), (5, "u", b), (9, "u", b), (8, "u", a)], "page_id long, url string, html string"))
+    sha = {x: hashlib.sha256(x.encode()).hexdigest() for x in (a, b)}
+    got = sorted(map(tuple, x.query(spark, path).collect()), key=str)
+    assert got == sorted([(5, 150, sha[a], "response", None), (5, 250, sha[b], "response", None), (9, 250, sha[b], "revisit", 5), (8, 150, sha[a], "revisit", 5)], key=str)
+
+
+def test_every_record_is_a_gzip_member(spark, tmp_path):
+    x.write(spark.createDataFrame(ROWS, "id long, uri string, payload string").coalesce(1), f"{tmp_path}/w")
+    data = b"".join(p.read_bytes() for p in sorted((tmp_path / "w").glob("part-*")))
+    members = []
+    while data:
+        unpack = zlib.decompressobj(31)
+        members.append(unpack.decompress(data) + unpack.flush())
+        assert unpack.eof
+        data = unpack.unused_data
+    assert len(members) > len(ROWS) and all(m.startswith(b"WARC/1.1\r\n") and m.endswith(b"\r\n\r\n") for m in members)
+    assert zlib.decompress(x.member(b"x" * (1 << 24)) + b"\0", 31) == b"x" * (1 << 24)
+
+
+def test_broken_framing_and_lengths():
+    head = b"HTTP/1.1 200\r\nTransfer-Encoding: chunked\r\n\r\n"
+    assert [x.http_payload(head + b) for b in (b"zz\r\nab", b"-5\r\nab\r\n0\r\n\r\n", b"\r\n", b"0\r\n\r\n")] == [None, None, None, b""]
+    assert [b for _, b in x.records(b"WARC/1.0\r\nContent-Length: x\r\n\r\n\r\n\r\n")] == [b""]
+
+
 def test_segments_out_of_order_or_missing(spark):
     def part(n, block, total=None, origin="o"):
         return ("response" if n == 1 else "continuation", origin if n == 1 else f"{origin}/{n}", None, None, "d", None if n == 1 else origin, str(n), total, block)
