@@ -3,23 +3,29 @@
 The standard library's parser streams a page as events. Block elements end a line; each line has its text,
 its tags and the element it stands in. The text-to-tag ratios of the lines are smoothed by a Gaussian and
 split by a threshold into content and other lines. The content region is the smallest container that
-has all content lines, the headings right before them and the page's ``h1``; an ``article`` or ``main`` element
-is not divided further. All of the region's lines are the main text, short ones included, but for those in
-elements that name themselves something else: by tag (``nav``, ``form``, ``script``...), role, or a word of class
-or id (``sidebar``, ``cookie``, ``comments``..., but not ``has-sidebar`` or ``no-comments``). Words do not count
-on an ``article``, nor on an element with most of the page's text, if no article or main has text beside it. A
-heading in the header of an article stays.
+has all content lines of a ratio of their own above the threshold, the headings right before them and the page's
+``h1``; an ``article`` or ``main`` element is not divided further. All of the region's lines are the main text,
+short ones included, but for those in elements that are something else:
 
-Each page is parsed by itself in the task that reads it, so there is no shuffle, and memory is that of one
-page and its lines beside the batch.
+- by tag (``nav``, ``footer``, ``script``...), role, or being hidden;
+- by a name among class and id that says nothing else than that (``sidebar``, ``cookie-notice``, ``comment-list``; not
+  ``has-sidebar``, ``share-price`` or ``form-article``), and forms. Neither counts on an ``article``, nor on an element with most of
+  the page's text, if no article or main has text beside it: such an element is a wrapper;
+- by three links or more in a row and nothing else, outside of an article.
+
+A heading in the header of an article stays. Each page is parsed by itself in the task that reads it, so there is
+no shuffle, and memory is that of one page and its lines beside the batch. Time is in proportion to the page,
+whatever it holds: what is open is looked up by tag, and a comment or tag that never ends ends the page.
 
 Defined results: a null or empty page, or one without text outside such elements, has the empty text;
-broken markup is read as far as the parser gets; repeated rows give repeated results; an empty table gives
+broken markup is read as a browser would, declarations and marked sections up to the next ``>``; a very long page is
+read whole; of regions that tie the inner one is taken; repeated rows give repeated results; an empty table gives
 an empty result; columns of the input with the names of the outputs are replaced.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -44,48 +50,93 @@ CONTAINER = set("html body div section center table tbody tr td article main".sp
 WHOLE = {"article", "main"}
 HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements that are never main text.
-APART_TAGS = set("head script style noscript template nav footer aside form button select textarea input iframe object svg canvas audio video map datalist dialog menu".split())
+APART_TAGS = set("head script style noscript template nav footer aside button select textarea input iframe object svg canvas audio video map datalist dialog menu".split())
 APART_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Words of a class or id that mark an element as something else.
+#: Words that mark an element as something else, if its class or id has no other words than these and plain ones.
 APART_WORDS = set(
     "ad ads adsense advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus dropdown "
     "footer form gdpr login masthead menu modal nav navbar navigation navi newsletter notice notification notifications overlay pager pagination popup privacy promo promoted "
     "promotion recommended recommendations related replies reply respond search share sharing sidebar signup sitemap social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
+PLAIN_WORDS = set(
+    "area articles bar block body bottom box btn button buttons center col column container content desktop fixed global group header heading icons inline inner "
+    "item items layout left link links list main media message mobile module outer page panel post posts primary right row secondary section site slot small sticky text "
+    "all latest more popular reader readers recent the thread title top unit user users visitor website wp wrap wrapper".split()
+)
 HEADER_WORDS = {"header"}
-#: Words of a class or id that tell what an element has, not what it is.
-STATES = re.compile(r"\b(?:has|have|no|not|with|without|hide)[-_][\w-]+")
+#: Names that tell what an element has, not what it is.
+STATES = re.compile(r"(?:has|have|no|not|with|without|hide)[-_]")
+#: Links in a row that are a menu.
+MENU = 3
 #: A start tag of the first closes an open one of the second.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 CLOSES |= {t: {"p"} for t in BLOCK - CLOSES.keys() - {"html", "body", "option", "optgroup", "caption", "tbody", "thead", "tfoot"}}
 
+#: What a start tag does not look behind for one that it closes.
+LIMITS = CONTAINER | {"ul", "ol", "dl", "select", "blockquote"}
+
 MAIN, HEADER, APART = 0, 1, 2
 
 
+def names_apart(attrs: dict[str, str | None]) -> tuple[bool, bool]:
+    """Whether a name of the class or id says that the element is something else, or a header."""
+    apart = header = False
+    for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
+        if not STATES.match(name.lower()):
+            words = set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower()))
+            apart |= bool(words & APART_WORDS) and words <= APART_WORDS | PLAIN_WORDS
+            header |= bool(words & HEADER_WORDS) and words <= HEADER_WORDS | PLAIN_WORDS
+    return apart, header
+
+
 class Lines(HTMLParser):
     """Elements by number (0 is the page) and the lines of text in them."""
 
     def __init__(self, trusted: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
         self.trusted = trusted
-        #: By element: apart without regard to words, and characters before and in those that words set apart.
+        #: By element: apart without regard to names, and characters before and in those that names set apart.
         self.plain, self.since, self.named = [MAIN], {}, {}
         self.chars, self.whole = 0, 0
         self.parent, self.tag, self.zone = [0], ["html"], [MAIN]
-        self.stack, self.open = [0], {}
-        self.lines: list[tuple[int, str, int, bool]] = []
+        #: Numbers of the open elements; their depths by tag; the depths of those that limit, and numbers of blocks.
+        self.stack, self.open, self.limits, self.blocks = [0], {}, [0], [0]
+        #: Element, text, tags, kept, and whether it is links and nothing else (how many) of each line.
+        self.lines: list[tuple[int, str, int, bool, int]] = []
         #: Text of the line so far, and text inside it that stands in elements apart.
         self.text: list[str] = []
         self.aside: list[str] = []
-        self.tags, self.heading = 0, 0
+        self.tags, self.heading, self.links, self.unlinked = 0, 0, 0, False
+
+    # the whole page is fed at once, so what does not end here never does
+
+    def parse_html_declaration(self, i: int) -> int:
+        comment = self.rawdata.startswith("<!--", i)
+        end = self.rawdata.find("-->" if comment else ">", i + 2)
+        return len(self.rawdata) if end < 0 else end + (3 if comment else 1)
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        return self.parse_html_declaration(i)
+
+    def parse_pi(self, i: int) -> int:
+        return self.rawdata.find(">", i) + 1 or len(self.rawdata)
+
+    def parse_starttag(self, i: int) -> int:
+        return super().parse_starttag(i) if self.rawdata.find(">", i) >= 0 else len(self.rawdata)
+
+    def parse_endtag(self, i: int) -> int:
+        return super().parse_endtag(i) if self.rawdata.find(">", i) >= 0 else len(self.rawdata)
 
     def end_line(self) -> None:
         for pieces, kept in ((self.text, self.zone[self.stack[-1]] != HEADER or self.heading > 0), (self.aside, False)):
             if pieces and (text := " ".join("".join(pieces).split())):
-                at = next(i for i in reversed(self.stack) if i == 0 or self.tag[i] in BLOCK)
-                self.lines.append((at, text, self.tags, kept))
+                self.lines.append((self.blocks[-1], text, self.tags, kept, 0 if self.unlinked else self.links))
                 self.tags = 0
             pieces.clear()
+        self.links, self.unlinked = 0, False
+
+    def inside(self, tags: set[str]) -> bool:
+        return any(self.open.get(t) for t in tags)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
@@ -96,41 +147,42 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         if closed := CLOSES.get(tag):
-            for i in reversed(self.stack[1:]):
-                if self.tag[i] in closed:
-                    self.pop(self.tag[i])
-                    break
-                if self.tag[i] in CONTAINER or self.tag[i] in ("ul", "ol", "dl", "select", "blockquote"):
-                    break
-        above = self.stack[-1]
+            depth, name = max(((self.open[t][-1], t) for t in closed if self.open.get(t)), default=(0, ""))
+            if depth and depth >= self.limits[-1]:
+                self.pop(name)
+        self.links += tag == "a"
+        above, number = self.stack[-1], len(self.tag)
+        own = self.own_zone(tag, dict(attrs), number)
         self.parent.append(above)
         self.tag.append(tag)
-        own, number = self.own_zone(tag, dict(attrs), len(self.tag) - 1), len(self.tag) - 1
         self.zone.append(max(self.zone[above], own))
         self.plain.append(max(self.plain[above], MAIN if number in self.since else own))
+        self.open.setdefault(tag, []).append(len(self.stack))
+        if tag in LIMITS:
+            self.limits.append(len(self.stack))
+        if tag in BLOCK:
+            self.blocks.append(number)
         self.stack.append(number)
-        self.open[tag] = self.open.get(tag, 0) + 1
         self.heading += tag in HEADING
 
     def own_zone(self, tag: str, attrs: dict[str, str | None], number: int) -> int:
         if tag in APART_TAGS:
             return APART
-        in_article = any(self.open.get(t) for t in WHOLE)
+        in_article = self.inside(WHOLE)
         if tag == "header":
             return HEADER if in_article else APART
-        if not attrs or tag in ("html", "body", "main"):
+        if not attrs and tag != "form" or tag in ("html", "body", "main"):
             return MAIN
         style = re.sub(r"\s", "", attrs.get("style") or "").lower()
         if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in style or (attrs.get("role") or "").lower() in APART_ROLES:
             return APART
         if tag in WHOLE or number in self.trusted:
             return MAIN
-        named = STATES.sub(" ", f"{attrs.get('class') or ''} {attrs.get('id') or ''}")
-        words = set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", named).lower())) if named != " " else set()
-        if words & APART_WORDS:
+        apart, header = names_apart(attrs)
+        if apart or tag == "form":
             self.since[number] = self.chars
             return APART
-        if words & HEADER_WORDS:
+        if header:
             return HEADER if in_article or tag in HEADING else APART
         return MAIN
 
@@ -156,18 +208,25 @@ class Lines(HTMLParser):
             if number in self.since:
                 self.named[number] = self.chars - self.since[number]
             top = self.tag[number]
-            self.open[top] -= 1
+            self.open[top].pop()
+            if top in LIMITS:
+                self.limits.pop()
+            if top in BLOCK:
+                self.blocks.pop()
             self.heading -= top in HEADING
             if top == tag:
                 return
 
     def handle_data(self, data: str) -> None:
+        zone = self.zone[self.stack[-1]]
         if self.plain[self.stack[-1]] != APART:
             size = len(data.strip())
             self.chars += size
-            if self.zone[self.stack[-1]] == MAIN and any(self.open.get(t) for t in WHOLE):
+            if zone == MAIN and self.inside(WHOLE):
                 self.whole += size
-        (self.aside if self.zone[self.stack[-1]] == APART else self.text).append(data)
+        if zone != APART and not self.open.get("a") and any(c.isalnum() for c in data):
+            self.unlinked = True
+        (self.aside if zone == APART else self.text).append(data)
 
     def close(self) -> None:
         super().close()
@@ -175,6 +234,18 @@ class Lines(HTMLParser):
         for i in self.since.keys() - self.named.keys():
             self.named[i] = self.chars - self.since[i]
 
+    def without_menus(self) -> list[tuple[int, str, int, bool]]:
+        """The lines; those of a row of links outside of an article are not kept."""
+        whole = np.zeros(len(self.tag), bool)
+        for i in range(1, len(self.tag)):
+            whole[i] = self.tag[i] in WHOLE or whole[self.parent[i]]
+        out = []
+        for linked, run in itertools.groupby(self.lines, lambda x: x[4] > 0 and not whole[x[0]]):
+            run = list(run)
+            menu = linked and sum(x[4] for x in run) >= MENU
+            out += [(i, text, tags, kept and not menu) for i, text, tags, kept, _ in run]
+        return out
+
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     """Gaussian smoothing over the lines; at the ends the kernel is that part of it that lies inside."""
@@ -194,19 +265,21 @@ def main_text(html: str) -> str:
         page.close()
     if not page.lines:
         return ""
-    at, text, tags, kept = zip(*page.lines, strict=True)
-    chars = np.array([len(x) for x in text], float)
-    ratios = smoothed(chars / np.maximum(1, np.array(tags)))
-    content = (ratios >= LEVEL * ratios.std()) & np.array(kept)
-    if not content.any():
+    at, text, tags, kept = zip(*page.without_menus(), strict=True)
+    own = np.array([len(x) for x in text], float) / np.maximum(1, np.array(tags))
+    ratios = smoothed(own)
+    threshold = LEVEL * ratios.std()
+    content = (ratios >= threshold) & np.array(kept)
+    # a short line beside a long one is smoothed above the threshold, but does not widen the region
+    if not (content := content & (own >= threshold)).any():
         content = np.array(kept)
     first = int(content.argmax())
-    headings = [k for k in range(first) if kept[k] and page.tag[at[k]] in HEADING]
+    headings = {k for k in range(first) if kept[k] and page.tag[at[k]] in HEADING}
     held = set(np.flatnonzero(content).tolist()) | {k for k in headings if page.tag[at[k]] == "h1"}
     for k in range(first - 1, -1, -1):
         if kept[k] and k not in headings:
             break
-        held |= {k} & set(headings)
+        held |= {k} & headings
     weight = np.zeros(len(page.tag), int)
     np.add.at(weight, np.array(at)[sorted(held)], 1)
     for i in range(len(page.tag) - 1, 0, -1):

@@ -1,5 +1,11 @@
 import html
+import math
 import re
+import time
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from lantern.llm import html_extract as x
 from tests.llm.data import pages, rows_of
@@ -28,6 +34,58 @@ def test_pages_without_one_plain_article():
     assert x.main_text(f"<body><article><p>{short}</p></article><div class='comments'>{long}</div></body>") == short
 
 
+LONG = " ".join(f"Sentence {i} of the article goes on for a while." for i in range(12))
+BODY = "".join(f"<p>{LONG} {k}</p>" for k in range(3))
+TEXT = "\n".join(f"{LONG} {k}" for k in range(3))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article class='has-sidebar'>{}</article>", "<div id='page' class='no-sidebar'>{}</div>", "<div class='content with-ads'>{}</div>", "<div class='post form-article'>{}</div>",
+        "<form id='aspnetForm'><input>{}</form>", "<div>{}</div><div class='bottom'>Copyright of us</div>", "<div><a>Home</a> | <a>News</a> | <a>More</a></div><div>{}</div>",
+        "<div><ul><li><a>Home</a><li><a>News</a><li><a>More</a></ul>{}</div>", "<article>{}</article><div class='comment-list'><p>" + LONG + "</p></div>",
+        "<main>{}<div id='comments'>" + LONG + "</div></main>", "<div class='left-sidebar'>" + LONG + "</div><div>{}</div>", "<!-- <p>x</p> --><![CDATA[ y ]]><![if x]><?z?><div>{}</div><!-- never ends",
+    ],
+)
+def test_wrappers_and_neighbours_of_an_article(page):
+    assert x.main_text(f"<html><body>{page.format(BODY)}</body></html>") == TEXT
+
+
+def test_a_name_that_says_more_than_advert_does_not_set_a_block_apart():
+    assert x.main_text(f"<article>{BODY}<p class='share-price'>{LONG}</p><p class='share-buttons'>{LONG}</p></article>") == f"{TEXT}\n{LONG}"
+
+
+def test_ratios_and_smoothing_by_hand():
+    ratios = [30.0, 0.5, 12.0, 7.0, 0.0]
+    weight = lambda d: math.exp(-0.5 * (d / x.SIGMA) ** 2) if abs(d) <= int(3 * x.SIGMA) else 0.0
+    want = [sum(weight(i - j) * r for j, r in enumerate(ratios)) / sum(weight(i - j) for j in range(len(ratios))) for i in range(len(ratios))]
+    assert x.smoothed(__import__("numpy").array(ratios)).tolist() == pytest.approx(want)
+    page = x.Lines()
+    page.feed("<p>one <b>two</b></p><p>three</p><ul><li>four")
+    page.close()
+    # tags from the end of the line before: <p> <b> </b>; </p> <p>; </p> <ul> <li>
+    assert [(text, tags) for _, text, tags, *_ in page.lines] == [("one two", 3), ("three", 2), ("four", 3)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(["<p>", "</p>", "<![", "<!", "<!--", "-->", "]]>", "<?", "</", "<a href=", "<li>", "<form>", "<article>", "</div>", "<div class='ad'>", "<h1>", "&#x0;", "&amp", "<script>", "'", '"', ">", "text "]), st.text(max_size=8)), max_size=30))
+def test_no_bytes_stop_a_page(parts):
+    got = x.main_text("".join(parts))
+    assert got == "\n".join(" ".join(line.split()) for line in got.split("\n"))
+
+
+@pytest.mark.parametrize("flood", ["<a ", "<!--", "<div>", "<table><tr><td>", "<ul><li>", "<span>x<div></div>", "</p", "<?", "<h1>x", "<p><b>"])
+def test_time_grows_with_the_page(flood):
+    def took(size):
+        began = time.process_time()
+        x.main_text(flood * (size // len(flood)))
+        return time.process_time() - began
+
+    took(10_000)
+    assert took(1_000_000) < 12 * took(125_000) + 1
+
+
 def test_smoothing_keeps_a_constant():
     import numpy as np
 
