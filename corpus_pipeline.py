@@ -63,7 +63,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     white space between them, and a line end where blocks between are left out.
     """
     sizes = mixing.sized(docs)
-    rows = docs.select(COLUMNS).withColumn("size", mixing.size_of(F.col("text")))
+    rows = docs.select(COLUMNS).withColumns({"size": mixing.size_of(F.col("text")), "mark": mixing.mark_of(F.col("text"))})
     mixed = mixing.mix(rows, sizes).where("taken > 0")
     copies = mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(mixing.REPEATS))))
     spans = F.filter("spans", lambda x: x["times"] >= F.col("copy"))

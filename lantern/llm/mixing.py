@@ -4,18 +4,21 @@ Targets: the sources, in code point order with null last, weigh ``WEIGHTS`` in t
 times the words of all documents; a target stops at ``repeats`` times its source's words, and the excess
 is shared again by weight among the others until none is above (so all others are one multiple of their
 weights). Quotas: the total is cut into blocks of ``block`` words, handed to the sources by the highest
-quotients target / (2 seats + 1). A source's documents are dealt by a seeded hash over shards of about
-``shard`` words, and its blocks are handed to its shards in the same way by their sizes. Selection: the
+quotients target / (2 seats + 1). A source's documents are dealt by a seeded hash of id, size and text over shards of
+about ``shard`` words, and its blocks are handed to its shards in the same way by their sizes. Selection: the
 documents of a shard, in seeded order, are one sequence of words; of its n blocks a quota of q takes each
-q // n times and q % n of them once more, chosen by a seeded affine permutation of the block numbers.
+q // n times and q % n of them once more, chosen by an affine permutation of the block numbers, of which the seed and
+the shard choose both the shift and the step.
 
 Only counts by source and by shard are gathered. Apportionment runs as a window over one row per source
 or shard plus the few quotients that can be at issue, and documents are ordered within shards of bounded
 size, so a source with a third of all rows spreads over as many shards as its size asks for.
 
 Defined results: a null or empty text has size 0 and nothing is taken; with no words at all every target
-is 0; repeated rows are documents of their own; an empty table gives an empty result; columns of the input
-with the names of the outputs are replaced.
+is 0; a very long text spans as many blocks as it has; documents without an id, or of one id, are told apart by size and
+text; repeated rows are documents of their own, which follow each other in one shard; of quotients that tie the source
+or shard that comes first wins; an empty table gives an empty result; columns of the input with the names of the
+outputs are replaced, all others are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
 BLOCK, SHARD, SEED = 32, 1_000_000, 17
 #: Sources or shards up to which their table is broadcast; beyond, the join is shuffled.
 BROADCAST_ROWS = 20_000
-#: A prime above any number of blocks in a shard, so that multiplying by it permutes them.
-PRIME = 2_147_483_647
+#: Primes above any number of blocks in a shard, so that multiplying by one permutes them.
+PRIMES = (2_147_483_647, 2_147_483_629, 2_147_483_587, 2_147_483_579, 2_147_483_563, 2_147_483_549, 2_147_483_543, 2_147_483_497)
 
 
 def size_of(text: Column) -> Column:
@@ -62,6 +65,7 @@ def apportion(rows: DataFrame, claim: str, seats: str, keys: list[str], within:
     but at most half a seat per row of the total, of which a row gets at most its share of the claims, so
     only quotients that near to the fair share are ranked: a few per row in all.
     """
+    names = [c for c in rows.columns if c != out]
     group = Window.partitionBy(*within)
     total = F.sum(claim).over(group)
     fair = F.when(total > 0, F.col(claim) / total * F.col(seats)).otherwise(0.0)
@@ -75,55 +79,64 @@ def apportion(rows: DataFrame, claim: str, seats: str, keys: list[str], within:
     won = won.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.count(F.lit(1)).alias("_won"))
     same = [rows[k].eqNullSafe(won[f"_{k}"]) for k in keys]
     seats_won = (F.col("_sure") + F.coalesce("_won", F.lit(0))).alias(out)
-    return rows.join(won, same, "left").select(*(c for c in rows.columns if not c.startswith("_")), seats_won)
+    return rows.join(won, same, "left").select(*names, seats_won)
+
+
+def mark_of(text: Column) -> Column:
+    """What tells documents of equal id and size apart."""
+    return F.xxhash64(text)
 
 
 def mix(df: DataFrame, sizes: DataFrame, id: str = "doc_id", block: int = BLOCK, shard: int = SHARD, seed: int = SEED, **how) -> DataFrame:
-    """``df`` (``id``, ``source``, ``size``, any more) with ``source_size``, ``target``, ``taken`` and ``spans``.
+    """``df`` (``id``, ``source``, ``size``, ``mark``, any more) with ``source_size``, ``target``, ``taken`` and ``spans``.
 
-    ``sizes`` has ``id``, ``source`` and ``size`` of the same rows, cheap to read again. ``spans`` are the
+    ``sizes`` has ``id``, ``source``, ``size`` and ``mark`` of the same rows, cheap to read again. ``spans`` are the
     runs of words taken, as structs of ``start``, ``end`` (word numbers in the document) and ``times``.
     """
-    deal = lambda rows: rows.withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed), F.col(id)), F.col("_shards")))
+    spark = df.sparkSession
+    lot = lambda k: F.xxhash64(F.lit(seed + k), F.col("id"), F.col("size"), F.col("mark"))
+    deal = lambda rows: rows.withColumn("shard", F.pmod(lot(0), F.col("shards")))
     known = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), **how)
     known = known.withColumn("seats", F.round(F.sum("target").over(Window.partitionBy()) / block).cast("long"))
     known = apportion(known, "target", "seats", ["source"], [], "quota")
-    known = known.withColumn("_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard)).cast("long"))
-    known = known.select(F.col("source").alias("_source"), "source_size", "target", F.col("quota").alias("_quota"), "_shards")
-    known = written(known, workspace(df.sparkSession), "sources")
-    by_source = small_or_plain(known, BROADCAST_ROWS)
-
-    placed = deal(sizes.join(by_source, sizes["source"].eqNullSafe(by_source["_source"])))
-    shards = placed.groupBy("source", "_shard").agg(F.sum("size").alias("shard_size"), F.first("_quota").alias("quota"))
-    shards = apportion(shards.withColumnRenamed("_shard", "shard"), "shard_size", "quota", ["source", "shard"], ["source"], "blocks")
+    known = known.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard)).cast("long"))
+    known = known.select(F.col("source").alias("in_source"), "source_size", "target", "quota", "shards")
+    by_source = small_or_plain(written(known, workspace(spark), "sources"), BROADCAST_ROWS)
+    in_source = F.col("source").eqNullSafe(F.col("in_source"))
+
+    placed = deal(sizes.select(F.col(id).alias("id"), "source", "size", "mark").join(by_source, in_source))
+    shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("quota"))
+    shards = apportion(shards, "shard_size", "quota", ["source", "shard"], ["source"], "blocks")
     blocks = F.ceil(F.col("shard_size") / block).cast("long")
-    shards = shards.select(F.col("source").alias("_in"), F.col("shard").alias("_part"), blocks.alias("_n"), F.least("blocks", F.lit(how.get("repeats", REPEATS)) * blocks).alias("_q"))
-    shards = small_or_plain(written(shards, workspace(df.sparkSession), "shards"), BROADCAST_ROWS)
-
-    rows = df.drop("source_size", "target", "taken", "spans")
-    rows = deal(rows.join(by_source, rows["source"].eqNullSafe(by_source["_source"])))
-    rows = rows.join(shards, rows["source"].eqNullSafe(shards["_in"]) & (rows["_shard"] == shards["_part"]))
-    sequence = Window.partitionBy("source", "_shard").orderBy(F.xxhash64(F.lit(seed + 1), F.col(id)), F.col(id), F.col("size"))
-    rows = rows.withColumn("_end", F.sum("size").over(sequence.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_start", F.col("_end") - F.col("size"))
-    shift = F.pmod(F.xxhash64(F.lit(seed + 2), F.col("source"), F.col("_shard")), F.col("_n"))
-    step = F.lit(PRIME) % F.col("_n")
+    shards = shards.select(F.col("source").alias("of_source"), F.col("shard").alias("of_shard"), blocks.alias("n"), F.least("blocks", F.lit(how.get("repeats", REPEATS)) * blocks).alias("q"))
+    shards = small_or_plain(written(shards, workspace(spark), "shards"), BROADCAST_ROWS)
+
+    # the caller's columns stay together, so that no name of theirs meets one of these
+    keep = [c for c in df.columns if c not in ("source_size", "target", "taken", "spans")]
+    rows = df.select(F.struct(*keep).alias("row"), F.col(id).alias("id"), "source", "size", "mark")
+    rows = deal(rows.join(by_source, in_source))
+    rows = rows.join(shards, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("shard") == F.col("of_shard")))
+    sequence = Window.partitionBy("source", "shard").orderBy(lot(1), "id", "size", "mark")
+    rows = rows.withColumn("stop", F.sum("size").over(sequence.rowsBetween(Window.unboundedPreceding, 0))).withColumn("begin", F.col("stop") - F.col("size"))
+    drawn = lambda k: F.xxhash64(F.lit(seed + k), F.col("source"), F.col("shard"))
+    shift = F.pmod(drawn(2), F.col("n"))
+    step = F.get(F.array(*map(F.lit, PRIMES)), F.pmod(drawn(3), F.lit(len(PRIMES))).cast("int")) % F.col("n")
 
     def span(b: Column) -> Column:
-        more = F.pmod(b * step + shift, F.col("_n")) < F.col("_q") % F.col("_n")
-        times = F.floor(F.col("_q") / F.col("_n")).cast("long") + more.cast("long")
-        start, end = F.greatest(b * block, F.col("_start")), F.least((b + 1) * block, F.col("_end"))
-        return F.struct((start - F.col("_start")).alias("start"), (end - F.col("_start")).alias("end"), times.alias("times"))
-
-    covered = F.sequence(F.floor(F.col("_start") / block).cast("long"), F.floor((F.col("_end") - 1) / block).cast("long"))
-    spans = F.when(F.col("size") > 0, F.filter(F.transform(covered, span), lambda x: x["times"] > 0)).otherwise(F.array())
-    rows = rows.withColumn("spans", spans)
+        more = F.pmod(b * step + shift, F.col("n")) < F.col("q") % F.col("n")
+        times = F.floor(F.col("q") / F.col("n")).cast("long") + more.cast("long")
+        start, end = F.greatest(b * block, F.col("begin")), F.least((b + 1) * block, F.col("stop"))
+        return F.struct((start - F.col("begin")).alias("start"), (end - F.col("begin")).alias("end"), times.alias("times"))
+
+    covered = F.sequence(F.floor(F.col("begin") / block).cast("long"), F.floor((F.col("stop") - 1) / block).cast("long"))
+    rows = rows.withColumn("spans", F.when(F.col("size") > 0, F.filter(F.transform(covered, span), lambda x: x["times"] > 0)).otherwise(F.array()))
     taken = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + (x["end"] - x["start"]) * x["times"])
-    return rows.withColumn("taken", taken).drop("_source", "_quota", "_shards", "_shard", "_in", "_part", "_n", "_q", "_start", "_end")
+    return rows.select("row.*", "source_size", "target", taken.alias("taken"), "spans")
 
 
 def sized(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A written table of ``id``, ``source`` and ``size``: the texts are read once for it."""
-    sizes = df.select(id, "source", size_of(F.col(text)).alias("size"))
+    """A written table of ``id``, ``source``, ``size`` and ``mark``: the texts are read once for it."""
+    sizes = df.select(id, "source", size_of(F.col(text)).alias("size"), mark_of(F.col(text)).alias("mark"))
     return written(sizes, workspace(df.sparkSession), "sizes")
 
 
