@@ -7,22 +7,28 @@ classes are the connected components of the links.
 1. Every text becomes a 64-bit hash per distinct shingle, a digest of the whole set, and a signature of
    ``VALUES`` minima. Texts of equal sets are one node, so copies cost no pairs.
 2. The signature is put in ``ORDERS`` seeded orders. Nodes that share the first ``DEPTH`` values of an order
-   are a region; a region of more than ``REGION`` nodes is split by more values, level by level, and by a
-   hash at last (each order splits in another way), so no task holds more than its regions' bound.
-3. First round: in each region, sorted by its order, neighbours (which have the longest common prefixes) are
-   candidates. They are linked if the full sets say so, and components are formed.
-4. Second round, in every region that still has several components: pairs across components of up to
-   ``LARGE`` nodes are candidates; a node beside a larger component is asked about it as a whole, and
-   compared set by set with all its nodes, in blocks of both, of which only links leave. Where a region of
-   the first depth was split, its nodes are asked about all larger components there, and those of small
-   components are compared as in other regions; over ``LEFT`` of them are dealt into blocks by a hash, and
-   each pair of blocks is compared by itself.
-5. Pairs with less than ``ENOUGH`` equal values go no further: a pair at 0.8 falls below that by 5 standard
-   deviations. Nothing else is left out. That two nodes at 0.8 share no region at all has a chance of a few
-   in a million; for more alike ones it is far smaller.
-6. Components: alternating large-star and small-star joins until the edges stay, each step written.
-
-Links, components and fingerprints stay in tables. Sets are shuffled only for nodes in candidates.
+   are a region, and the nodes of a region are sorted by the order, so that they stand beside those with which they
+   have the longest common prefixes. The sort is by range: a region of any size lies in as many tasks as it
+   fills. A task reads its rows in windows: a whole region, or ``WINDOW`` rows of it, of which the last
+   ``OVERLAP`` begin the next window; so the depth to which a window's rows agree adapts to how crowded they are.
+3. In a window all signatures are compared. Those with at least ``ENOUGH`` equal values are alike (a pair at 0.8
+   falls below by 5 standard deviations), and a union-find leaves of the alike ones one edge less than
+   there are nodes; no pairs leave the task. The components of these edges are groups: whatever is alike in
+   some window is in one group.
+4. The full set of each node of a group goes to the group's task, once. There the classes are searched breadth
+   first: a node's set is compared with those not reached yet, so that only one row a node leaves.
+5. A group beyond ``NODES`` nodes or ``SHINGLES`` shingles is first read in windows of that size along
+   ``RUNS`` of the orders, sorted by range as above, and solved window by window. What is not in the group's largest
+   class then is compared with every node of the group of a size that can be linked, in blocks of both.
+6. Components of edges: alternating large-star and small-star joins until the edges stay, each step written.
+
+Steps 4 and 5 miss no link inside a group. A link is lost only if its texts are in two groups, that is if no
+chain of alike nodes in any window of any order joins them: of two texts at 0.8 no order has them in one region
+with a chance of 5 in 10**8, and in a region of more than ``WINDOW`` nodes a text must be unlike all
+that stand near it in all orders.
+
+Links, components and fingerprints stay in tables. Sets are shuffled only for nodes in groups, once each
+(``RUNS`` times more, and once a block of the unsettled, in large groups).
 
 Defined results: a null text is an empty one; empty ones have no shingles, no links, and are kept; rows of
 equal id are one node with the links of all of them; a null id has a null component and is kept; an empty
@@ -32,6 +38,7 @@ table gives an empty result; other columns of the input play no part.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,12 +49,13 @@ from pyspark.sql import functions as F
 
 from lantern.llm.common import remove, ship, small_or_plain, table, workspace, written
 
-VALUES, ORDERS, DEPTH, LEVELS, REGION, LARGE, LEFT = 128, 32, 4, (8, 12, 16), 128, 32, 1024
-#: Nodes of a component, and nodes asked about it, that one task compares.
-BLOCK = 512
-#: A row is compared with every other of its key, or only with those of the other side. Those of a ``REGION`` have
-#: been in the first round as well.
-MET, ANY, LOWER, UPPER = 0, 1, 2, 3
+VALUES, ORDERS, DEPTH, WINDOW, OVERLAP = 128, 32, 4, 128, 32
+#: Values by which a region is sorted.
+PLACE = 16
+#: Nodes, and shingles of all its nodes, of a group that one task solves by itself.
+NODES, SHINGLES = 1024, 1 << 20
+#: Orders along which larger groups are read in windows of that size.
+RUNS = 2
 #: Equal values that a candidate needs: 128 * 0.8 less 5 standard deviations.
 ENOUGH = 80
 PERCENT = 80
@@ -177,133 +185,101 @@ def prefixes(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "sig").mapInArrow(run, "key long, order int, id long")
 
 
-def deepened(rows: DataFrame) -> DataFrame:
-    """``rows`` (``key, order, id, sig``) with keys of the deeper levels and ``place``, the values in order."""
-    levels = ", ".join(f"key{d} long" for d in LEVELS)
-    names = ["key", *(f"key{d}" for d in LEVELS), "place", "id", "sig"]
+def placed(rows: DataFrame) -> DataFrame:
+    """``rows`` (``low, key, order, id, sig``) with ``place``, the values by which the order sorts, as bytes, for ``order``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sigs, orders = _stacked(batch.column(3)), batch.column(1).to_numpy()
-            deep = np.zeros((len(LEVELS), len(sigs)), np.int64)
-            places = np.zeros((len(sigs), LEVELS[-1]), ">u2")
-            for t in np.unique(orders):
-                at = np.flatnonzero(orders == t)
-                places[at] = sigs[at][:, _ORDER[t, : LEVELS[-1]]]
-                for j, d in enumerate(LEVELS):
-                    deep[j, at] = _keys(sigs[at], int(t), d)
-            # for the estimate one byte of each value is enough
-            short = [x.tobytes() for x in sigs.astype(np.uint8)]
-            columns = [batch.column(0), *map(pa.array, deep), pa.array([x.tobytes() for x in places], pa.binary()), batch.column(2), pa.array(short, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return rows.select("key", "order", "id", "sig").mapInArrow(run, f"key long, {levels}, place binary, id long, sig binary")
-
-
-def bounded(rows: DataFrame, folder: str) -> DataFrame:
-    """``rows`` with ``key`` deepened, and at last dealt out by a hash, until no key has over ``REGION`` of them."""
-    done = None
-    for level in ["key", *(f"key{d}" for d in LEVELS)]:
-        counts = rows.groupBy(F.col(level).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
-        rows = rows.join(counts, rows[level] == counts["_key"]).drop("_key")
-        fits = rows.where(F.col("_n") <= REGION).withColumn("key", F.col(level)).drop("_n")
-        done = fits if done is None else done.unionAll(fits)
-        rows = written(rows.where(F.col("_n") > REGION), folder, f"open_{level}")
-        if rows.isEmpty():
-            break
-        if level == f"key{LEVELS[-1]}":
-            # the place tells the order in which the hash deals, so that each order deals differently
-            part = F.pmod(F.xxhash64("id", level), F.ceil(2 * F.col("_n") / REGION).cast("long"))
-            done = done.unionAll(rows.withColumn("key", F.xxhash64(level, part)).drop("_n"))
-        rows = rows.drop("_n")
-    return written(done.select("key", "place", "id", "sig"), folder, "regions")
-
-
-def neighbours(regions: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` next to each other in the order of their region, with enough equal values."""
+            sigs, orders = _stacked(batch.column(4)), batch.column(2).to_numpy()
+            places = np.take_along_axis(sigs, _ORDER[orders, :PLACE], axis=1).astype(">u2")
+            columns = [*batch.columns[:2], pa.array([x.tobytes() for x in places], pa.binary()), *batch.columns[3:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["low", "key", "place", "id", "sig"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, id = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(key), VALUES)
-            if before is not None:
-                key, id, sig = (np.concatenate(x) for x in zip(before, (key, id, sig), strict=True))
-            same = (key[1:] == key[:-1]) & (id[1:] != id[:-1]) & ((sig[1:] == sig[:-1]).sum(axis=1) >= ENOUGH)
-            before = (key[-1:], id[-1:], sig[-1:])
-            a, b = id[:-1][same], id[1:][same]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    sorted_ = regions.repartition("key").sortWithinPartitions("key", "place", "id").select("key", "id", "sig")
-    return sorted_.mapInArrow(run, "a long, b long").distinct()
+    return rows.select("low", "key", "order", "id", "sig").mapInArrow(run, "low long, key long, place binary, id long, sig binary")
 
 
-def placed(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """``rows`` with the ``component`` of each id and its ``size``; an unknown id is one by itself."""
-    sizes = known.groupBy(F.col("component").alias("_c")).agg(F.count(F.lit(1)).cast("int").alias("size"))
-    whole = known.join(sizes, F.col("component") == F.col("_c")).select(F.col("id").alias("_id"), "component", "size")
-    rows = rows.join(whole, F.col("id") == F.col("_id"), "left").drop("_id")
-    return rows.withColumns({"component": F.coalesce("component", "id"), "size": F.coalesce("size", F.lit(1))})
+class Union:
+    """Union-find over numbers; the root is the smallest of a component."""
 
+    def __init__(self):
+        self.up: dict[int, int] = {}
 
-def across(rows: DataFrame) -> DataFrame:
-    """``a, b, asks`` of ``rows`` (``placed``, with ``side``) alike in one region but of two components, with enough equal values.
+    def find(self, x: int) -> int:
+        up = self.up
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
 
-    Between small components they are nodes ``a < b``; else ``a`` is a node and ``b`` the larger component.
-    """
-    several = rows.groupBy(F.col("key").alias("_key")).agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("_n"), F.max("side").alias("_side"))
-    # two nodes of a region are neighbours, which the first round has judged; two that are left of a split one need not be
-    several = several.where((F.col("_low") != F.col("_high")) & ((F.col("_n") > 2) | (F.col("_side") != MET))).select("_key")
-    rows = rows.join(several, rows["key"] == several["_key"]).select("key", "id", "sig", "component", "size", "side")
-
-    def found(key, id, sig, component, size, side):
-        bounds = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        for i, j in zip(bounds, bounds[1:], strict=False):
-            x, y = np.triu_indices(j - i, 1)
-            x, y = x + i, y + i
-            apart = (component[x] != component[y]) & ((side[x] <= ANY) | (side[x] != side[y]))
-            x, y = x[apart], y[apart]
-            pairs = []
-            for k in range(0, len(x), 4096):
-                p, q = x[k : k + 4096], y[k : k + 4096]
-                alike = (sig[p] == sig[q]).sum(axis=1) >= ENOUGH
-                p, q = p[alike], q[alike]
-                turn = (size[p] > size[q]) | ((size[p] == size[q]) & (component[p] < component[q]))
-                p, q = np.where(turn, q, p), np.where(turn, p, q)
-                asks = size[q] > LARGE
-                a = np.where(asks, id[p], np.minimum(id[p], id[q]))
-                b = np.where(asks, component[q], np.maximum(id[p], id[q]))
-                pairs.append(np.stack([a, asks.astype(np.int64), b]))
-            if sum(x.shape[1] for x in pairs):
-                yield np.unique(np.concatenate(pairs, axis=1), axis=1)
+    def unite(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+    def stars(self) -> pa.RecordBatch:
+        """An edge from each root to each other number of its component."""
+        pairs = [(a, x) for x in self.up if (a := self.find(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([x for _, x in pairs], pa.int64())], names=["a", "b"])
+
+
+def _alike(sig: np.ndarray, beside: np.ndarray) -> np.ndarray:
+    """A root of each of the nodes of a window; ``beside`` tells which are alike to the next one."""
+    root = np.concatenate([[0], np.cumsum(~beside)])
+    for i in range(len(sig) - 2):
+        others = i + 2 + np.flatnonzero(root[i + 2 :] != root[i])
+        if len(others):
+            for r in set(root[others[(sig[others] == sig[i]).sum(axis=1) >= ENOUGH]].tolist()):
+                root[root == r] = root[i]
+    return root
+
+
+def _least(values: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """For each row the smallest of the ``values`` of the rows of its root."""
+    least = values.copy()
+    np.minimum.at(least, roots, values)
+    return least[roots]
+
+
+def alike(sorted_: DataFrame) -> DataFrame:
+    """Edges ``a < b`` that join the nodes that a task finds alike, one less than there are nodes; ``sorted_`` has ``key, id, sig``."""
+
+    def window(id: np.ndarray, sig: np.ndarray) -> tuple[list[int], list[int]]:
+        beside = (sig[1:] == sig[:-1]).sum(axis=1) >= ENOUGH
+        least = np.full(len(id), id.min()) if beside.all() else id if len(id) == 2 else _least(id, _alike(sig, beside))
+        return least[least != id].tolist(), id[least != id].tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[np.ndarray] | None = None
+        together = Union()
         for batch in _ended(batches):
             if batch is not None:
                 if not batch.num_rows:
                     continue
-                key, id, component, size, side = (batch.column(i).to_numpy() for i in (0, 1, 3, 4, 5))
-                now = [key, id, np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, VALUES), component, size, side]
+                now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), _stacked(batch.column(2))]
                 held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-                cut = int(np.flatnonzero(held[0] != held[0][-1])[-1]) + 1 if (held[0] != held[0][-1]).any() else 0
-            else:
-                cut = 0 if held is None else len(held[0])
-            if cut:
-                for a, asks, b in found(*(x[:cut] for x in held)):
-                    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (asks[1:] != asks[:-1])]))
-                    others = pa.ListArray.from_arrays(pa.array(np.append(first, len(a)).astype(np.int32)), pa.array(b))
-                    yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(asks[first].astype(bool)), others], names=["a", "asks", "others"])
-                held = [x[cut:] for x in held]
-
-    lists = rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "a long, asks boolean, others array<long>")
-    # alike nodes meet in many orders: the lists of a node, at most one a region, are united before they become pairs
-    every = lists.groupBy("a", "asks").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
-    return every.select("a", F.explode("others").alias("b"), "asks")
+            if held is None:
+                continue
+            key, id, sig = held
+            rest = len(key)
+            for i, j in _bounds(key):
+                last = j == len(key) and batch is not None
+                while j - i > WINDOW or (j - i > 1 and not last):
+                    stop = min(j, i + WINDOW)
+                    for a, b in zip(*window(id[i:stop], sig[i:stop]), strict=True):
+                        together.unite(a, b)
+                    i = stop - OVERLAP if stop < j else j
+                rest = i if last else rest
+            held = [x[rest:] for x in held]
+        yield together.stars()
+
+    return sorted_.mapInArrow(run, "a long, b long").distinct()
+
+
+def _bounds(key: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal keys."""
+    cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])).tolist() if len(key) else [0]
+    return list(itertools.pairwise(cuts))
 
 
 def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -312,98 +288,192 @@ def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]
 
 
 def sets_of(ids: DataFrame, df: DataFrame, id: str, text: str, width: int) -> DataFrame:
-    """``id, shingles`` of those rows of ``df`` that ``ids`` (``_id``, distinct, written) has."""
+    """``id, group, large, shingles`` of those rows of ``df`` that ``ids`` (``_id, group, large``, ids distinct) has."""
+    names = ["id", "group", "large", "shingles"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in slices(batch, 1):
+            for part, data, offsets in slices(batch, 3):
                 sets = shingle_sets(data, offsets, width)
                 ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
                 flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=names)
 
     docs = df.select(F.col(id).cast("long").alias("_doc"), F.col(text).alias("text"))
-    asked = docs.join(small_or_plain(ids, BROADCAST_ROWS), F.col("_doc") == F.col("_id"), "left_semi")
-    return asked.mapInArrow(run, "id long, shingles array<long>")
-
-
-def linked(pairs: DataFrame, df: DataFrame, id: str, text: str, width: int, folder: str) -> DataFrame:
-    """Those of ``pairs`` whose full sets are alike enough."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), folder, "asked")
-    sets = sets_of(ids, df, id, text, width)
-    left, right = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    every = F.size("set_a") + F.size("set_b") - common
-    return both.where(100 * common >= PERCENT * every).select("a", "b").distinct()
-
-
-def apart(rows: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Of ``rows`` (``placed``) in regions that were split: questions ``id, big``, and the rows of small components, by blocks."""
-    large = rows.where(F.col("size") > LARGE).select(F.col("key").alias("_key"), F.col("component").alias("big"), F.col("size").alias("big_size")).distinct()
-    lower = (F.col("size") < F.col("big_size")) | (F.col("size") == F.col("big_size")) & (F.col("component") > F.col("big"))
-    asks = rows.join(large, F.col("key") == F.col("_key")).where((F.col("component") != F.col("big")) & lower).select("id", "big").distinct()
-    few = rows.where(F.col("size") <= LARGE)
-    counts = few.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    few = few.join(small_or_plain(written(counts, folder, "left"), BROADCAST_ROWS), F.col("key") == F.col("_key")).drop("_key")
-    # two blocks together are about LEFT nodes; each pair of blocks has a key of its own
-    parts = F.when(F.col("_n") > LEFT, F.ceil(2 * F.col("_n") / LEFT)).otherwise(1).cast("long")
-    dealt = few.withColumn("_parts", parts).withColumn("_part", F.pmod(F.xxhash64(F.lit("left"), "id"), F.col("_parts")))
-    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
-    key = F.when(F.col("_parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("_part", "_other"), F.greatest("_part", "_other")))
-    side = F.when(F.col("_part") == F.col("_other"), ANY).when(F.col("_part") < F.col("_other"), LOWER).otherwise(UPPER)
-    return asks, dealt.select(key.alias("key"), "id", "sig", "component", "size", side.alias("side"))
-
-
-def answered(asks: DataFrame, known: DataFrame, df: DataFrame, id: str, text: str, width: int, folder: str) -> DataFrame:
-    """For each question ``id, big``, links ``a < b`` from the node to nodes of the component, one a block."""
-    sizes = asks.groupBy("big").agg(F.count(F.lit(1)).alias("asked"))
-    members = known.join(sizes.select("big"), F.col("component") == F.col("big"), "left_semi")
-    counts = members.groupBy(F.col("component").alias("_c")).agg(F.count(F.lit(1)).alias("size"))
-    blocks = sizes.join(counts, F.col("big") == F.col("_c"))
-    blocks = blocks.select("big", F.ceil(F.col("size") / BLOCK).cast("long").alias("parts"), F.ceil(F.col("asked") / BLOCK).cast("long").alias("sides"))
-    blocks = written(blocks, folder, "blocks")
+    asked = docs.join(ids, F.col("_doc") == F.col("_id")).select("_id", "group", "large", "text")
+    # of a repeated id a row may have no set
+    return asked.mapInArrow(run, "id long, group long, large boolean, shingles array<long>").where(F.size("shingles") > 0)
+
+
+class Sets:
+    """Sets of one group, ordered by size, each as numbers of the group's shingles."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        self.order = np.argsort(sizes, kind="stable")
+        starts = np.cumsum(sizes) - sizes
+        sizes = sizes[self.order]
+        at = np.repeat(starts[self.order] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        every, self.flat = np.unique(flat[at], return_inverse=True)
+        self.sizes, self.ends = sizes, np.cumsum(sizes)
+        self.mask = np.zeros(len(every), bool)
+
+    def of(self, k: int) -> np.ndarray:
+        return self.flat[self.ends[k] - self.sizes[k] : self.ends[k]]
+
+
+def linked(own: np.ndarray, flat: np.ndarray, sizes: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Which sets (by rising ``sizes``, in ``flat``) are linked with the set ``own``; ``mask`` is as long as there are shingles."""
+    n = len(own)
+    # common <= the smaller and all >= the larger set, so a link needs sizes that near
+    low, high = np.searchsorted(sizes, -(-PERCENT * n // 100)), np.searchsorted(sizes, 100 * n // PERCENT, side="right")
+    if low >= high:
+        return np.zeros(0, np.int64)
+    begin = ends[low] - sizes[low]
+    mask[own] = True
+    common = np.add.reduceat(mask[flat[begin : ends[high - 1]]], ends[low:high] - sizes[low:high] - begin, dtype=np.int64)
+    mask[own] = False
+    return low + np.flatnonzero(100 * common >= PERCENT * (sizes[low:high] + n - common))
+
+
+def solved(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The root (smallest number) of each set's class; sets are compared only with those not reached yet."""
+    if len(sizes) == 2:
+        common = len(np.intersect1d(flat[: sizes[0]], flat[sizes[0] :], assume_unique=True))
+        return np.array([0, 0 if 100 * common >= PERCENT * (len(flat) - common) else 1])
+    s = Sets(flat, sizes)
+    roots = np.zeros(len(sizes), np.int64)
+    alive = np.arange(len(sizes))
+    rest, rest_sizes, rest_ends, gone = s.flat, s.sizes, s.ends, np.zeros(len(sizes), bool)
+    while not gone.all():
+        first = int(np.flatnonzero(~gone)[0])
+        gone[first] = True
+        members = [int(alive[first])]
+        queue = members[:]
+        while queue:
+            near = linked(s.of(queue.pop()), rest, rest_sizes, rest_ends, s.mask)
+            near = near[~gone[near]]
+            gone[near] = True
+            queue += alive[near].tolist()
+            members += alive[near].tolist()
+            if 2 * gone.sum() > len(gone) and not gone.all():
+                rest = rest[np.repeat(~gone, rest_sizes)]
+                alive, rest_sizes = alive[~gone], rest_sizes[~gone]
+                rest_ends, gone = np.cumsum(rest_sizes), np.zeros(len(rest_sizes), bool)
+        numbers = s.order[members]
+        roots[numbers] = numbers.min()
+    return roots
+
+
+def classes(sorted_: DataFrame, overlap: int) -> DataFrame:
+    """Edges ``a < b`` from the least node of each class to the others, of each run of ``key`` in ``sorted_`` (``key, id, shingles``).
+
+    A run within ``NODES`` and ``SHINGLES`` is solved whole; a longer one in windows, of which the last ``overlap``
+    rows, as far as they are half of it, begin the next.
+    """
+
+    def window(rows: list[tuple[int, int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        id = np.array([r[1] for r in rows], np.int64)
+        least = _least(id, solved(np.concatenate([r[2] for r in rows]), np.array([len(r[2]) for r in rows])))
+        return least[least != id], id[least != id]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[int, int, np.ndarray]] = []
+        size, new = 0, 0
+        for batch in batches:
+            found = []
+            keys, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for key, id, shingles in zip(keys, ids, batch.column(2), strict=True):
+                own = shingles.values.to_numpy()
+                if rows and (key != rows[0][0] or len(rows) >= NODES or size + len(own) > SHINGLES):
+                    if new and len(rows) > 1:
+                        found.append(window(rows))
+                    rows = rows[-min(overlap, len(rows) // 2) :] if key == rows[0][0] and overlap and len(rows) > 1 else []
+                    size, new = sum(len(r[2]) for r in rows), 0
+                rows.append((key, id, own))
+                size, new = size + len(own), new + 1
+            # what stays for the next batch must not hold this one
+            rows = [(k, i, s.copy() if s.base is not None else s) for k, i, s in rows]
+            if found:
+                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        if new and len(rows) > 1:
+            a, b = window(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return sorted_.mapInArrow(run, "a long, b long")
+
+
+def settled(rows: DataFrame, known: DataFrame, folder: str) -> DataFrame:
+    """Edges ``a < b`` between components (``known``: ``id, component``) of large groups' ``rows`` (``id, group, shingles``) that are one class.
+
+    What is not in its group's largest class is compared with all nodes whose size can be linked, in blocks of both.
+    """
+    sizes = F.size("shingles")
+    # a size and 80 % of it are in the same or in neighbouring bins
+    bin = F.floor(F.log(sizes.cast("double")) / F.log(F.lit(100.0 / PERCENT)) + 1e-9).cast("int")
+    nodes = rows.select("id", "group", bin.alias("bin"), sizes.alias("size")).join(known.select(F.col("id").alias("_id"), "component"), F.col("id") == F.col("_id"), "left")
+    nodes = written(nodes.select("id", "group", "bin", "size", F.coalesce("component", "id").alias("component")), folder, "large_nodes")
+    counts = nodes.groupBy("group", "component").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("group").alias("_group")).agg(F.max_by("component", F.struct("n", "component")).alias("_largest"))
+    counts = small_or_plain(written(counts, folder, "largest"), BROADCAST_ROWS)
+    marked = nodes.join(counts, F.col("group") == F.col("_group")).withColumn("asks", F.col("component") != F.col("_largest"))
+    marked = written(marked.select("id", "group", "bin", "size", "component", "asks"), folder, "asking")
+    asking = marked.where("asks")
+    if asking.isEmpty():
+        return known.select(F.col("id").alias("a"), F.col("component").alias("b")).limit(0)
+    near = F.explode(F.sequence(F.col("bin") - 1, F.col("bin") + 1))
+    blocks = lambda: F.greatest(F.ceil(F.count(F.lit(1)) / NODES), F.ceil(F.sum("size") / SHINGLES)).cast("long")
+    asked = asking.select("group", near.alias("bin"), "size").groupBy(F.col("group").alias("_group"), F.col("bin").alias("_bin")).agg(blocks().alias("_sides"))
+    parts = marked.groupBy("group", "bin").agg(blocks().alias("_parts"))
+    plan = parts.join(asked, (F.col("group") == F.col("_group")) & (F.col("bin") == F.col("_bin"))).select("_group", "_bin", "_parts", "_sides")
+    plan = small_or_plain(written(plan, folder, "blocks"), BROADCAST_ROWS)
+    own = lambda n: F.pmod(F.xxhash64(F.lit(n), "id"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    part, side = (F.pmod(F.xxhash64(F.lit(x), F.col("id")), F.col(x)) for x in ("parts", "sides"))
-    told = members.select("id", F.col("component").alias("big")).join(blocks, "big").select("id", "big", part.alias("part"), every("sides").alias("side"))
-    asking = asks.join(blocks, "big").select("id", "big", side.alias("side"), every("parts").alias("part"))
-    ids = written(told.select(F.col("id").alias("_id")).unionAll(asking.select(F.col("id").alias("_id"))).distinct(), folder, "asked")
-    sets = sets_of(ids, df, id, text, width)
-
-    def judge(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        if not left.num_rows or not right.num_rows:
-            return out.empty_table()
-        sizes = np.array([len(x) for x in left["shingles"]])
-        flat = left["shingles"].combine_chunks().flatten().to_numpy()
-        owner = np.repeat(np.arange(left.num_rows), sizes)
-        order = np.argsort(flat, kind="stable")
-        flat, owner, ids = flat[order], owner[order], left["id"].to_numpy()
-        a, b = [], []
-        for node, shingles in zip(right["id"].to_pylist(), right["shingles"], strict=True):
-            own = shingles.values.to_numpy()
-            low, high = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
-            at = np.repeat(low - np.cumsum(high - low) + (high - low), high - low) + np.arange((high - low).sum())
-            common = np.bincount(owner[at], minlength=len(ids))
-            found = np.flatnonzero(100 * common >= PERCENT * (sizes + len(own) - common))
-            if len(found):
-                a.append(min(node, int(ids[found[0]])))
-                b.append(max(node, int(ids[found[0]])))
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=out)
-
-    def with_sets(rows: DataFrame) -> DataFrame:
-        named = sets.select(F.col("id").alias("_id"), F.col("shingles").alias("_shingles"))
-        both = rows.join(named, F.col("id") == F.col("_id"))
-        return both.select(*(F.col(c).alias(c) for c in ("id", "big", "part", "side")), F.col("_shingles").alias("shingles"))
-
-    keys = ["big", "part", "side"]
-    return with_sets(told).groupBy(*keys).cogroup(with_sets(asking).groupBy(*keys)).applyInArrow(judge, "a long, b long").where("a < b").distinct()
+    place = (F.col("group") == F.col("_group")) & (F.col("bin") == F.col("_bin"))
+    told = marked.join(plan, place).select("group", "bin", "id", "component", F.lit(False).alias("asks"), own("_parts").alias("part"), every("_sides").alias("side"))
+    asks = asking.select("group", near.alias("bin"), "id", "component").join(plan, place)
+    asks = asks.select("group", "bin", "id", "component", F.lit(True).alias("asks"), own("_sides").alias("side"), every("_parts").alias("part")).select(told.columns)
+    both = told.unionAll(asks)
+    named = rows.select(F.col("id").alias("_id"), "shingles")
+    both = both.join(named, F.col("id") == F.col("_id")).select(F.xxhash64("group", "bin", "part", "side").alias("key"), "asks", "component", "shingles")
+
+    def window(rows: list[tuple[bool, int, np.ndarray]]) -> list[tuple[int, int]]:
+        rows = sorted(rows, key=lambda r: len(r[2]))
+        s = Sets(np.concatenate([r[2] for r in rows]), np.array([len(r[2]) for r in rows]))
+        u, out = Union(), []
+        for k, (asks, component, _) in enumerate(rows):
+            if asks:
+                for j in linked(s.of(k), s.flat, s.sizes, s.ends, s.mask).tolist():
+                    if u.unite(component, rows[j][1]):
+                        out.append((min(component, rows[j][1]), max(component, rows[j][1])))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        for batch in _ended(batches):
+            found: list[tuple[int, int]] = []
+            columns = [batch.column(i).to_pylist() for i in range(3)] if batch is not None else [[None], [0], [0]]
+            sets = batch.column(3) if batch is not None else [None]
+            for now, asks, component, shingles in zip(*columns, sets, strict=True):
+                if now != key:
+                    found += window(rows) if rows else []
+                    key, rows = now, []
+                if shingles is not None:
+                    rows.append((asks, component, shingles.values.to_numpy().copy()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+
+    return both.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+
+
+def _is_star(edges: DataFrame) -> bool:
+    """Whether every node of ``edges`` (``a < b``, distinct) is either a smallest one or beside one smallest one and no other."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(0).alias("up")).unionAll(edges.select(F.col("b").alias("x"), F.lit(1).alias("up")))
+    return ends.groupBy("x").agg(F.sum("up").alias("n"), F.min("up").alias("low")).where("n > 1 OR (n = 1 AND low = 0)").isEmpty()
 
 
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
-    """``id, component`` (the smallest id) of every node that ``edges`` (``a < b``, written) have."""
-    state, step = None, 0
-    while True:
+    """``id, component`` (the smallest id) of every node that ``edges`` (``a < b``, distinct, written) have."""
+    step = 0
+    while not _is_star(edges):
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("_a")).agg(F.min("b").alias("_m")).withColumn("_m", F.least("_a", "_m"))
         large = both.join(least, F.col("a") == F.col("_a")).where("b > a").select(F.col("_m").alias("a"), "b").distinct()
@@ -411,15 +481,11 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
         down = large.groupBy(F.col("b").alias("_b")).agg(F.min("a").alias("_m"))
         small = large.join(down, F.col("b") == F.col("_b"))
         small = small.select(F.col("_m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b").distinct()
-        after = written(small, folder, f"{name}_{step}")
-        now = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if step:
-            remove(edges.sparkSession, f"{folder}/{name}_{step - 1}")
-        edges, step = after, step + 1
-        if now == state:
-            stars = edges.select(F.col("b").alias("id"), F.col("a").alias("component"))
-            return stars.unionAll(edges.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
-        state = now
+        edges, step = written(small, folder, f"{name}_{step}"), step + 1
+        if step > 1:
+            remove(edges.sparkSession, f"{folder}/{name}_{step - 2}")
+    stars = edges.select(F.col("b").alias("id"), F.col("a").alias("component"))
+    return stars.unionAll(edges.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
 
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
@@ -428,38 +494,65 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width
     ship(spark)
     folder = workspace(spark)
     rows = written(signatures(df, id, text, width), folder, "signatures")
-    nodes = rows.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.first("sig").alias("sig"))
+    some = rows.where("digest IS NOT NULL AND id IS NOT NULL")
+    nodes = some.groupBy("digest").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     nodes = written(nodes, folder, "nodes")
+
     light = prefixes(nodes)
-    several = light.groupBy("key").agg(F.min("id").alias("_low"), F.max("id").alias("_high")).where("_low <> _high").select(F.col("key").alias("_key"))
-    met = written(light.join(several, light["key"] == several["_key"]).drop("_key"), folder, "met")
+    several = light.groupBy("key").agg(F.min("id").alias("_low"), F.max("id").alias("_high")).where("_low <> _high").select(F.col("key").alias("_key"), F.col("_low").alias("low"))
+    met = light.join(several, light["key"] == several["_key"]).drop("_key")
     sigs = nodes.select(F.col("id").alias("_id"), "sig")
-    regions = bounded(written(deepened(met.join(sigs, met["id"] == sigs["_id"])), folder, "deep"), folder)
-
-    def links(pairs: DataFrame, name: str) -> DataFrame:
-        return written(linked(pairs, df, id, text, width, f"{folder}/{name}"), folder, f"links_{name}")
-
-    first = links(written(neighbours(regions), folder, "near_pairs"), "near")
-    known = written(components(first, folder, "near_stars"), folder, "known")
-    rest, asks = placed(regions.drop("place"), known).withColumn("side", F.lit(MET)), None
-    hot = spark.read.parquet(f"{folder}/open_key").select("key", "id", "sig")
-    if not hot.isEmpty():
-        asks, few = apart(written(placed(hot, known), folder, "hot"), folder)
-        # the key of a whole region differs from those of its parts
-        rest = rest.unionByName(few)
-    found = written(across(rest), folder, "across")
-    edges = links(found.where("NOT asks").select("a", "b"), "across")
-    questions = found.where("asks").select(F.col("a").alias("id"), F.col("b").alias("big"))
-    questions = written(questions if asks is None else questions.unionAll(asks).distinct(), folder, "questions")
-    if not questions.isEmpty():
-        told = answered(questions, known, df, id, text, width, f"{folder}/told")
-        edges = edges.unionAll(written(told, folder, "links_told"))
-    # the components so far stand for their links
-    stars = known.where("component < id").select(F.col("component").alias("a"), F.col("id").alias("b"))
-    final = components(stars.unionAll(edges).distinct(), folder, "stars")
-    classes = nodes.select("digest", "id").join(final.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left")
-    classes = classes.select(F.col("digest").alias("_digest"), F.coalesce("component", "id").alias("component"))
-    out = rows.drop("sig").join(classes, rows["digest"] == classes["_digest"], "left")
+    met = written(placed(met.join(sigs, met["id"] == sigs["_id"])), folder, "met")
+    in_order = lambda x, *by: x.repartitionByRange(*by).sortWithinPartitions(*by)
+    # regions of one family in several orders have their least id in common: side by side, their edges are the same ones
+    edges = written(alike(in_order(met, "low", "key", "place", "id").select("key", "id", "sig")), folder, "alike")
+    remove(spark, f"{folder}/met")
+
+    groups = components(edges, folder, "groups")
+    groups = written(groups.select(F.col("id").alias("_id"), F.col("component").alias("group")), folder, "members")
+    weights = nodes.select("id", "n_shingles").join(groups, F.col("id") == F.col("_id")).groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight"))
+    large = written(weights.where((F.col("n") > NODES) | (F.col("weight") > SHINGLES)).select(F.col("group").alias("_group")), folder, "large")
+    several_large = not large.isEmpty()
+    if several_large:
+        marked = groups.join(small_or_plain(large, BROADCAST_ROWS), F.col("group") == F.col("_group"), "left").select("_id", "group", F.col("_group").isNotNull().alias("large"))
+        groups = written(marked, folder, "marked")
+    else:
+        groups = groups.withColumn("large", F.lit(False))
+    sets = sets_of(small_or_plain(groups, BROADCAST_ROWS), df, id, text, width)
+    if several_large:
+        sets = written(sets, folder, "sets")
+    small = sets.where("NOT large").select(F.col("group").alias("key"), "id", "shingles")
+    stars = written(classes(small.repartition("key").sortWithinPartitions("key", "id"), 0), folder, "stars_small")
+
+    # a repeated id joins the nodes of all its texts
+    twice = some.groupBy(F.col("id").alias("_id")).agg(F.min("digest").alias("_low"), F.max("digest").alias("_high")).where("_low <> _high").select("_id")
+    twice = some.select("id", F.col("digest").alias("_digest")).join(small_or_plain(written(twice, folder, "twice"), BROADCAST_ROWS), F.col("id") == F.col("_id"), "left_semi").distinct()
+    ties = twice.join(nodes.select("digest", F.col("id").alias("node")), F.col("_digest") == F.col("digest")).where("node < id").select(F.col("node").alias("a"), F.col("id").alias("b"))
+    ties = written(ties, folder, "ties")
+    if several_large:
+        many = sets.where("large").select("id", "group", "shingles")
+        runs = many.join(nodes.select(F.col("id").alias("_id"), "sig"), F.col("id") == F.col("_id"))
+        runs = runs.select("id", "group", "sig", F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))).alias("order"))
+        places = placed(runs.select(F.col("group").alias("low"), F.xxhash64("group", "order").alias("key"), "order", "id", "sig").distinct()).drop("low", "sig")
+        places = written(places.withColumnRenamed("id", "_id"), folder, "places")
+        runs = written(many.join(places, F.col("id") == F.col("_id")).select("key", "place", "id", "shingles"), folder, "runs_in")
+        told = classes(in_order(runs, "key", "place", "id").select("key", "id", "shingles"), OVERLAP).distinct()
+        inner = written(components(written(told, folder, "told"), folder, "runs"), folder, "inner")
+        remove(spark, f"{folder}/runs_in")
+        between = written(settled(many, inner, f"{folder}/settled"), folder, "between")
+        if not between.isEmpty():
+            outer = components(between, folder, "outer").select(F.col("id").alias("_from"), F.col("component").alias("_to"))
+            inner = inner.join(outer, F.col("component") == F.col("_from"), "left").select("id", F.coalesce("_to", "component").alias("component"))
+            # a node that no window linked is a component by itself
+            inner = inner.unionAll(outer.select(F.col("_from").alias("id"), F.col("_to").alias("component"))).distinct()
+        stars = stars.unionAll(inner.where("component < id").select(F.col("component").alias("a"), F.col("id").alias("b")))
+    if ties.isEmpty():
+        final = stars.select(F.col("b").alias("id"), F.col("a").alias("component"))
+    else:
+        final = components(written(stars.unionAll(ties).distinct(), folder, "tied"), folder, "stars")
+    known = nodes.select("digest", "id").join(final.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left")
+    known = known.select(F.col("digest").alias("_digest"), F.coalesce("component", "id").alias("component"))
+    out = rows.drop("sig").join(known, rows["digest"] == known["_digest"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 

@@ -36,7 +36,7 @@ def test_against_brute_force(spark, width):
 
 
 def test_a_large_group_of_near_copies(spark, monkeypatch):
-    """Bounds small enough that regions are split and large components are asked about."""
+    """Bounds small enough that regions and groups are read in windows."""
     rng = random.Random(3)
     base = [f"word{k}" for k in range(60)]
     rows = [(0, " ".join(base))]
@@ -45,39 +45,39 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
         for _ in range(rng.randint(0, 5)):
             words[rng.randrange(60)] = f"new{rng.randrange(9)}"
         rows.append((i, " ".join(words)))
-    for name, value in (("REGION", 8), ("LARGE", 4), ("BLOCK", 16)):
+    for name, value in (("WINDOW", 8), ("OVERLAP", 2), ("NODES", 16)):
         monkeypatch.setattr(x, name, value)
     assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 2) == brute(rows, 2)
 
 
 def test_links_inside_a_large_family_of_unlike_texts(spark, monkeypatch):
-    """400 texts at 0.71 to each other, 100 of them with a partner at 0.81: more small nodes in a split region than ``LEFT``."""
+    """400 texts at 0.71 to each other, 100 of them with a partner at 0.81: a group of many blocks, most of it unsettled by its windows."""
     base = [f"base{k}" for k in range(80)]
     rows = []
     for i in range(400):
         own = [f"own{i - 300 if i >= 300 and k < 6 else i}x{k}" for k in range(16)]
         rows.append((i, " ".join(base + own)))
-    for name, value in (("REGION", 8), ("LARGE", 4), ("LEFT", 32)):
+    for name, value in (("WINDOW", 8), ("OVERLAP", 2), ("NODES", 32)):
         monkeypatch.setattr(x, name, value)
     got = found(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 1)
     assert sum(got[i][1] == i - 300 for i in range(300, 400)) == 100
     assert got == brute(rows, 1)
 
 
-def test_two_linked_texts_beside_large_families(spark, tmp_path, monkeypatch):
-    """Two nodes left of a split region, whose sub-regions were others: nothing has judged them yet."""
-    monkeypatch.setattr(x, "LARGE", 4)
-    texts = [(i, 100 * (i // 10), 10, [f"base{k}" for k in range(80)] + [f"family{i // 10}x{k}" for k in range(18)] + [f"own{i}"]) for i in range(100, 150)]
-    linked = [f"base{k}" for k in range(80)] + [f"shared{k}" for k in range(16)]
-    texts += [(1, 1, 1, [*linked, "one"]), (2, 2, 1, [*linked, "two"])]
-    rows = []
-    for id, component, size, words in texts:
-        text = " ".join(words).encode()
-        sig = x.signature(x.shingle_sets(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 1)[0])
-        rows.append((7, id, sig.astype(np.uint8).tobytes(), component, size))
-    few = x.apart(spark.createDataFrame(rows, "key long, id long, sig binary, component long, size int"), str(tmp_path))[1]
-    assert [r["id"] for r in few.orderBy("id").collect()] == [1, 2]
-    assert [tuple(r) for r in x.across(few).collect()] == [(1, 2, False)]
+@pytest.mark.parametrize("many", [2, 3, 40])
+def test_classes_of_a_group_against_all_pairs(many):
+    rng = np.random.default_rng(many)
+    base = rng.integers(0, 1 << 62, 50)
+    sets = [np.unique(np.concatenate([base[rng.random(50) > rng.random() / 3], rng.integers(0, 1 << 62, rng.integers(1, 12))])) for _ in range(many)]
+    roots = x.solved(np.concatenate(sets), np.array([len(s) for s in sets]))
+    rows = [(i, " ".join(map(str, s.tolist()))) for i, s in enumerate(sets)]
+    assert roots.tolist() == [least for _, least in brute(rows, 1).values()]
+
+
+def test_rows_of_a_repeated_id_join_their_texts(spark):
+    rows = [(1, "a b c"), (5, "a b c"), (5, "d e f"), (7, "d e f"), (9, "g h")]
+    got = sorted((r["doc_id"], r["component_id"]) for r in x.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect())
+    assert got == [(1, 1), (5, 1), (5, 1), (7, 1), (9, 9)]
 
 
 def test_edges(spark):
