@@ -1,18 +1,22 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
-A rule is text of the form ``host/path``. The host part fits a host and its subdomains, the path part
-is a prefix of the URL's path, and ``*`` stands for any run of characters. Each rule is filed under the
-one of its whole literal tokens that the fewest URLs have; the tokens of a URL fetch the candidate rules,
-and only those run their regular expression. A rule without a whole token (``*x*/``) is a candidate for
-every URL, so no rule is ever lost. Of the rules that fit, the lowest tier decides, then the longest
-rule, then the first by code point.
-
-Everything here is a DataFrame expression. A set of up to ``INLINE_RULES`` rules is planned as a map
-literal and judges a row without any shuffle; a larger one is a table joined on the token.
-
-Defined results: a null URL, or one without ``://``, has an empty host and path and no rule; repeated
-rows are judged alike, each on its own; an empty table gives an empty result; columns of the input with
-the names of the outputs are replaced.
+A rule is a row of ``rule, verdict, tier``: text of the form ``host/path``, ``allow`` or ``block``, and a whole number. The
+host part fits a host and its subdomains, the path part is a prefix of the URL's path, and ``*`` stands for any run of
+characters (none in it is a ``/`` in the host part). Rule sets are data: a list, or a DataFrame of any size.
+
+Each rule is filed under one of its keys, the one that the fewest URLs have: its whole literal tokens, or, if it has
+none, its literal runs of ``GRAM`` characters. The keys of a URL fetch the candidate rules, and only those run their
+regular expression. A rule without any key (``*x*/``) is a candidate for every URL, so no rule is ever lost. Of the
+rules that fit, the lowest tier decides, then the longest rule, then the first by code point.
+
+Everything here is a DataFrame expression. A list of up to ``INLINE_RULES`` rules is planned as a map
+literal and judges a row without any shuffle; others are a table joined on the key, where each distinct URL is judged
+once, and where the engine's skew join may split a key that many URLs or rules have, as nothing needs a key's rows together.
+
+Defined results: a null URL, or one without ``://``, has an empty host and path and no rule; a very long URL is judged
+whole; repeated rows are judged alike, each on its own; of equal rules with different verdicts (ties) ``allow`` decides;
+an empty table gives an empty result; columns of the input with the names of the outputs are replaced, all others are
+kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,10 +27,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lantern.llm.common import ascii_lower, table
+from lantern.llm.common import ascii_lower, small_or_plain, table, workspace, written
 
-#: Rule sets up to this size become a literal in the plan; the set is a parameter and does not grow with the data.
+#: Lists of rules up to this size become a literal in the plan; the list is a parameter and does not grow with the data.
 INLINE_RULES = 256
+#: Characters of a literal run that is a key.
+GRAM = 3
+#: Rules up to which their table is broadcast; beyond, the join is shuffled.
+BROADCAST_RULES = 100_000
+#: Literal runs that every fitting URL has as whole tokens: not beside ``*``, not at the open end.
+TOKEN = "(?<![A-Za-z0-9*])[A-Za-z0-9]+(?=[^A-Za-z0-9*])"
 
 
 @dataclass(frozen=True)
@@ -44,9 +54,9 @@ class Rule:
         return rf"\A(?:[^/]*\.)?{free(host, '[^/]*')}/{free(path, '(?s:.*)')}"
 
     @property
-    def tokens(self) -> list[str]:
-        """Literal runs that every fitting URL has as whole tokens: not beside ``*``, not at the open end."""
-        return [m[0] for m in re.finditer(r"(?<![A-Za-z0-9*])[A-Za-z0-9]+(?=[^A-Za-z0-9*])", self.rule)]
+    def keys(self) -> list[str]:
+        grams = [f"*{x[i : i + GRAM]}" for x in self.rule.split("*") for i in range(len(x) - GRAM + 1)]
+        return [m[0] for m in re.finditer(TOKEN, self.rule)] or grams
 
 
 #: The rules of the query's contract, as given.
@@ -75,74 +85,97 @@ def path_of(url: Column) -> Column:
     return F.when(F.locate("://", url) > 0, F.regexp_extract(after, "\\A[^/?#]*([^?#]*)", 1)).otherwise("")
 
 
-def tokens_of(subject: Column) -> Column:
-    return F.array_distinct(F.split(subject, "[^A-Za-z0-9]+"))
+def keys_of(subject: Column, grams: bool) -> Column:
+    """What a URL can fetch rules by; its runs of ``GRAM`` characters, marked by a ``*``, only if asked for."""
+    keys = F.split(subject, "[^A-Za-z0-9]+")
+    if grams:
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(subject) - (GRAM - 1)))
+        keys = F.concat(keys, F.transform(places, lambda i: F.concat(F.lit("*"), F.substring(subject, i, F.lit(GRAM)))))
+    return F.array_distinct(F.concat(keys, F.array(F.lit(""))))
+
+
+def rule_table(rules: DataFrame) -> DataFrame:
+    """``rules`` with ``keys`` and ``pattern``, as ``Rule`` has them."""
+    host, path = F.substring_index("rule", "/", 1), F.expr("substring(rule, locate('/', rule) + 1)")
+    plain = lambda c: F.regexp_replace(c, "([\\\\.\\[\\]{}()+?^$|])", "\\\\$1")
+    free = lambda c, run: F.array_join(F.transform(F.split(c, "\\*", -1), plain), run)
+    pattern = F.concat(F.lit("\\A(?:[^/]*\\.)?"), free(host, "[^/]*"), F.lit("/"), free(path, "(?s:.*)"))
+    tokens = F.regexp_extract_all("rule", F.lit(TOKEN), F.lit(0))
+    places = lambda x: F.when(F.length(x) >= GRAM, F.sequence(F.lit(1), F.length(x) - (GRAM - 1))).otherwise(F.array().cast("array<int>"))
+    grams = F.flatten(F.transform(F.split("rule", "\\*", -1), lambda x: F.transform(places(x), lambda i: F.concat(F.lit("*"), F.substring(x, i, F.lit(GRAM))))))
+    keys = F.when(F.size(tokens) > 0, tokens).otherwise(grams)
+    return rules.select("rule", "verdict", F.col("tier").cast("int").alias("tier"), F.array_distinct(keys).alias("keys"), pattern.alias("pattern")).distinct()
+
+
+def _counted(subjects: DataFrame, wanted: DataFrame) -> DataFrame:
+    """How many rows of ``subjects`` have each ``key`` of ``wanted``."""
+    seen = subjects.select(F.explode(keys_of(F.col("subject"), True)).alias("key"))
+    return seen.join(wanted, "key", "left_semi").groupBy("key").count()
 
 
 def index_rules(subjects: DataFrame, rules: list[Rule]) -> dict[str, list[Rule]]:
-    """The rules by the token that the fewest rows of ``subjects`` have; ``""`` has those without a token.
+    """The rules by the key that the fewest rows of ``subjects`` have; ``""`` has those without a key.
 
-    The counts that reach the driver are one per distinct token of the rules, whatever the rows.
+    The counts that reach the driver are one per distinct key of the rules, whatever the rows.
     """
-    wanted = sorted({t for r in rules for t in r.tokens})
-    seen = subjects.select(F.explode(tokens_of(F.col("_subject"))).alias("token"))
-    counts = {x["token"]: x["count"] for x in seen.where(F.col("token").isin(wanted)).groupBy("token").count().collect()} if wanted else {}
+    wanted = sorted({t for r in rules for t in r.keys})
+    seen = subjects.select(F.explode(keys_of(F.col("subject"), any(t.startswith("*") for t in wanted))).alias("key"))
+    counts = {x["key"]: x["count"] for x in seen.where(F.col("key").isin(wanted)).groupBy("key").count().collect()} if wanted else {}
     index: dict[str, list[Rule]] = {}
     for r in rules:
-        index.setdefault(min(r.tokens, key=lambda t: (counts.get(t, 0), t), default=""), []).append(r)
+        index.setdefault(min(r.keys, key=lambda t: (counts.get(t, 0), t), default=""), []).append(r)
     return index
 
 
 def _entry(r: Rule) -> Column:
-    fields = {"order": -r.tier, "size": len(r.rule), "rule": r.rule, "verdict": r.verdict, "pattern": r.pattern, "tier": r.tier}
+    fields = {"rank": r.tier, "size": -len(r.rule), "rule": r.rule, "verdict": r.verdict, "tier": r.tier, "pattern": r.pattern}
     return F.struct(*(F.lit(v).alias(k) for k, v in fields.items()))
 
 
-def _best(candidates: Column, subject: Column) -> Column:
-    """Lowest tier, longest rule, first by code point; null if none fits."""
-    fits = F.filter(candidates, lambda c: F.regexp_like(subject, c["pattern"]))
-    better = lambda a, b: F.coalesce(
-        (b["order"] > a["order"])
-        | ((b["order"] == a["order"]) & ((b["size"] > a["size"]) | ((b["size"] == a["size"]) & (b["rule"] < a["rule"])))),
-        F.lit(True),
-    )
-    return F.reduce(fits, F.get(fits, F.lit(0)), lambda a, b: F.when(better(a, b), b).otherwise(a))
-
-
-def judge(df: DataFrame, rules: list[Rule], url: str = "url", default: str = "allow", inline: int = INLINE_RULES) -> DataFrame:
+def judge(df: DataFrame, rules: list[Rule] | DataFrame, url: str = "url", default: str = "allow", inline: int = INLINE_RULES) -> DataFrame:
     """``df`` with ``host``, ``path``, ``rule`` (of the rule that decides, else null), ``tier`` and ``verdict``."""
-    plain = df.drop(*({"host", "path", "rule", "tier", "verdict"} - {url}))
-    rows = plain.withColumns({"_host": host_of(F.col(url)), "_path": path_of(F.col(url))})
-    rows = rows.withColumn("_subject", F.concat("_host", "_path"))
-    index = index_rules(rows, rules)
-    if len(rules) <= inline:
-        rows = rows.withColumn("_best", _inline(index))
+    # the caller's columns stay together, so that no name of theirs meets one of these
+    keep = [c for c in df.columns if c not in {"host", "path", "rule", "tier", "verdict"} - {url}]
+    rows = df.select(F.struct(*keep).alias("row"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    rows = rows.withColumn("subject", F.concat("host", "path"))
+    if isinstance(rules, DataFrame):
+        rows = _joined(rows, rules)
+    elif len(rules) > inline:
+        literal = F.array(*(F.struct(F.lit(r.rule).alias("rule"), F.lit(r.verdict).alias("verdict"), F.lit(r.tier).alias("tier")) for r in rules))
+        rows = _joined(rows, df.sparkSession.range(1).select(F.inline(literal)))
     else:
-        rows = _joined(rows, index)
-    out = {"host": F.col("_host"), "path": F.col("_path"), "rule": F.col("_best.rule"), "tier": F.col("_best.tier"), "verdict": F.coalesce("_best.verdict", F.lit(default))}
-    return rows.withColumns(out).drop("_host", "_path", "_subject", "_best")
+        rows = rows.withColumn("best", _inline(index_rules(rows, rules)))
+    out = [F.col("best.rule").alias("rule"), F.col("best.tier").alias("tier"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")]
+    return rows.select("row.*", *(c for c in ("host", "path") if c != url), *out)
 
 
 def _inline(index: dict[str, list[Rule]]) -> Column:
     if not index:
         return F.lit(None).cast("struct<rule:string,tier:int,verdict:string>")
     filed = F.create_map(*(x for t, rules in sorted(index.items()) for x in (F.lit(t), F.array(*map(_entry, rules)))))
-    found = F.transform(F.array_union(tokens_of(F.col("_subject")), F.array(F.lit(""))), lambda t: F.try_element_at(filed, t))
-    return _best(F.flatten(F.filter(found, lambda x: x.isNotNull())), F.col("_subject"))
+    keys = keys_of(F.col("subject"), any(t.startswith("*") for t in index))
+    found = F.filter(F.transform(keys, lambda t: F.try_element_at(filed, t)), lambda x: x.isNotNull())
+    fits = F.filter(F.flatten(found), lambda c: F.regexp_like(F.col("subject"), c["pattern"]))
+    # structs compare field by field: lowest tier, longest rule, first by code point
+    return F.array_min(fits)
 
 
-def _joined(rows: DataFrame, index: dict[str, list[Rule]]) -> DataFrame:
+def _joined(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """The same by joins, for rule sets too large for the plan. Distinct subjects are judged once each."""
-    spark = rows.sparkSession
-    flat = [(t, -r.tier, len(r.rule), r.rule, r.verdict, r.pattern, r.tier) for t, rules in index.items() for r in rules]
-    filed = spark.createDataFrame(flat, "token string, order int, size int, rule string, verdict string, pattern string, tier int")
-    tokens = F.array_union(tokens_of(F.col("_subject")), F.array(F.lit("")))
-    asked = rows.select("_subject").distinct().select("_subject", F.explode(tokens).alias("token"))
-    fits = asked.join(filed, "token").where(F.regexp_like("_subject", F.col("pattern")))
-    best = fits.groupBy(F.col("_subject").alias("_s")).agg(
-        F.min(F.struct(-F.col("order"), -F.col("size"), F.col("rule"), F.col("tier"), F.col("verdict"))).alias("_best")
-    )
-    return rows.join(best, rows["_subject"] == best["_s"], "left").drop("_s")
+    folder = workspace(rows.sparkSession)
+    known = written(rule_table(rules), folder, "rules")
+    subjects = rows.select("subject").distinct()
+    wanted = known.select(F.explode("keys").alias("key")).distinct()
+    counts = _counted(subjects, small_or_plain(wanted, BROADCAST_RULES))
+    each = known.select("rule", "verdict", "tier", "pattern", F.explode_outer("keys").alias("key")).join(counts, "key", "left")
+    rarest = F.min_by("key", F.struct(F.coalesce("count", F.lit(0)), "key"))
+    filed = each.groupBy("rule", "verdict", "tier", "pattern").agg(F.coalesce(rarest, F.lit("")).alias("key"))
+    filed = written(filed, folder, "filed")
+    asked = subjects.select("subject", F.explode(keys_of(F.col("subject"), True)).alias("key"))
+    fits = asked.join(small_or_plain(filed, BROADCAST_RULES), "key").where(F.regexp_like("subject", F.col("pattern")))
+    rank = F.struct(F.col("tier").alias("rank"), (-F.length("rule")).alias("size"), "rule", "verdict", "tier")
+    best = fits.groupBy(F.col("subject").alias("of_subject")).agg(F.min(rank).alias("best"))
+    return rows.join(best, F.col("subject") == F.col("of_subject"), "left")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
