@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lantern.functions import geo, shape, text
@@ -36,10 +36,17 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _events(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as events of a period: from the order's date to its last shipment; permanent if nothing ships."""
-    ends = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.to_date(F.max("l_shipdate")).alias("last_day"))
+def _events(spark: SparkSession, d: str, kept: Column | None = None) -> DataFrame:
+    """Orders as events of a period: from the order's date to its last shipment; permanent if nothing ships.
+
+    ``kept`` tests columns of orders only, so what is grouped is the items of orders that pass.
+    """
     orders = _t(spark, d, "orders").withColumn("first_day", F.to_date("o_orderdate"))
+    items = _t(spark, d, "lineitem").select("l_orderkey", "l_shipdate")
+    if kept is not None:
+        orders = orders.where(kept)
+        items = items.join(orders.select(F.col("o_orderkey").alias("kept")), F.col("l_orderkey") == F.col("kept"), "left_semi")
+    ends = items.groupBy(F.col("l_orderkey").alias("k")).agg(F.to_date(F.max("l_shipdate")).alias("last_day"))
     return orders.join(ends, F.col("o_orderkey") == F.col("k"), "left").drop("k").withColumn("permanent", F.col("last_day").isNull())
 
 
@@ -119,14 +126,13 @@ def conjunctive_search(spark, d):
     import datetime as dt
 
     c = F.col
+    plain = predicates.every([c("o_orderstatus") != "P", predicates.affordable(c("o_orderpriority").startswith("1"), c("o_totalprice"), 250000.0)])
     kept = predicates.every([
-        c("o_orderstatus") != "P",
-        predicates.affordable(c("o_orderpriority").startswith("1"), c("o_totalprice"), 250000.0),
         predicates.ends_from(c("permanent"), c("last_day"), dt.date(1995, 1, 1)),
         predicates.starts_by(c("permanent"), c("first_day"), dt.date(1997, 12, 31)),
     ])
     owners = _t(spark, d, "customer").where(text.contains(c("c_name"), "CUSTOMER") & (c("c_acctbal").isNull() | (c("c_acctbal") >= 0)))
-    rows = _events(spark, d).where(kept).join(owners, c("o_custkey") == c("c_custkey")).join(_t(spark, d, "nation"), c("c_nationkey") == c("n_nationkey"))
+    rows = _events(spark, d, plain).where(kept).join(owners, c("o_custkey") == c("c_custkey")).join(_t(spark, d, "nation"), c("c_nationkey") == c("n_nationkey"))
     return rows.select("o_orderkey", "o_orderdate", "o_totalprice", "c_name", "n_name", "permanent")
 
 
@@ -151,8 +157,7 @@ def haversine_radius(spark, d):
 @query(f"SELECT c_custkey, n_near FROM customer JOIN (SELECT s_nationkey, count(*) AS n_near FROM (SELECT s_nationkey, {KM_SQL} AS km FROM ({PLACED_SQL})) WHERE km <= 25.0::DOUBLE GROUP BY 1) ON s_nationkey = c_nationkey")
 def semi_join_radius(spark, d):
     near = _placed(spark, d).select(F.col("s_suppkey").alias("id"), "lat", "lng", "s_nationkey")
-    hits = relations.within(near, 48.8566, 2.3522, 25.0).join(near, F.col("_near") == F.col("id"))
-    counts = hits.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n_near"))
+    counts = relations.within(near, 48.8566, 2.3522, 25.0, "s_nationkey").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n_near"))
     return _t(spark, d, "customer").join(counts, F.col("c_nationkey") == F.col("s_nationkey")).select("c_custkey", "n_near")
 
 

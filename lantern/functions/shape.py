@@ -51,6 +51,19 @@ def map_url(base: str, lat: Column, lng: Column) -> Column:
     return F.format_string(base + "%s,%s", lat.cast("string"), lng.cast("string"))
 
 
+def url_encoded(c: Column) -> Column:
+    """As a part of a query string: all but letters, digits and ``-_.~!*'()`` as UTF-8 bytes in hex, a space as ``%20``."""
+    out = F.url_encode(c)
+    for code, char in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(char))
+    return out
+
+
+def as_json(*columns: str | Column) -> Column:
+    """A row as JSON text; keys of null values are left out."""
+    return F.to_json(F.struct(*columns))
+
+
 def iso_date(c: Column) -> Column:
     """A date from ``yyyy-MM-dd``, null if it has another form or does not exist."""
     return F.when(c.rlike("^\\d{4}-\\d{2}-\\d{2}$"), F.try_to_date(c, "yyyy-MM-dd"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Tables = dict[str, DataFrame]
@@ -31,6 +31,14 @@ def with_hours(parents: DataFrame, children: DataFrame, key: str, low: tuple[str
     return rows.withColumns({low[1]: F.coalesce("_low", low[2]), high[1]: F.coalesce("_high", high[2])}).drop("_parent", "_low", "_high")
 
 
+def create_base(tables: Tables) -> Tables:
+    """The first version's tables, empty where none are given; those that are given must have its columns."""
+    from lantern.sources.schema import FIRST, shaped
+
+    spark = SparkSession.active()
+    return {n: shaped(tables[n], s) if n in tables else spark.createDataFrame([], s) for n, s in FIRST.items()}
+
+
 def add_categories(tables: Tables) -> Tables:
     spark = tables["events"].sparkSession
     first = [(1, DEFAULT_CATEGORY, dt.datetime(2000, 1, 1))]
@@ -52,15 +60,18 @@ def add_keys(tables: Tables) -> Tables:
 
 
 def optional_fields(tables: Tables) -> Tables:
+    """Events get the columns of the last version, in its order; seven that had to be set no longer have to."""
+    from lantern.sources.schema import EVENTS, shaped
+
     events = tables["events"].withColumns({"sourceUrl": F.lit(None).cast("string"), "isPermanent": F.lit(False)})
-    return tables | {"events": events}
+    return tables | {"events": shaped(events, EVENTS)}
 
 
-STEPS: list[tuple[int, Callable[[Tables], Tables]]] = [(2, add_categories), (3, simplify_hours), (4, add_keys), (5, optional_fields)]
+STEPS: list[tuple[int, Callable[[Tables], Tables]]] = [(1, create_base), (2, add_categories), (3, simplify_hours), (4, add_keys), (5, optional_fields)]
 
 
 def migrate(tables: Tables, version: int, to: int = STEPS[-1][0]) -> Tables:
-    """From one version to a later one."""
+    """From one version (0: nothing) to a later one."""
     for number, step in STEPS:
         if version < number <= to:
             tables = step(tables)

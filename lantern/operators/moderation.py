@@ -1,8 +1,8 @@
-"""Moderation as a state machine: one command as Columns, a batch of commands as a fold."""
+"""Moderation as a state machine: one command as Columns, a batch of commands as spells between edits."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lantern.operators.predicates import level
@@ -37,13 +37,38 @@ def step(state: Column, command: Column, owner: Column) -> Column:
 def fold(events: DataFrame, commands: DataFrame) -> DataFrame:
     """``events`` after ``commands`` (``eventId, seq, action, actorId, actorRole, reason``), with ``applied`` and ``refused``.
 
-    The commands of one event are put in order and folded; an event has few. Those of unknown events are ignored.
+    The same as ``step`` by step, without gathering the commands of an event: each edit by the author begins a spell in which
+    the event is pending, and the first decision of a pending spell is the one that counts. A running sum tells the spells;
+    spells and events are then grouped. Commands of unknown events are ignored.
     """
-    entry = F.struct("seq", "action", "actorId", "actorRole", "reason")
-    queued = commands.groupBy(F.col("eventId").alias("_event")).agg(F.array_sort(F.collect_list(entry)).alias("_commands"))
-    rows = events.join(queued, F.col("id") == F.col("_event"), "left")
-    start = F.struct(F.col("status"), F.col("rejectionReason"), F.col("moderatedById"), F.lit(0).alias("applied"), F.lit(0).alias("refused")).cast(STATE)
-    after = F.when(F.col("_commands").isNull(), start).otherwise(F.aggregate("_commands", start, lambda s, c: step(s, c, F.col("createdById"))))
-    rows = rows.withColumn("_after", after)
-    changed = ("status", "rejectionReason", "moderatedById")
-    return rows.select(*(F.col(f"_after.{c}").alias(c) if c in changed else F.col(c) for c in events.columns), "_after.applied", "_after.refused")
+    known = events.select(F.col("id").alias("_event"), F.col("createdById").alias("_owner"), (F.col("status") == "PENDING").alias("_pending"))
+    rows = commands.join(known, F.col("eventId") == F.col("_event"))
+    moderates = F.coalesce(level(F.col("actorRole")) >= MODERATOR, F.lit(False))
+    edits = F.coalesce(F.col("action") == "edit", F.lit(False))
+    own = edits & ~moderates & F.coalesce(F.col("actorId") == F.col("_owner"), F.lit(False))
+    decides = F.coalesce(F.col("action").isin("approve", "reject"), F.lit(False)) & moderates
+    entry = ["seq", "action", "actorId", "actorRole", "reason"]
+    order = Window.partitionBy("_event").orderBy(*entry).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"_own": own.cast("int"), "_edit": (own | (edits & moderates)).cast("int"), "_decides": decides})
+    rows = rows.withColumn("_spell", F.sum("_own").over(order))
+    spells = rows.groupBy("_event", "_spell").agg(
+        F.first("_pending").alias("_pending"), F.count(F.lit(1)).alias("_n"), F.sum("_edit").alias("_edits"), F.min(F.when(F.col("_decides"), F.struct(*entry))).alias("_first"),
+    )
+    decided = F.when((F.col("_spell") > 0) | F.col("_pending"), F.col("_first"))
+    spells = spells.withColumn("_first", decided)
+    last = F.max(F.struct("_spell", "_first"))
+    ends = spells.groupBy("_event").agg(
+        last.alias("_last"), F.max(F.when(F.col("_first").isNotNull(), F.struct("_spell", F.col("_first.actorId").alias("actorId")))).alias("_by"),
+        (F.sum("_edits") + F.count("_first")).cast("int").alias("_applied"), F.sum("_n").cast("int").alias("_n"),
+    )
+    rows = events.join(ends, F.col("id") == F.col("_event"), "left")
+    first, requeued = F.col("_last._first"), F.coalesce(F.col("_last._spell") > 0, F.lit(False))
+    reject = first["action"] == "reject"
+    after = {
+        "status": F.when(first.isNotNull(), F.when(reject, "REJECTED").otherwise("APPROVED")).when(requeued, "PENDING").otherwise(F.col("status")),
+        "rejectionReason": F.when(first.isNotNull(), F.when(reject, first["reason"])).when(requeued, F.lit(None)).otherwise(F.col("rejectionReason")),
+        "moderatedById": F.coalesce("_by.actorId", "moderatedById").cast("int"),
+    }
+    applied = F.coalesce("_applied", F.lit(0))
+    refused = F.coalesce(F.col("_n") - F.col("_applied"), F.lit(0)).cast("int")
+    return rows.select(*(after[c].alias(c) if c in after else F.col(c) for c in events.columns), applied.alias("applied"), refused.alias("refused"))

@@ -61,11 +61,23 @@ def insert_absent(table: DataFrame, rows: DataFrame, key: str, collated: bool =
     return inserted(table, first.join(known, equal(F.col(key)) == F.col("_key"), "left_anti"))
 
 
+#: Parts in which new rows are numbered.
+ID_BUCKETS = 1024
+
+
 def next_ids(rows: DataFrame, table: DataFrame, order: list[str], id: str = "id") -> DataFrame:
-    """Ids after the largest of the table. ``rows`` are a batch of new ones, not the table."""
+    """Ids after the largest of the table, without gaps, to ``rows``; their order tells nothing but ties.
+
+    Rows are dealt by a hash into ``ID_BUCKETS``: these are numbered side by side, after a sum over their sizes.
+    """
     top = table.agg(F.coalesce(F.max(id), F.lit(0)).alias("_top"))
-    number = F.row_number().over(Window.orderBy(*order))
-    return rows.crossJoin(top).withColumn(id, (F.col("_top") + number).cast("int")).drop("_top")
+    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(ID_BUCKETS)))
+    sizes = dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    # one row a bucket
+    before = sizes.select(F.col("_bucket").alias("_of"), (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_before"))
+    number = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
+    numbered = dealt.withColumn("_number", number).join(before, F.col("_bucket") == F.col("_of")).crossJoin(top)
+    return numbered.withColumn(id, (F.col("_top") + F.col("_before") + F.col("_number")).cast("int")).drop("_bucket", "_number", "_of", "_before", "_top")
 
 
 VENUE_KEY = ("name", "address", "city")

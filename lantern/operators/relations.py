@@ -20,11 +20,11 @@ def place(venues: DataFrame) -> DataFrame:
     return venues.select(F.col("id").alias("_venue"), row.alias("venue"))
 
 
-def within(venues: DataFrame, lat: float, lng: float, radius_km: float) -> DataFrame:
-    """``_near, km`` of the venues in a radius, by their unrounded distance. The box only saves arcsines."""
+def within(venues: DataFrame, lat: float, lng: float, radius_km: float, *carried: str) -> DataFrame:
+    """``_near, km`` (and ``carried``) of the venues in a radius, by their unrounded distance. The box only saves arcsines."""
     km = geo.haversine_km(F.col("lat"), F.col("lng"), lat, lng)
     boxed = venues.where(geo.in_box(F.col("lat"), F.col("lng"), lat, lng, radius_km))
-    return boxed.select(F.col("id").alias("_near"), km.alias("km")).where(F.col("km") <= radius_km)
+    return boxed.select(F.col("id").alias("_near"), km.alias("km"), *carried).where(F.col("km") <= radius_km)
 
 
 def with_relations(events: DataFrame, tables: dict[str, DataFrame], category: bool = True, *author_fields: str) -> DataFrame:

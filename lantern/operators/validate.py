@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from lantern.functions import shape, text
 from lantern.sources.schema import ROLES, SETTINGS
 
+#: The forms of a time and a date.
 TIME, DATE = "^([01]\\d|2[0-3]):[0-5]\\d$", "^\\d{4}-\\d{2}-\\d{2}$"
-#: Well-formedness, no more: a scheme and something after it; one @ with a dotted domain.
-URL, EMAIL = "^[A-Za-z][A-Za-z0-9+.-]*:(//)?[^\\s/?#]+\\S*$", "^[A-Za-z0-9_'+.-]*[A-Za-z0-9_+-]@([A-Za-z0-9][A-Za-z0-9-]*\\.)+[A-Za-z]{2,}$"
+#: Well-formedness, no more. A URL has a scheme and something after it.
+URL = "^[A-Za-z][A-Za-z0-9+.-]*:(//)?[^\\s/?#]+\\S*$"
+#: Before the one @, words joined by single dots; after it, two labels or more, of which the last is letters.
+_WORD, _LABEL = "[A-Za-z0-9_'+-]+", "[A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?"
+EMAIL = f"^{_WORD}(\\.{_WORD})*@({_LABEL}\\.)+[A-Za-z]{{2,}}$"
 
 
 def first_error(*rules: tuple[Column, str]) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import re
 from dataclasses import dataclass
 
@@ -43,7 +44,7 @@ def _number(text, name: str, low: float | None, high: float | None = None, whole
         value = float(text)
     except (TypeError, ValueError):
         raise InvalidParameter(name) from None
-    if value != value or (low is not None and value < low) or (high is not None and value > high) or (whole and value != int(value)):
+    if not math.isfinite(value) or (low is not None and value < low) or (high is not None and value > high) or (whole and value != int(value)):
         raise InvalidParameter(name)
     return int(value) if whole else value
 
@@ -57,6 +58,10 @@ def _date(text: str, name: str) -> dt.date:
         raise InvalidParameter(name) from None
 
 
+#: The limits of the search's parameters.
+QUERY_CHARS, AGES, RADII, PAGE_SIZES, PAGE_SIZE = 200, (0, 18), (0.1, 300), (1, 50), 12
+
+
 @dataclass(frozen=True)
 class SearchParams:
     """Filters that are None are off; 0 is a value like any other."""
@@ -73,7 +78,7 @@ class SearchParams:
     lng: float | None = None
     radius_km: float | None = None
     page: int = 1
-    page_size: int = 12
+    page_size: int = PAGE_SIZE
 
     @property
     def near(self) -> tuple[float, float, float] | None:
@@ -87,25 +92,25 @@ class SearchParams:
         """From a query string's fields. One bad field makes the request invalid; unknown ones are ignored."""
         given = lambda name, read: read(query[name]) if query.get(name) is not None else None
         q = given("q", str.strip)
-        if q is not None and len(q) > 200:
+        if q is not None and len(q) > QUERY_CHARS:
             raise InvalidParameter("q")
         for name, allowed in (("free", ("true", "false")), ("setting", SETTINGS)):
             if query.get(name) is not None and query[name] not in allowed:
                 raise InvalidParameter(name)
         number = lambda name, *limits, **how: given(name, lambda x: _number(x, name, *limits, **how))
-        page, size = number("page", 1, whole=True), number("pageSize", 1, 50, whole=True)
+        page, size = number("page", 1, whole=True), number("pageSize", *PAGE_SIZES, whole=True)
         return cls(
             q=q or None,
             free=query.get("free") == "true",
             price_max=number("priceMax", 0),
-            age=number("age", 0, 18, whole=True),
+            age=number("age", *AGES, whole=True),
             start=given("from", lambda x: _date(x, "from")),
             end=given("to", lambda x: _date(x, "to")),
             setting=query.get("setting"),
             category_id=number("categoryId", 1, whole=True),
             lat=number("lat", -90, 90),
             lng=number("lng", -180, 180),
-            radius_km=number("radiusKm", 0.1, 300),
+            radius_km=number("radiusKm", *RADII),
             page=1 if page is None else page,
-            page_size=12 if size is None else size,
+            page_size=PAGE_SIZE if size is None else size,
         )

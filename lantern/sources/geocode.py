@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lantern.functions import shape, text
+
 #: Coordinates are longitude, latitude.
 _GEOMETRY = "geometry STRUCT<coordinates: ARRAY<DOUBLE>>"
 NATIONAL = f"STRUCT<features: ARRAY<STRUCT<properties: STRUCT<label: STRING, name: STRING, city: STRING, postcode: STRING>, {_GEOMETRY}>>>"
@@ -23,7 +25,12 @@ def first_given(*parts: Column) -> Column:
 
 def asked(q: Column) -> Column:
     """Shorter queries get no suggestions."""
-    return F.length(F.trim(q)) >= LEAST_QUERY
+    return F.length(text.trimmed(q)) >= LEAST_QUERY
+
+
+def request_url(base: str, q: Column) -> Column:
+    """What a provider is asked, null for a query that is too short."""
+    return F.when(asked(q), F.concat(F.lit(f"{base}?q="), shape.url_encoded(text.trimmed(q)), F.lit(f"&limit={RESULTS}")))
 
 
 def suggestions(payloads: DataFrame, provider: str, body: str = "body") -> DataFrame:

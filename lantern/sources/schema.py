@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 USERS = "id INT NOT NULL, email STRING NOT NULL, passwordHash STRING NOT NULL, displayName STRING NOT NULL, role STRING NOT NULL, createdAt TIMESTAMP NOT NULL"
@@ -16,18 +17,31 @@ EVENTS = (
 )
 OPENING_HOURS = "id INT NOT NULL, dayOfWeek INT NOT NULL, openTime STRING NOT NULL, closeTime STRING NOT NULL, eventId INT NOT NULL"
 
+#: Events as the first version had them.
+FIRST_EVENTS = (
+    "id INT NOT NULL, title STRING NOT NULL, description STRING NOT NULL, isFree BOOLEAN NOT NULL, price DECIMAL(8,2), photoUrl STRING, ageMin INT NOT NULL, ageMax INT NOT NULL, "
+    "dateStart DATE NOT NULL, dateEnd DATE NOT NULL, setting STRING NOT NULL, status STRING NOT NULL, rejectionReason STRING, createdAt TIMESTAMP NOT NULL, "
+    "venueId INT NOT NULL, createdById INT NOT NULL, moderatedById INT"
+)
+FIRST = {"users": USERS, "venues": VENUES, "events": FIRST_EVENTS, "opening_hours": OPENING_HOURS}
 SCHEMAS = {"users": USERS, "api_keys": API_KEYS, "categories": CATEGORIES, "venues": VENUES, "events": EVENTS, "opening_hours": OPENING_HOURS}
 ROLES = ("USER", "MODERATOR", "ADMIN")
 SETTINGS = ("INDOOR", "OUTDOOR", "BOTH")
 STATUSES = ("PENDING", "APPROVED", "REJECTED")
-#: Image types that an upload may have, and its largest size in bytes.
-PHOTO_TYPES, PHOTO_BYTES = ("jpg", "jpeg", "png", "webp"), 10 * 1024 * 1024
+#: Image types that an upload may have, with the bytes (hex) that each begins with, and its largest size.
+PHOTO_TYPES, PHOTO_BYTES = {"image/jpeg": "^FFD8FF", "image/png": "^89504E470D0A1A0A", "image/webp": "^52494646.{8}57454250"}, 10 * 1024 * 1024
 
 
 def struct(name: str) -> T.StructType:
     return T._parse_datatype_string(SCHEMAS[name])
 
 
+def shaped(df: DataFrame, schema: str) -> DataFrame:
+    """``df`` with the columns and types of ``schema``, in its order; all of them may be null, as in any file."""
+    fields = T._parse_datatype_string(schema).fields
+    return df.to(T.StructType([T.StructField(f.name, f.dataType) for f in fields]))
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of a snapshot: Parquet with its declared schema."""
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
@@ -50,9 +64,20 @@ def inline(spark: SparkSession, name: str, rows: list[dict]) -> DataFrame:
 
 
 def photos(spark: SparkSession, folder: str) -> DataFrame:
-    """Uploads that the size and type limits admit, without their content until it is asked for."""
-    from pyspark.sql import functions as F
+    """Uploads that the size and type limits admit, with their ``type``, told by their first bytes, and ``name``."""
+    # a file beyond the limit is not read
+    files = spark.read.format("binaryFile").load(folder).where(F.col("length") <= PHOTO_BYTES)
+    return files.withColumns({"type": photo_type(F.col("content")), "name": F.element_at(F.split("path", "/"), -1)}).where("type IS NOT NULL")
+
+
+def photo_type(content: Column) -> Column:
+    """The MIME type of an image that is allowed, else null."""
+    start = F.hex(F.substring(content, 1, 12))
+    return F.coalesce(*(F.when(start.rlike(p), F.lit(t)) for t, p in PHOTO_TYPES.items()))
+
 
-    files = spark.read.format("binaryFile").load(folder)
-    ending = F.lower(F.element_at(F.split("path", "\\."), -1))
-    return files.where((F.col("length") <= PHOTO_BYTES) & ending.isin(*PHOTO_TYPES)).withColumn("name", F.element_at(F.split("path", "/"), -1))
+def records(bodies: DataFrame, schema: str, body: str = "body") -> DataFrame:
+    """``bodies`` with ``record``, the JSON of ``body`` by ``schema``, and ``malformed``; the record of a malformed body is null."""
+    parsed = F.from_json(body, f"{schema}, _bad STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    malformed = F.col(body).isNull() | parsed["_bad"].isNotNull() | parsed.isNull()
+    return bodies.withColumns({"record": F.when(~malformed, parsed.dropFields("_bad")), "malformed": malformed})

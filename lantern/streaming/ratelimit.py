@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WINDOW = "15 minutes"
 #: Requests in a window by bearer, and registrations and logins by address.
@@ -32,20 +38,33 @@ def exceeded(requests: DataFrame, key: str, limit: int, **how) -> DataFrame:
 
 
 def anchored(requests: DataFrame, key: str, ts: str = "ts", seconds: int = 900) -> DataFrame:
-    """The same for windows that begin with the first request of a key after its last window: a fold over its times."""
-    state = "struct<start:double,n:int,done:array<struct<start:double,n:int>>>"
-    times = requests.where(F.col(key).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.col(ts).cast("timestamp").cast("double"))).alias("_times"))
-    start = F.struct(F.get("_times", F.lit(0)).alias("start"), F.lit(0).alias("n"), F.array().alias("done")).cast(state)
-
-    def step(s: Column, t: Column) -> Column:
-        inside = t < s["start"] + seconds
-        same = F.struct(s["start"].alias("start"), (s["n"] + 1).alias("n"), s["done"].alias("done"))
-        ended = F.array_append(s["done"], F.struct(s["start"].alias("start"), s["n"].alias("n")))
-        return F.when(inside, same.cast(state)).otherwise(F.struct(t.alias("start"), F.lit(1).alias("n"), ended.alias("done")).cast(state))
-
-    last = lambda s: F.array_append(s["done"], F.struct(s["start"].alias("start"), s["n"].alias("n")))
-    found = times.select(key, F.explode(F.aggregate("_times", start, step, last)).alias("w"))
-    return found.select(key, F.timestamp_micros((F.col("w.start") * 1_000_000).cast("long")).alias("start"), F.col("w.n").cast("long").alias("n"))
+    """The same for windows that begin with the first request of a key after its last window.
+
+    Each key's times are sorted and read as a stream, of which a task holds one window.
+    """
+    kind = requests.schema[key].dataType
+    schema = T.StructType([T.StructField(key, kind), T.StructField("start", T.TimestampType()), T.StructField("n", T.LongType())])
+    own = "s" + uuid.uuid4().hex
+    rows = requests.where(F.col(key).isNotNull()).select(F.col(key), F.unix_micros(F.col(ts).cast("timestamp")).alias(own)).where(F.col(own).isNotNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, start, n = None, 0, 0
+        for batch in itertools.chain(batches, [None]):
+            keys, starts, counts = [], [], []
+            for k, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if batch is not None else [(None, 0)]:
+                if k == now and t < start + seconds * 1_000_000:
+                    n += 1
+                    continue
+                if n:
+                    keys.append(now)
+                    starts.append(start)
+                    counts.append(n)
+                now, start, n = k, t, 1
+            columns = [pa.array(keys, batch.schema.types[0]) if batch is not None else pa.array(keys), pa.array(starts, pa.timestamp("us", "UTC")), pa.array(counts, pa.int64())]
+            if keys:
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return rows.repartition(key).sortWithinPartitions(key, own).mapInArrow(run, schema)
 
 
 def last_used(uses: DataFrame, key: str, ts: str = "ts") -> DataFrame:

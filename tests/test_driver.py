@@ -5,7 +5,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lantern import driver
+from lantern import catalogue, driver
+
+QUERIES, SQL = driver.queries() | catalogue.queries(), driver.oracle_sql() | catalogue.oracle_sql()
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -15,14 +17,14 @@ def value(x):
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no driver tables here")
-@pytest.mark.parametrize("name", list(driver.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_same_rows_as_sql(spark, name):
     db = duckdb.connect()
     db.execute("SET timezone = 'UTC'")
     for file in os.listdir(FOLDER):
         db.execute(f"CREATE VIEW {file.split('.')[0]} AS SELECT * FROM '{FOLDER}/{file}'")
-    df = driver.queries()[name](spark, FOLDER)
-    asked = db.execute(driver.oracle_sql()[name])
+    df = QUERIES[name](spark, FOLDER)
+    asked = db.execute(SQL[name])
     columns = [x[0] for x in asked.description]
     assert sorted(df.columns) == sorted(columns)
     at = [columns.index(c) for c in df.columns]
@@ -31,6 +33,6 @@ def test_same_rows_as_sql(spark, name):
 
 
 def test_entry_has_all_of_the_driver(spark):
-    assert set(driver.queries()) <= set(entry.queries()) and set(driver.oracle_sql()) <= set(entry.oracle_sql())
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql()) and len(QUERIES) == len(driver.QUERIES) + len(catalogue.QUERIES)
     if os.path.isdir(FOLDER):
         assert entry.entry(spark).count() > 0
