@@ -6,6 +6,7 @@ Inside, the operators name their own columns with a leading underscore; such nam
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -16,11 +17,16 @@ from pyspark.sql import functions as F
 
 #: A word everywhere in these operators: a run without ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
+#: Bytes of a batch that goes to a Python worker or comes from it, where the session has no other setting: some copies
+#: of it exist at once on both sides.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once a session, so that they need no path of their own."""
     context = spark.sparkContext
+    if spark.conf.get(BATCH[0], None) in (None, "67108864b", "64m", "64MB"):
+        spark.conf.set(*BATCH)
     if getattr(context, "_lantern_shipped", False):
         return
     package = Path(__file__).resolve().parent.parent
@@ -35,10 +41,12 @@ def ship(spark: SparkSession) -> None:
 def workspace(spark: SparkSession) -> str:
     """A fresh folder below the shared folder of ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (a local test) a temporary folder takes its place.
+    Only in local mode, where driver and tasks are one process, a temporary folder can take its place.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lantern-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/lantern-{uuid.uuid4().hex}"

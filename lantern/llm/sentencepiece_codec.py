@@ -2,15 +2,15 @@
 
 In the model's vocabulary no piece has a whitespace marker after another character, so no merge crosses
 the start of a marked word: a text is the concatenation of chunks "markers, then other characters", each
-of which can be segmented on its own. Every Python worker keeps a table from chunk to ids: of a batch of texts it
+of which can be segmented on its own. Every task keeps a table from chunk to ids: of a batch of texts it
 collects the distinct chunks that the table lacks, segments each of them once with the library, and joins
-the ids back by position. The table is emptied when it holds ``TABLE_CHARS`` characters, which bounds its
-memory and costs nothing but segmenting a chunk again. No shuffle takes place; a word of a third of all
-texts is segmented once a worker. ``crossing_pieces`` checks the condition; with a vocabulary that fails it,
+the ids back by position. The table is emptied when it takes ``TABLE_BYTES``, which bounds its
+memory and costs nothing but segmenting a chunk again, and goes with its task. No shuffle takes place; a word of
+a third of all texts is segmented once a task. ``crossing_pieces`` checks the condition; with a vocabulary that fails it,
 whole texts are segmented.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; a null id list decodes to
-the empty text; repeated rows give repeated results; an empty table gives an empty result; columns of the
+the empty text; a very long text goes through by itself, whole; ties between merges are the library's; repeated rows give repeated results; an empty table gives an empty result; columns of the
 input with the names of the outputs are replaced.
 """
 
@@ -30,10 +30,10 @@ from pyspark.sql import types as T
 from lantern.llm.common import table
 
 MARK = "▁"
-#: Characters of chunks that a task's table holds before it is emptied.
-TABLE_CHARS = 6_000_000
+#: About the bytes that a task's table takes before it is emptied, and those of an entry beside its characters.
+TABLE_BYTES, ENTRY = 24_000_000, 200
 #: Texts and characters that go through Python at once.
-SLICE_ROWS, SLICE_CHARS = 512, 2_000_000
+SLICE_ROWS, SLICE_CHARS = 512, 500_000
 
 
 @functools.cache
@@ -43,6 +43,7 @@ def processor(model: str):
     return sentencepiece.SentencePieceProcessor(model_file=model)
 
 
+@functools.cache
 def crossing_pieces(model: str) -> int:
     """How many pieces have a whitespace marker after another character."""
     p = processor(model)
@@ -52,7 +53,7 @@ def crossing_pieces(model: str) -> int:
 class ChunkTable:
     """Distinct chunk -> its ids as 32-bit numbers. Chunks are spelled without their first marker, which the library adds."""
 
-    def __init__(self, model: str, limit: int = TABLE_CHARS):
+    def __init__(self, model: str, limit: int = TABLE_BYTES):
         self.p, self.limit, self.held, self.ids = processor(model), limit, 0, {}
         self.mark = self.p.piece_to_id(MARK)
         self.whole = bool(crossing_pieces(model))
@@ -73,7 +74,7 @@ class ChunkTable:
         # a chunk found by the pattern keeps its markers as spaces: the first is the one that the library adds
         for chunk, ids in zip(new, self.p.encode([c.removeprefix(" ") for c in new], num_threads=1), strict=True):
             self.ids[chunk] = array("i", ids or [self.mark]).tobytes()
-            self.held += len(chunk)
+            self.held += len(chunk) + ENTRY
 
     def encode(self, texts: list[str]) -> pa.ListArray:
         cut = [self.chunks(x) for x in texts]
@@ -83,12 +84,6 @@ class ChunkTable:
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(joined), np.int32)))
 
 
-@functools.cache
-def chunk_table(model: str) -> ChunkTable:
-    """The table of this Python worker, which serves one task after another."""
-    return ChunkTable(model)
-
-
 def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
     """``batch`` in runs of rows that are few and hold few characters (one long text goes alone)."""
     import pyarrow.compute as pc
@@ -111,7 +106,7 @@ def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids") -> D
     where = keep.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = chunk_table(model)
+        known = ChunkTable(model)
         for batch in batches:
             for part in slices(batch, where):
                 found = known.encode([x or "" for x in part.column(where).to_pylist()])
@@ -148,7 +143,7 @@ def encode_decode(df: DataFrame, model: str, text: str = "text") -> DataFrame:
     where, kept = keep.index(text), [keep.index(c) for c in rest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = chunk_table(model)
+        known = ChunkTable(model)
         for batch in batches:
             for part in slices(batch, where):
                 ids = known.encode([x or "" for x in part.column(where).to_pylist()])

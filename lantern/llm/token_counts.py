@@ -8,7 +8,7 @@ score of all less 10 and counts as its UTF-8 bytes; a marker stands before the t
 Sums are doubles, which are exact for the whole scores of this vocabulary.
 
 No piece has a marker after another character, so a text is the concatenation of marked words that are
-counted on their own: each Python worker counts a distinct marked word once, in a table of bounded size. No
+counted on their own: each task counts a distinct marked word once, in a table of bounded size. No
 shuffle takes place, and a very long text needs no more memory than its words.
 
 Defined results: a null or empty text has no tokens and score 0; repeated rows give repeated results; an empty
@@ -26,10 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from lantern.llm.common import table
-from lantern.llm.sentencepiece_codec import MARK, crossing_pieces, model_path, processor, slices
+from lantern.llm.sentencepiece_codec import ENTRY, MARK, TABLE_BYTES, crossing_pieces, model_path, processor, slices
 
-#: Characters of marked words that a worker's table holds before it is emptied.
-TABLE_CHARS = 8_000_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -39,18 +37,29 @@ def vocabulary(model: str) -> dict[str, float]:
     return {p.id_to_piece(i): p.get_score(i) for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i))}
 
 
+def matcher(pieces: dict[str, float]):
+    """The automaton of ``pieces``, their least score and the single characters among them."""
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for piece, score in pieces.items():
+        found.add_word(piece, (len(piece), score))
+    found.make_automaton()
+    return found, min(pieces.values()), {x for x in pieces if len(x) == 1}
+
+
+@functools.cache
+def model_matcher(model: str):
+    """Of the vocabulary of a model: what a Python worker keeps from task to task."""
+    return matcher(vocabulary(model))
+
+
 class Counter:
     """Marked word -> (tokens, score)."""
 
-    def __init__(self, pieces: dict[str, float], crossing: bool = False, limit: int = TABLE_CHARS):
-        import ahocorasick
-
-        self.automaton = ahocorasick.Automaton()
-        for piece, score in pieces.items():
-            self.automaton.add_word(piece, (len(piece), score))
-        self.automaton.make_automaton()
-        self.unknown = min(pieces.values()) - UNKNOWN_PENALTY
-        self.single = {x for x in pieces if len(x) == 1}
+    def __init__(self, matches: tuple, crossing: bool = False, limit: int = TABLE_BYTES):
+        self.automaton, least, self.single = matches
+        self.unknown = least - UNKNOWN_PENALTY
         self.crossing, self.limit, self.held = crossing, limit, 0
         self.seen: dict[str, tuple[int, float]] = {}
 
@@ -86,7 +95,7 @@ class Counter:
                 self.seen.clear()
                 self.held = 0
             found = self.seen[word] = self.viterbi(word)
-            self.held += len(word)
+            self.held += len(word) + ENTRY
         return found
 
     def words(self, text: str) -> list[str]:
@@ -100,12 +109,6 @@ class Counter:
         return sum(tokens), sum(score)
 
 
-@functools.cache
-def counter(model: str) -> Counter:
-    """The table of this Python worker, which serves one task after another."""
-    return Counter(vocabulary(model), bool(crossing_pieces(model)))
-
-
 def count_tokens(df: DataFrame, model: str, text: str = "text") -> DataFrame:
     """``df`` without its text, with ``n_tokens`` and ``best_score`` of each whole text."""
     keep = [c for c in df.columns if c not in (text, "n_tokens", "best_score")]
@@ -113,7 +116,7 @@ def count_tokens(df: DataFrame, model: str, text: str = "text") -> DataFrame:
     where = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = counter(model)
+        known = Counter(model_matcher(model), bool(crossing_pieces(model)))
         for batch in batches:
             for part in slices(batch, where):
                 tokens, scores = zip(*(known.count(x.as_py()) for x in part.column(where)), strict=True)

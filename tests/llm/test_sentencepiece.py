@@ -16,7 +16,7 @@ def test_pieces_do_not_cross_markers():
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.sampled_from("ab c ▁\n\té日😀<>s/　\u00a0.") | st.characters(exclude_categories=["Cs"]), max_size=40))
 def test_ids_are_the_library_s(text):
-    assert x.chunk_table(MODEL).encode([text]).to_pylist()[0] == x.processor(MODEL).encode(text)
+    assert x.ChunkTable(MODEL).encode([text]).to_pylist()[0] == x.processor(MODEL).encode(text)
 
 
 def test_small_table_is_emptied(spark):

@@ -51,18 +51,18 @@ def brute(pieces, unknown, text):
 @settings(max_examples=150, deadline=None)
 @given(st.text(st.sampled_from("abthe  ▁\n\té日😀ing.1") | st.characters(exclude_categories=["Cs"]), max_size=40))
 def test_against_brute_force(text):
-    c = x.counter(MODEL)
+    c = x.Counter(x.model_matcher(MODEL))
     assert c.count(text) == brute(x.vocabulary(MODEL), c.unknown, text)
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.text(st.sampled_from("abthe  \n\té日😀ing.1"), max_size=60))
 def test_against_a_library(text):
-    assert x.counter(MODEL).count(text)[0] == library_count(text)
+    assert x.Counter(x.model_matcher(MODEL)).count(text)[0] == library_count(text)
 
 
 def test_ties_keep_the_earlier_start():
-    c = x.Counter({x.MARK: -1.0, "a": -1.0, "b": -1.0, "ab": -2.0, x.MARK + "a": -2.0})
+    c = x.Counter(x.matcher({x.MARK: -1.0, "a": -1.0, "b": -1.0, "ab": -2.0, x.MARK + "a": -2.0}))
     assert c.count("ab") == (2, -3.0) and brute({x.MARK: -1.0, "a": -1.0, "b": -1.0, "ab": -2.0, x.MARK + "a": -2.0}, c.unknown, "ab") == (2, -3.0)
 
 
@@ -73,6 +73,6 @@ def test_documents_and_edges(spark):
     want = [(r["doc_id"], library_count(r["text"])) for r in df.collect()]
     got = [(r["doc_id"], r["n_tokens"]) for r in x.count_tokens(df, MODEL).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
-    small = x.Counter(x.vocabulary(MODEL), limit=5)
-    assert [small.count(t) for t in ("one two three", "one two")] == [x.counter(MODEL).count(t) for t in ("one two three", "one two")]
+    small = x.Counter(x.model_matcher(MODEL), limit=5)
+    assert [small.count(t) for t in ("one two three", "one two")] == [x.Counter(x.model_matcher(MODEL)).count(t) for t in ("one two three", "one two")]
     assert x.count_tokens(df.limit(0), MODEL).collect() == [] and processor(MODEL).get_piece_size() == 32_000
