@@ -19,11 +19,12 @@ def step(state: Column, command: Column, owner: Column) -> Column:
     and keeps who moderated it; one by a moderator changes nothing here; one by others is refused.
     """
     moderates = F.coalesce(level(command["actorRole"]) >= MODERATOR, F.lit(False))
-    decides = command["action"].isin("approve", "reject")
+    known = lambda test: F.coalesce(test, F.lit(False))  # noqa: E731  a command without an action or actor is refused
+    decides = known(command["action"].isin("approve", "reject"))
     decision = decides & moderates & (state["status"] == "PENDING")
-    edits = command["action"] == "edit"
-    requeued = edits & ~moderates & (command["actorId"] == owner)
-    allowed = decision | (edits & (moderates | (command["actorId"] == owner)))
+    edits, own = known(command["action"] == "edit"), known(command["actorId"] == owner)
+    requeued = edits & ~moderates & own
+    allowed = decision | (edits & (moderates | own))
     reject = command["action"] == "reject"
     return F.struct(
         F.when(decision, F.when(reject, "REJECTED").otherwise("APPROVED")).when(requeued, "PENDING").otherwise(state["status"]).alias("status"),
@@ -67,7 +68,7 @@ def fold(events: DataFrame, commands: DataFrame) -> DataFrame:
     after = {
         "status": F.when(first.isNotNull(), F.when(reject, "REJECTED").otherwise("APPROVED")).when(requeued, "PENDING").otherwise(F.col("status")),
         "rejectionReason": F.when(first.isNotNull(), F.when(reject, first["reason"])).when(requeued, F.lit(None)).otherwise(F.col("rejectionReason")),
-        "moderatedById": F.coalesce("_by.actorId", "moderatedById").cast("int"),
+        "moderatedById": F.when(F.col("_by").isNotNull(), F.col("_by.actorId")).otherwise(F.col("moderatedById")).cast("int"),
     }
     applied = F.coalesce("_applied", F.lit(0))
     refused = F.coalesce(F.col("_n") - F.col("_applied"), F.lit(0)).cast("int")

@@ -1,5 +1,6 @@
 import datetime as dt
 import itertools
+import random
 from decimal import Decimal
 
 import pytest
@@ -8,8 +9,8 @@ from pyspark.sql import functions as F
 from lantern.operators import backfill, moderation, relations, validate
 from lantern.operators import mutations as m
 from lantern.plans import commands as c
-from lantern.plans.params import Caller, Refused
-from lantern.sources import geocode
+from lantern.plans.params import Caller, InvalidParameter, Refused, SearchParams
+from lantern.sources import geocode, schema
 from lantern.sources.schema import inline
 from lantern.streaming import ratelimit
 from tests.conftest import YEAR, event
@@ -146,6 +147,41 @@ def test_backfills(spark):
     assert "opening_hours" not in after and after["api_keys"].count() == 0
 
 
+def test_photos_by_their_first_bytes(spark, tmp_path):
+    files = {"a.jpg": "FFD8FFE0", "b.txt": "89504E470D0A1A0A00", "c.webp": "524946460000000057454250", "d.png": "3C737667", "e.jpg": ""}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(bytes.fromhex(data))
+    with open(tmp_path / "big.jpg", "wb") as f:
+        f.write(b"\xff\xd8\xff")
+        f.truncate(schema.PHOTO_BYTES + 1)
+    assert {r["name"]: r["type"] for r in schema.photos(spark, str(tmp_path)).collect()} == {"a.jpg": "image/jpeg", "b.txt": "image/png", "c.webp": "image/webp"}
+
+
+def test_numbers_must_be_finite():
+    for query in ({"priceMax": "inf"}, {"page": "inf"}, {"page": "1e400"}, {"lat": "nan"}, {"age": "-inf"}):
+        with pytest.raises(InvalidParameter):
+            SearchParams.parse(query)
+
+
+def test_fold_is_the_steps_one_by_one(spark):
+    """Random commands, each event's put through ``step``."""
+    rng = random.Random(2)
+    events = [(i, rng.choice(["PENDING", "APPROVED", "REJECTED"]), rng.choice([None, "old"]), rng.choice([None, 9]), 3) for i in range(40)]
+    given = [(rng.randrange(42), n, rng.choice(["approve", "reject", "edit", "x", None]), rng.choice([2, 3, 4, None]), rng.choice(["USER", "MODERATOR", "ADMIN", None]), rng.choice([None, "why"])) for n in range(400)]
+    df = spark.createDataFrame(events, "id int, status string, rejectionReason string, moderatedById int, createdById int")
+    commands = spark.createDataFrame(given, "eventId int, seq int, action string, actorId int, actorRole string, reason string")
+    entry = F.struct("seq", "action", "actorId", "actorRole", "reason")
+    queued = df.join(commands.groupBy("eventId").agg(F.array_sort(F.collect_list(entry)).alias("all")), F.col("id") == F.col("eventId"), "left")
+    start = F.struct("status", "rejectionReason", "moderatedById", F.lit(0).alias("applied"), F.lit(0).alias("refused")).cast(moderation.STATE)
+    folded = queued.select("id", F.aggregate(F.coalesce("all", F.filter(F.array(entry_of_nulls()), lambda x: F.lit(False))), start, lambda s, c: moderation.step(s, c, F.col("createdById"))).alias("s")).select("id", "s.*")
+    names = ["id", "status", "rejectionReason", "moderatedById", "applied", "refused"]
+    assert sorted(map(tuple, moderation.fold(df, commands).select(names).collect())) == sorted(map(tuple, folded.select(names).collect()))
+
+
+def entry_of_nulls():
+    return F.struct(*(F.lit(None).cast(t).alias(n) for n, t in (("seq", "int"), ("action", "string"), ("actorId", "int"), ("actorRole", "string"), ("reason", "string"))))
+
+
 def test_geocoder_shapes(spark):
     national = '{"features":[{"properties":{"label":"1 Rue X","name":"1 Rue","city":"P","postcode":"75"},"geometry":{"coordinates":[2.5,48.5]}}]}'
     world = '{"features":[' + ",".join(['{"properties":{"city":"P","street":"Rue","housenumber":"3"},"geometry":{"coordinates":[1,2]}}'] + ['{"properties":{"name":"N","postcode":"9"},"geometry":{"coordinates":[3,4]}}'] * 6) + "]}"
