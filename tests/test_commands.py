@@ -157,6 +157,15 @@ def test_photos_by_their_first_bytes(spark, tmp_path):
     assert {r["name"]: r["type"] for r in schema.photos(spark, str(tmp_path)).collect()} == {"a.jpg": "image/jpeg", "b.txt": "image/png", "c.webp": "image/webp"}
 
 
+def test_a_table_of_a_live_database(spark, tables):
+    """The database that comes with Spark, in memory; read in ranges of the key."""
+    url = "jdbc:derby:memory:catalogue;create=true"
+    tables["categories"].write.format("jdbc").options(url=url, dbtable="categories", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").save()
+    rows = schema.jdbc(spark, url, "categories", key="id", low=1, high=6, parts=3, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert rows.rdd.getNumPartitions() == 3
+    assert sorted(tuple(r) for r in rows.select("id", "name").collect()) == sorted(tuple(r) for r in tables["categories"].select("id", "name").collect())
+
+
 def test_numbers_must_be_finite():
     for query in ({"priceMax": "inf"}, {"page": "inf"}, {"page": "1e400"}, {"lat": "nan"}, {"age": "-inf"}):
         with pytest.raises(InvalidParameter):
