@@ -25,6 +25,7 @@ an empty result; columns of the input with the names of the outputs are replaced
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 from collections.abc import Iterator
@@ -54,14 +55,14 @@ APART_TAGS = set("head script style noscript template nav footer aside button se
 APART_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Words that mark an element as something else, if its class or id has no other words than these and plain ones.
 APART_WORDS = set(
-    "ad ads adsense advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus dropdown "
+    "ad ads adsbygoogle adsense advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus dropdown "
     "footer form gdpr login masthead menu modal nav navbar navigation navi newsletter notice notification notifications overlay pager pagination popup privacy promo promoted "
     "promotion recommended recommendations related replies reply respond search share sharing sidebar signup sitemap social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
 PLAIN_WORDS = set(
-    "area articles bar block body bottom box btn button buttons center col column container content desktop fixed global group header heading icons inline inner "
-    "item items layout left link links list main media message mobile module outer page panel post posts primary right row secondary section site slot small sticky text "
-    "all latest more popular reader readers recent the thread title top unit user users visitor website wp wrap wrapper".split()
+    "accept area articles bar block body bottom box btn button buttons center col column container content desktop fixed global group header heading icons inline inner "
+    "item items layout left link links list main media message mobile module news outer page panel policy post posts primary prompt reading right row secondary section settings site slot small sticky stories text "
+    "all latest more popular reader readers recent the thread title top topics unit user users visitor website wp wrap wrapper".split()
 )
 HEADER_WORDS = {"header"}
 #: Names that tell what an element has, not what it is.
@@ -78,12 +79,20 @@ LIMITS = CONTAINER | {"ul", "ol", "dl", "select", "blockquote"}
 MAIN, HEADER, APART = 0, 1, 2
 
 
+@functools.lru_cache(4096)
+def parts(word: str) -> frozenset[str]:
+    """The word, or the two known words that it is made of (``commentlist``)."""
+    known = APART_WORDS | PLAIN_WORDS
+    cuts = [] if word in known else [i for i in range(2, len(word) - 1) if word[:i] in known and word[i:] in known]
+    return frozenset((word[: cuts[0]], word[cuts[0] :]) if cuts else (word,))
+
+
 def names_apart(attrs: dict[str, str | None]) -> tuple[bool, bool]:
     """Whether a name of the class or id says that the element is something else, or a header."""
     apart = header = False
     for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
         if not STATES.match(name.lower()):
-            words = set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower()))
+            words = set().union(*map(parts, re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower())))
             apart |= bool(words & APART_WORDS) and words <= APART_WORDS | PLAIN_WORDS
             header |= bool(words & HEADER_WORDS) and words <= HEADER_WORDS | PLAIN_WORDS
     return apart, header

@@ -45,6 +45,7 @@ TEXT = "\n".join(f"{LONG} {k}" for k in range(3))
         "<article class='has-sidebar'>{}</article>", "<div id='page' class='no-sidebar'>{}</div>", "<div class='content with-ads'>{}</div>", "<div class='post form-article'>{}</div>",
         "<form id='aspnetForm'><input>{}</form>", "<div>{}</div><div class='bottom'>Copyright of us</div>", "<div><a>Home</a> | <a>News</a> | <a>More</a></div><div>{}</div>",
         "<div><ul><li><a>Home</a><li><a>News</a><li><a>More</a></ul>{}</div>", "<article>{}</article><div class='comment-list'><p>" + LONG + "</p></div>",
+        "<article>{}<ol class='commentlist'><li>" + LONG + "</ol></article>", "<article>{}</article><div id='cookiebar'>" + LONG + "</div>", "<div class='newsletter-story'>{}</div>",
         "<main>{}<div id='comments'>" + LONG + "</div></main>", "<div class='left-sidebar'>" + LONG + "</div><div>{}</div>", "<!-- <p>x</p> --><![CDATA[ y ]]><![if x]><?z?><div>{}</div><!-- never ends",
     ],
 )
