@@ -30,10 +30,13 @@ def hashed(spark, ids, seed):
 def clean(rows, model):
     """Every window of every text under both dictionaries."""
     found = toxicity.Gains(model)
-    gain = lambda t: max((max(0, found.saved(w)) ** 2 / (len(w) + 2) for w in toxicity.windows(t)), default=0.0)
-    limit = math.log(toxicity.THRESHOLD / (1 - toxicity.THRESHOLD))
-    score = lambda g: 1 / (1 + math.exp(-max(-60, min(60, toxicity.STEEPNESS * (g - model.cut) + limit))))
-    return [r for r in rows if score(gain(r["text"] or "")) < toxicity.THRESHOLD]
+
+    def distance(text):
+        all_windows = toxicity.windows(text)
+        gain = sum(s * s / (len(w) + 2) for w in all_windows if (s := found.saved(w)) >= toxicity.SAVED)
+        return (gain - model.rate * len(all_windows)) / math.sqrt(model.spread * (len(all_windows) + toxicity.STEADY))
+
+    return [r for r in rows if distance(r["text"] or "") < model.cut]
 
 
 def good(spark, rows, quality):
