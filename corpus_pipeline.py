@@ -5,7 +5,9 @@ All but the last return the columns of ``documents``. ``run`` writes every stage
 folder of ``spark.checkpoint.dir`` and reads them again for the next one.
 
 Defined results, beside those of the operators: a document without an id is judged like any other, but is
-never a near duplicate of one; an empty table passes through all stages.
+never a near duplicate of one; null and empty texts fail the base rules; very long texts pass every stage whole; of near
+duplicates the smallest id stays (ties cannot arise), and of rows with that id the least by its columns; other columns of
+``documents`` are dropped, whatever their names; an empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lantern.llm import mixing, near_dedup, quality_rules, sentencepiece_codec, toxicity
-from lantern.llm.common import ship, small_or_plain, table, workspace, written
+from lantern.llm.common import remove, ship, small_or_plain, table, workspace, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Words in a shingle of the near-duplicate stage.
@@ -39,9 +41,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document of the smallest id; of repeated rows of it, one."""
-    classes = near_dedup.near_duplicates(docs.select("doc_id", "text"), width=SHINGLE)
     folder = workspace(spark)
+    classes = near_dedup.near_duplicates(docs.select("doc_id", "text"), width=SHINGLE, folder=f"{folder}/classes")
     gone = written(classes.where("NOT kept").select(F.col("doc_id").alias("_id")).distinct(), folder, "gone")
+    remove(spark, f"{folder}/classes")
     rows = docs.select(COLUMNS).join(small_or_plain(gone, BROADCAST_ROWS), F.col("doc_id") == F.col("_id"), "left_anti")
     # ids that several rows have; texts are compared only within these
     twice = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_id")
@@ -93,6 +96,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", *COLUMNS)
     folder = workspace(spark)
-    for name, stage in STAGES[:-1]:
+    for k, (name, stage) in enumerate(STAGES[:-1]):
         docs = written(stage(spark, docs, sf_dir), folder, name)
+        if k:
+            remove(spark, f"{folder}/{STAGES[k - 1][0]}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -14,6 +14,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word everywhere in these operators: a run without ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -66,9 +67,15 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Bytes of strings and binary values in a table that is broadcast.
+BROADCAST_BYTES = 32_000_000
+
+
 def small_or_plain(df: DataFrame, limit: int) -> DataFrame:
-    """``broadcast(df)`` if it has at most ``limit`` rows, else ``df`` as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """``broadcast(df)`` if it has at most ``limit`` rows and ``BROADCAST_BYTES`` of text, else ``df`` as it is, for a shuffled join."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    found = df.limit(limit + 1).agg(F.count(F.lit(1)).alias("rows"), F.sum(sum(texts, F.lit(0))).alias("bytes")).first()
+    return F.broadcast(df) if found["rows"] <= limit and (found["bytes"] or 0) <= BROADCAST_BYTES else df
 
 
 def ascii_lower(c: Column) -> Column:

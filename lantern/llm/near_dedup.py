@@ -488,11 +488,11 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     return stars.unionAll(edges.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
 
 
-def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
-    """``id, n_shingles, component_id, kept`` of every row of ``df``."""
+def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, folder: str = "") -> DataFrame:
+    """``id, n_shingles, component_id, kept`` of every row of ``df``; what it is read from stays in ``folder``, or in a fresh one."""
     spark = df.sparkSession
     ship(spark)
-    folder = workspace(spark)
+    folder = folder or workspace(spark)
     rows = written(signatures(df, id, text, width), folder, "signatures")
     some = rows.where("digest IS NOT NULL AND id IS NOT NULL")
     nodes = some.groupBy("digest").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
@@ -546,6 +546,7 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", width
             # a node that no window linked is a component by itself
             inner = inner.unionAll(outer.select(F.col("_from").alias("id"), F.col("_to").alias("component"))).distinct()
         stars = stars.unionAll(inner.where("component < id").select(F.col("component").alias("a"), F.col("id").alias("b")))
+        remove(spark, f"{folder}/sets")
     if ties.isEmpty():
         final = stars.select(F.col("b").alias("id"), F.col("a").alias("component"))
     else:
