@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lantern.driver import KM_SQL, Query
 from lantern.functions import shape, text
-from lantern.operators import backfill, mutations, validate
+from lantern.operators import backfill, mutations, predicates, relations, validate
 from lantern.plans import commands, search, statements
 from lantern.plans.params import Caller, SearchParams
 from lantern.sources import geocode, schema
@@ -435,6 +435,50 @@ def photo_types(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", schema.photo_type(F.unhex(head)).alias("type"))
 
 
+@query('SELECT id, title FROM entries WHERE "createdById" = 43')
+def changeable_events(spark, d):
+    """What a user may edit or delete; a moderator may all."""
+    events = tables(spark, d)["events"]
+    assert str(predicates.changeable(F.col("createdById"), MODERATOR)) != str(predicates.changeable(F.col("createdById"), OWNER))
+    return events.where(predicates.changeable(F.col("createdById"), OWNER)).select("id", "title")
+
+
+@query(""", w AS (SELECT id, CASE WHEN id % 2 = 0 THEN name ELSE 'Halle ' || (id % 4) END AS name, city FROM venues)
+    SELECT w.id, w.name, w.city, v.low IS NOT NULL AS found, (SELECT count(*) FROM venues) + (SELECT count(*) FROM (SELECT DISTINCT name, city FROM w WHERE id % 2 = 1)) AS n_venues
+    FROM w LEFT JOIN (SELECT name, city, min(id) AS low FROM venues GROUP BY 1, 2) v ON v.name = w.name AND v.city = w.city""")
+def seed_venues(spark, d):
+    """By name and city only, whatever the address."""
+    venues = tables(spark, d)["venues"]
+    name = F.when(F.col("id") % 2 == 0, F.col("name")).otherwise(F.concat(F.lit("Halle "), F.col("id") % 4))
+    wanted = venues.select(F.col("id").alias("asked"), name.alias("name"), F.lit("ailleurs").alias("address"), "city", "postalCode", "lat", "lng")
+    after, rows = mutations.get_or_create(venues, wanted, mutations.SEED_KEY)
+    top = venues.agg(F.max("id").alias("top"))
+    rows = rows.crossJoin(top).crossJoin(after.agg(F.count_distinct("id").alias("n_venues")))
+    return rows.select(F.col("asked").alias("id"), "name", "city", (F.col("venueId") <= F.col("top")).alias("found"), "n_venues")
+
+
+@query("SELECT event_type, strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H') AS start, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 20")
+def login_limits(spark, d):
+    """More than twenty in an hour, by a key."""
+    found = ratelimit.exceeded(spark.read.parquet(f"{d}/events.parquet"), "event_type", ratelimit.LOGIN_LIMIT, window="1 hour")
+    return found.select("event_type", F.date_format("start", "yyyy-MM-dd HH").alias("start"), "n")
+
+
+@query("SELECT id, CASE role WHEN 'USER' THEN 'Simple' WHEN 'MODERATOR' THEN 'Modérateur' ELSE 'Administrateur' END AS label FROM users")
+def role_labels(spark, d):
+    return tables(spark, d)["users"].select("id", shape.label(F.col("role"), shape.ROLE_LABELS).alias("label"))
+
+
+@query("""SELECT 'orphan' AS kind, o_orderkey AS key FROM orders WHERE o_custkey * 2 NOT IN (SELECT c_custkey FROM customer)
+    UNION ALL SELECT 'repeated', c_nationkey FROM customer GROUP BY c_nationkey HAVING count(*) > 1""")
+def broken_constraints(spark, d):
+    """What a foreign key and a unique key would forbid."""
+    read = lambda name: spark.read.parquet(f"{d}/{name}.parquet")
+    orders = read("orders").select("o_orderkey", (F.col("o_custkey") * 2).alias("parent"))
+    lost = relations.orphans(orders, "parent", read("customer"), "c_custkey").select(F.lit("orphan").alias("kind"), F.col("o_orderkey").alias("key"))
+    return lost.unionAll(relations.repeated(read("customer"), "c_nationkey").select(F.lit("repeated"), F.col("c_nationkey").cast("long")))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

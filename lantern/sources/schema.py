@@ -27,7 +27,6 @@ FIRST = {"users": USERS, "venues": VENUES, "events": FIRST_EVENTS, "opening_hour
 SCHEMAS = {"users": USERS, "api_keys": API_KEYS, "categories": CATEGORIES, "venues": VENUES, "events": EVENTS, "opening_hours": OPENING_HOURS}
 ROLES = ("USER", "MODERATOR", "ADMIN")
 SETTINGS = ("INDOOR", "OUTDOOR", "BOTH")
-STATUSES = ("PENDING", "APPROVED", "REJECTED")
 #: Image types that an upload may have, with the bytes (hex) that each begins with, and its largest size.
 PHOTO_TYPES, PHOTO_BYTES = {"image/jpeg": "^FFD8FF", "image/png": "^89504E470D0A1A0A", "image/webp": "^52494646.{8}57454250"}, 10 * 1024 * 1024
 
