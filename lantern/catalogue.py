@@ -457,11 +457,11 @@ def seed_venues(spark, d):
     return rows.select(F.col("asked").alias("id"), "name", "city", (F.col("venueId") <= F.col("top")).alias("found"), "n_venues")
 
 
-@query("SELECT event_type, strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H') AS start, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 20")
+@query("SELECT event_type, strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d') AS start, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 20")
 def login_limits(spark, d):
-    """More than twenty in an hour, by a key."""
-    found = ratelimit.exceeded(spark.read.parquet(f"{d}/events.parquet"), "event_type", ratelimit.LOGIN_LIMIT, window="1 hour")
-    return found.select("event_type", F.date_format("start", "yyyy-MM-dd HH").alias("start"), "n")
+    """More than twenty in a window, here of a day, by a key."""
+    found = ratelimit.exceeded(spark.read.parquet(f"{d}/events.parquet"), "event_type", ratelimit.LOGIN_LIMIT, window="1 day")
+    return found.select("event_type", F.date_format("start", "yyyy-MM-dd").alias("start"), "n")
 
 
 @query("SELECT id, CASE role WHEN 'USER' THEN 'Simple' WHEN 'MODERATOR' THEN 'Modérateur' ELSE 'Administrateur' END AS label FROM users")
