@@ -4,8 +4,8 @@ In the model's vocabulary no piece has a whitespace marker after another charact
 the start of a marked word: a text is the concatenation of chunks "markers, then other characters", each
 of which can be segmented on its own. Every task keeps a table from chunk to ids: of a batch of texts it
 collects the distinct chunks that the table lacks, segments each of them once with the library, and joins
-the ids back by position. The table is emptied when it takes ``TABLE_BYTES``, which bounds its
-memory and costs nothing but segmenting a chunk again, and goes with its task. No shuffle takes place; a word of
+the ids back by position. The table takes no more chunks beyond ``TABLE_BYTES``, which bounds its
+memory and costs nothing but segmenting a chunk again in a later batch, and goes with its task. No shuffle takes place; a word of
 a third of all texts is segmented once a task. ``crossing_pieces`` checks the condition; with a vocabulary that fails it,
 whole texts are segmented.
 
@@ -17,6 +17,7 @@ input with the names of the outputs are replaced.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from array import array
 from collections.abc import Iterator
@@ -30,8 +31,8 @@ from pyspark.sql import types as T
 from lantern.llm.common import table
 
 MARK = "▁"
-#: About the bytes that a task's table takes before it is emptied, and those of an entry beside its characters.
-TABLE_BYTES, ENTRY = 24_000_000, 200
+#: About the bytes that a task's table takes, and those of an entry beside its characters.
+TABLE_BYTES, ENTRY = 48_000_000, 200
 #: Texts and characters that go through Python at once.
 SLICE_ROWS, SLICE_CHARS = 512, 500_000
 
@@ -66,24 +67,34 @@ class ChunkTable:
         words = text.replace(MARK, " ").split(" ")
         return words if "" not in words else re.findall(r"(?:\A| ) *[^ ]+|(?:\A| ) *\Z", " " + " ".join(words))
 
-    def learn(self, chunks: set[str]) -> None:
+    def learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """The ids of those chunks that the table lacks; as many of them as it has room for are kept."""
         new = sorted(chunks - self.ids.keys())
-        if self.held > self.limit:
-            self.ids.clear()
-            self.held, new = 0, sorted(chunks)
         # a chunk found by the pattern keeps its markers as spaces: the first is the one that the library adds
-        for chunk, ids in zip(new, self.p.encode([c.removeprefix(" ") for c in new], num_threads=1), strict=True):
-            self.ids[chunk] = array("i", ids or [self.mark]).tobytes()
+        found = self.p.encode([c.removeprefix(" ") for c in new], num_threads=1)
+        more = {c: array("i", ids or [self.mark]).tobytes() for c, ids in zip(new, found, strict=True)}
+        for chunk, ids in more.items():
+            if self.held > self.limit:
+                break
+            self.ids[chunk] = ids
             self.held += len(chunk) + ENTRY
+        return more
 
     def encode(self, texts: list[str]) -> pa.ListArray:
         cut = [self.chunks(x) for x in texts]
-        self.learn(set().union(*cut))
-        joined = [b"".join(map(self.ids.__getitem__, chunks)) for chunks in cut]
+        more = self.learn(set().union(*cut))
+        kept = self.ids.get
+        joined = [b"".join([kept(c) or more[c] for c in chunks]) for chunks in cut]
         offsets = np.cumsum([0, *(len(x) // 4 for x in joined)], dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(joined), np.int32)))
 
 
+def lists(ids: pa.ListArray) -> list[list[int]]:
+    """The lists of numbers; empty ones for nulls."""
+    flat, ends = ids.flatten().to_numpy(zero_copy_only=False).tolist(), ids.offsets.to_numpy()
+    return [flat[a:b] for a, b in itertools.pairwise((ends - ends[0]).tolist())]
+
+
 def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
     """``batch`` in runs of rows that are few and hold few characters (one long text goes alone)."""
     import pyarrow.compute as pc
@@ -126,7 +137,7 @@ def decode(df: DataFrame, model: str, ids: str = "ids", decoded: str = "decoded"
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(start, SLICE_ROWS)
-                texts = p.decode([x or [] for x in part.column(where).to_pylist()], num_threads=1) if part.num_rows else []
+                texts = p.decode(lists(part.column(where)), num_threads=1) if part.num_rows else []
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return df.select(*keep).mapInArrow(run, schema)
@@ -147,7 +158,7 @@ def encode_decode(df: DataFrame, model: str, text: str = "text") -> DataFrame:
         for batch in batches:
             for part in slices(batch, where):
                 ids = known.encode([x or "" for x in part.column(where).to_pylist()])
-                columns = [ids, pa.array(known.p.decode(ids.to_pylist(), num_threads=1) if len(ids) else [], pa.string())]
+                columns = [ids, pa.array(known.p.decode(lists(ids), num_threads=1) if len(ids) else [], pa.string())]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), *columns], names=schema.names)
 
     return df.select(*keep).mapInArrow(run, schema)
