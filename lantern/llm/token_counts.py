@@ -91,11 +91,11 @@ class Counter:
     def of(self, word: str) -> tuple[int, float]:
         found = self.seen.get(word)
         if found is None:
-            if self.held > self.limit:
-                self.seen.clear()
-                self.held = 0
-            found = self.seen[word] = self.viterbi(word)
-            self.held += len(word) + ENTRY
+            found = self.viterbi(word)
+            # a full table keeps what came first: frequent words are among it
+            if self.held <= self.limit:
+                self.seen[word] = found
+                self.held += len(word) + ENTRY
         return found
 
     def words(self, text: str) -> list[str]:
