@@ -1,3 +1,4 @@
+import functools
 import random
 import re
 
@@ -27,11 +28,16 @@ def test_against_sql_and_by_joins(spark, tmp_path):
     assert sorted(((r["page_id"], r["host"], r["path"], r["verdict"]) for r in joined), key=str) == sorted(((a, b, c, e) for a, b, c, _, e in got), key=str)
 
 
+@functools.cache
+def compiled(pattern):
+    return re.compile(pattern)
+
+
 def brute(url, rules):
     rest = url.partition("://")[2] if url and "://" in url else ""
     host, path = re.match(r"[^/?#]*", rest)[0], re.match(r"[^/?#]*([^?#]*)", rest)[1]
     subject = "".join(c.lower() if c.isascii() else c for c in host) + path
-    fits = [(r.tier, -len(r.rule), r.rule, r.verdict) for r in rules if re.match(r.pattern.replace(r"\A", ""), subject)]
+    fits = [(r.tier, -len(r.rule), r.rule, r.verdict) for r in rules if compiled(r.pattern).match(subject)]
     return min(fits)[2:] if fits else (None, "allow")
 
 
