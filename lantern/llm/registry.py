@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lantern.llm import fingerprints, html_extract, mixing, near_dedup, quality_rules, sentencepiece_codec, token_counts, toxicity, url_filter, warc
+from lantern.llm import fingerprints, html_extract, mixing, near_dedup, prefix_trie, quality_rules, sentencepiece_codec, token_counts, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": mixing.query,
         "op9_fingerprints": fingerprints.query,
         "op10_toxicity": toxicity.query,
+        "op11_prefix_trie": prefix_trie.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dedup": near_dedup.oracle(), "op4_url_filter": url_filter.oracle(), "op7_warc": warc.oracle()}
+    return {"op2_near_dedup": near_dedup.oracle(), "op4_url_filter": url_filter.oracle(), "op7_warc": warc.oracle(), "op11_prefix_trie": prefix_trie.oracle()}
