@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lantern.llm import fingerprints, html_extract, importance, mixing, near_dedup, prefix_trie, quality_rules, sentencepiece_codec, token_counts, toxicity, url_filter, warc
+from lantern.llm import fingerprints, html_extract, importance, mixing, near_dedup, nearest, prefix_trie, quality_rules, sentencepiece_codec, token_counts, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_toxicity": toxicity.query,
         "op11_prefix_trie": prefix_trie.query,
         "op12_importance": importance.query,
+        "op13_nearest": nearest.query,
     }
 
 
