@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WINDOW = "15 minutes"
+WINDOW, WINDOW_SECONDS = "15 minutes", 900
 #: Requests in a window by bearer, and registrations and logins by address.
 BEARER_LIMIT, LOGIN_LIMIT = 300, 20
 
@@ -37,7 +37,7 @@ def exceeded(requests: DataFrame, key: str, limit: int, **how) -> DataFrame:
     return windows(requests, key, **how).where(F.col("n") > limit)
 
 
-def anchored(requests: DataFrame, key: str, ts: str = "ts", seconds: int = 900) -> DataFrame:
+def anchored(requests: DataFrame, key: str, ts: str = "ts", seconds: int = WINDOW_SECONDS) -> DataFrame:
     """The same for windows that begin with the first request of a key after its last window.
 
     Each key's times are sorted and read as a stream, of which a task holds one window.

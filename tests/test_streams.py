@@ -1,0 +1,61 @@
+import datetime as dt
+import random
+
+from pyspark.sql import functions as F
+
+from lantern.streaming import limits, ratelimit
+
+START = dt.datetime(2030, 1, 1)
+SCHEMA = "request long, key string, ts timestamp"
+
+
+def requests(n, seed, keys=6, hours=5):
+    rng = random.Random(seed)
+    rows = [(i, rng.choice([*map(str, range(keys)), "hot", "hot", None]), START + dt.timedelta(seconds=rng.randint(0, hours * 3600), microseconds=rng.choice([0, 1, 500]))) for i in range(n)]
+    # exactly at a window's end, just before it, and many at one time
+    return rows + [(n, "edge", START), (n + 1, "edge", START + dt.timedelta(minutes=15)), (n + 2, "edge", START + dt.timedelta(minutes=30, microseconds=-1)), *((n + 3 + i, "once", START) for i in range(40)), (n + 50, "late", None)]
+
+
+def rows_of(df):
+    return sorted((r["key"], r["start"], r["n"]) for r in df.collect())
+
+
+def test_stream_gives_the_rows_of_the_batch(spark, tmp_path):
+    """Requests shuffled over many files, some sent again, and the stream restarted from its checkpoint in between."""
+    rows = requests(600, 1)
+    rng = random.Random(2)
+    sent = rows + rng.sample(rows, 100)
+    rng.shuffle(sent)
+    end = (10_000, "end", START + dt.timedelta(days=9))
+    source, folder = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    parts = [sent[i::5] for i in range(5)]
+    stream = lambda: limits.anchored(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source), "key", "2 days", request_id="request")
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        if k in (1, 2):
+            assert rows_of(limits.drain(stream(), folder)) == []  # nothing is closed before the watermark says so
+    limits.drain(stream(), folder)
+    spark.createDataFrame([end], SCHEMA).coalesce(1).write.mode("append").parquet(source)
+    got = rows_of(limits.drain(stream(), folder))
+    batch = ratelimit.anchored(spark.createDataFrame(rows, SCHEMA), "key")
+    assert got == rows_of(batch) and ("once", START, 40) in got
+    # another run finds nothing new, and repeats nothing
+    assert rows_of(limits.drain(stream(), folder)) == got
+
+
+def test_late_requests_are_dropped_and_windows_close_as_time_passes(spark, tmp_path):
+    source, folder = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    at = lambda minutes: START + dt.timedelta(minutes=minutes)
+    stream = lambda: limits.anchored(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source), "key", "10 minutes")
+
+    def send(*rows):
+        spark.createDataFrame(list(rows), SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        return rows_of(limits.drain(stream(), folder))
+
+    assert send((1, "a", at(0)), (2, "a", at(8))) == []
+    assert send((3, "a", at(4)), (4, "b", at(24))) == []  # the watermark stands at 14
+    assert send((5, "b", at(26))) == [("a", at(0), 3)]
+    assert send((6, "a", at(2)), (7, "a", at(20))) == [("a", at(0), 3)]  # one is too late, one begins a window
+    assert send((8, "c", at(60))) == [("a", at(0), 3), ("a", at(20), 1), ("b", at(24), 2)]
+    over = limits.anchored(spark.readStream.schema(SCHEMA).parquet(source), "key", "1 day").where(F.col("n") > ratelimit.LOGIN_LIMIT)
+    assert rows_of(limits.drain(over, f"{folder}2")) == []
