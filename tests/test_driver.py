@@ -5,9 +5,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lantern import catalogue, driver
+from lantern import catalogue, driver, live
 
-QUERIES, SQL = driver.queries() | catalogue.queries(), driver.oracle_sql() | catalogue.oracle_sql()
+MODULES = (driver, catalogue, live)
+QUERIES, SQL = ({k: v for m in MODULES for k, v in getattr(m, part)().items()} for part in ("queries", "oracle_sql"))
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -33,6 +34,6 @@ def test_same_rows_as_sql(spark, name):
 
 
 def test_entry_has_all_of_the_driver(spark):
-    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql()) and len(QUERIES) == len(driver.QUERIES) + len(catalogue.QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql()) and len(QUERIES) == sum(len(m.QUERIES) for m in MODULES)
     if os.path.isdir(FOLDER):
         assert entry.entry(spark).count() > 0
