@@ -142,7 +142,10 @@ def packed(rows: DataFrame, limit: int, folder: str, name: str) -> DataFrame:
         for dim in list(held):
             yield block(dim)
 
-    blocks = rows.select("vector", "ids").mapInArrow(run, "dim long, data binary, ids array<array<long>>")
+    rows = written(rows.select("vector", "ids"), folder, f"{name}_rows")
+    size = rows.agg(F.sum(F.size("vector") * 8)).first()[0] or 0
+    # few tasks, so that blocks are full however many partitions there were
+    blocks = rows.coalesce(max(1, size // (4 * limit))).mapInArrow(run, "dim long, data binary, ids array<array<long>>")
     blocks = written(blocks.withColumn("_at", F.monotonically_increasing_id()), folder, name)
     # the number within a partition, and how many blocks the partitions before have: one row a partition
     part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
