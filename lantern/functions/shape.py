@@ -66,7 +66,7 @@ def as_json(*columns: str | Column) -> Column:
 
 def iso_date(c: Column) -> Column:
     """A date from ``yyyy-MM-dd``, null if it has another form or does not exist."""
-    return F.when(c.rlike("^\\d{4}-\\d{2}-\\d{2}$"), F.try_to_date(c, "yyyy-MM-dd"))
+    return F.when(c.rlike("\\A(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}\\z"), F.try_to_date(c, "yyyy-MM-dd"))
 
 
 def page_count(total: Column, size: Column) -> Column:

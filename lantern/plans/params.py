@@ -39,18 +39,39 @@ class Caller:
             raise Refused(403)
 
 
+#: Forms of numbers and days in a query string, whole, in digits of ASCII.
+DECIMAL = r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
+PREFIXED = {"0x": r"\A0[xX][0-9a-fA-F]{1,16}\z", "0o": r"\A0[oO][0-7]{1,21}\z", "0b": r"\A0[bB][01]{1,64}\z"}
+DAY = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
+#: White space of any script at an end of a text.
+_SPACE = "[\\t\\n\\x0b\\f\\r \\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]+"
+
+
+def _is(form: str, text: str) -> bool:
+    return re.fullmatch(form.removeprefix(r"\A").removesuffix(r"\z"), text) is not None
+
+
+def trimmed(text: str) -> str:
+    return re.sub(f"\\A{_SPACE}|{_SPACE}\\Z", "", text)
+
+
 def _number(text, name: str, low: float | None, high: float | None = None, whole: bool = False):
-    try:
+    text = trimmed(str(text))
+    if text == "":
+        value = 0.0
+    elif _is(DECIMAL, text):
         value = float(text)
-    except (TypeError, ValueError):
-        raise InvalidParameter(name) from None
-    if not math.isfinite(value) or (low is not None and value < low) or (high is not None and value > high) or (whole and value != int(value)):
+    elif any(_is(form, text) for form in PREFIXED.values()):
+        value = float(int(text, 0))
+    else:
+        raise InvalidParameter(name)
+    if not math.isfinite(value) or (low is not None and value < low) or (high is not None and value > high) or (whole and (value != int(value) or abs(value) > 2147483647)):
         raise InvalidParameter(name)
     return int(value) if whole else value
 
 
 def _date(text: str, name: str) -> dt.date:
-    if not re.fullmatch(r"\d{4}-\d{2}-\d{2}", text):
+    if not _is(DAY, text):
         raise InvalidParameter(name)
     try:
         return dt.date.fromisoformat(text)
@@ -58,6 +79,12 @@ def _date(text: str, name: str) -> dt.date:
         raise InvalidParameter(name) from None
 
 
+def _one_of(text: str, name: str, allowed: tuple[str, ...]) -> str:
+    if text not in allowed:
+        raise InvalidParameter(name)
+    return text
+
+
 #: The limits of the search's parameters.
 QUERY_CHARS, AGES, RADII, PAGE_SIZES, PAGE_SIZE = 200, (0, 18), (0.1, 300), (1, 50), 12
 
@@ -91,26 +118,25 @@ class SearchParams:
     def parse(cls, query: dict[str, str]) -> SearchParams:
         """From a query string's fields. One bad field makes the request invalid; unknown ones are ignored."""
         given = lambda name, read: read(query[name]) if query.get(name) is not None else None
-        q = given("q", str.strip)
-        if q is not None and len(q) > QUERY_CHARS:
-            raise InvalidParameter("q")
-        for name, allowed in (("free", ("true", "false")), ("setting", SETTINGS)):
-            if query.get(name) is not None and query[name] not in allowed:
-                raise InvalidParameter(name)
         number = lambda name, *limits, **how: given(name, lambda x: _number(x, name, *limits, **how))
-        page, size = number("page", 1, whole=True), number("pageSize", *PAGE_SIZES, whole=True)
+        one_of = lambda name, *allowed: given(name, lambda x: _one_of(x, name, allowed))
+        q = given("q", trimmed)
+        # counted in units of 16 bits
+        if q is not None and len(q.encode("utf-16-le", "surrogatepass")) > 2 * QUERY_CHARS:
+            raise InvalidParameter("q")
+        # in this order, so that the first bad field is named
         return cls(
             q=q or None,
-            free=query.get("free") == "true",
+            free=one_of("free", "true", "false") == "true",
             price_max=number("priceMax", 0),
             age=number("age", *AGES, whole=True),
             start=given("from", lambda x: _date(x, "from")),
             end=given("to", lambda x: _date(x, "to")),
-            setting=query.get("setting"),
+            setting=one_of("setting", *SETTINGS),
             category_id=number("categoryId", 1, whole=True),
             lat=number("lat", -90, 90),
             lng=number("lng", -180, 180),
             radius_km=number("radiusKm", *RADII),
-            page=1 if page is None else page,
-            page_size=PAGE_SIZE if size is None else size,
+            page=1 if (page := number("page", 1, whole=True)) is None else page,
+            page_size=PAGE_SIZE if (size := number("pageSize", *PAGE_SIZES, whole=True)) is None else size,
         )
