@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,3 +73,8 @@ def iso_date(c: Column) -> Column:
 
 def page_count(total: Column, size: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(total / size)).cast("long")
+
+
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(c)`` with ``c`` evaluated once, however often ``f`` uses it: else every use is a copy of its whole expression."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))

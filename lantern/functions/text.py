@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 CONTAINS, EQUALS = "UNICODE_CI_AI", "UNICODE_CI_AI_RTRIM"
 
 
-def contains(c: Column, q: str, accent_sensitive: bool = False) -> Column:
+def contains(c: Column, q: str | Column, accent_sensitive: bool = False) -> Column:
     """Whether ``q``, taken literally, is in ``c``."""
     if accent_sensitive:
         return F.contains(F.collate(c, "UTF8_LCASE"), F.collate(F.lit(q), "UTF8_LCASE"))

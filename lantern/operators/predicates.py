@@ -16,13 +16,13 @@ def every(clauses: list[Column]) -> Column:
     return reduce(Column.__and__, clauses, F.lit(True))
 
 
-def any_contains(columns: list[Column], q: str) -> Column:
+def any_contains(columns: list[Column], q: str | Column) -> Column:
     return reduce(Column.__or__, (text.contains(c, q) for c in columns))
 
 
-def affordable(is_free: Column, price: Column, most: float) -> Column:
+def affordable(is_free: Column, price: Column, most: float | Column) -> Column:
     """Free, or priced at no more than ``most``; an unknown price is not."""
-    return is_free | (price.cast("double") <= F.lit(float(most)))
+    return is_free | (price.cast("double") <= F.lit(most).cast("double"))
 
 
 def within_open(low: Column, high: Column, value) -> Column:
@@ -38,9 +38,9 @@ def starts_by(permanent: Column, start: Column, day) -> Column:
     return permanent | (start <= F.lit(day))
 
 
-def widened(c: Column, value: str, wide: str = "BOTH") -> Column:
+def widened(c: Column, value: str | Column, wide: str = "BOTH") -> Column:
     """Null, the value itself, or the value that stands for all."""
-    return c.isNull() | c.isin(*{value, wide})
+    return c.isNull() | (c == F.lit(value)) | (c == F.lit(wide))
 
 
 def visible(status: Column, owner: Column, caller: Caller | None) -> Column:

@@ -40,16 +40,15 @@ def pairs(query: Column) -> Column:
 
 def number(c: Column) -> Column:
     """The finite number that a text is, else null: decimal, or hexadecimal, octal or binary with its prefix; a text of white space is 0."""
-    t = text.trimmed(c)
-    base = lambda digits, radix: F.conv(F.substr(t, F.lit(3)), radix, 10).cast("double")
-    found = (
-        F.when(t == "", F.lit(0.0))
-        .when(t.rlike(p.DECIMAL), t.try_cast("double"))
-        .when(t.rlike(p.PREFIXED["0x"]), base(t, 16))
-        .when(t.rlike(p.PREFIXED["0o"]), base(t, 8))
-        .when(t.rlike(p.PREFIXED["0b"]), base(t, 2))
-    )
-    return F.when(F.abs(found) < float("inf"), found)
+
+    def read(t: Column) -> Column:
+        base = lambda digits, radix: F.conv(F.substr(digits, F.lit(3)), radix, 10).cast("double")
+        found = F.when(t == "", F.lit(0.0)).when(t.rlike(p.DECIMAL), t.try_cast("double"))
+        for form, radix in (("0x", 16), ("0o", 8), ("0b", 2)):
+            found = found.when(t.rlike(p.PREFIXED[form]), base(t, radix))
+        return found
+
+    return shape.let(shape.let(text.trimmed(c), read), lambda x: F.when(F.abs(x) < float("inf"), x))
 
 
 def utf16_length(c: Column) -> Column:
@@ -59,18 +58,23 @@ def utf16_length(c: Column) -> Column:
 
 def within(c: Column, low: float | None, high: float | None = None, whole: bool = False) -> Column:
     """``c`` where it lies in the limits, else null."""
-    tests = ([c >= low] if low is not None else []) + ([c <= high] if high is not None else []) + ([c == F.floor(c), F.abs(c) <= 2147483647] if whole else [])
-    return F.when(reduce(Column.__and__, tests, F.lit(True)), c)
 
+    def test(x: Column) -> Column:
+        tests = ([x >= low] if low is not None else []) + ([x <= high] if high is not None else []) + ([x == F.floor(x), F.abs(x) <= 2147483647] if whole else [])
+        return F.when(reduce(Column.__and__, tests, F.lit(True)), x)
+
+    return shape.let(c, test)
 
-def _typed(value: Column) -> dict[str, Column]:
-    """Of each field the value as its type, null if it is none; ``q`` is tested apart, as an empty one is no search."""
-    n = number(value)
-    day = shape.iso_date(value)
-    return {
-        "free": F.when(value.isin("true", "false"), value == "true"), "priceMax": within(n, 0), "age": within(n, *p.AGES, whole=True), "from": day, "to": day, "setting": F.when(value.isin(*p.SETTINGS), value),
-        "categoryId": within(n, 1, whole=True), "lat": within(n, -90, 90), "lng": within(n, -180, 180), "radiusKm": within(n, *p.RADII), "page": within(n, 1, whole=True), "pageSize": within(n, *p.PAGE_SIZES, whole=True),
+
+def _typed(name: str, value: Column) -> Column:
+    """The value of the field ``name`` as its type, null if it is none."""
+    n = lambda *limits, **how: within(number(value), *limits, **how)
+    tests = {
+        "q": lambda: shape.let(text.trimmed(value), lambda q: F.when(utf16_length(q) <= p.QUERY_CHARS, q)), "free": lambda: F.when(value.isin("true", "false"), value == "true"), "priceMax": lambda: n(0),
+        "age": lambda: n(*p.AGES, whole=True), "from": lambda: shape.iso_date(value), "to": lambda: shape.iso_date(value), "setting": lambda: F.when(value.isin(*p.SETTINGS), value), "categoryId": lambda: n(1, whole=True),
+        "lat": lambda: n(-90, 90), "lng": lambda: n(-180, 180), "radiusKm": lambda: n(*p.RADII), "page": lambda: n(1, whole=True), "pageSize": lambda: n(*p.PAGE_SIZES, whole=True),
     }
+    return tests[name]()
 
 
 def parsed(requests: DataFrame, query: str = "query") -> DataFrame:
@@ -79,17 +83,30 @@ def parsed(requests: DataFrame, query: str = "query") -> DataFrame:
     Of a bad one ``params`` is null. A field given twice, or with brackets, is bad; unknown fields are ignored; a
     null query string asks for nothing. The defaults of page and page size are filled in.
     """
-    split = requests.withColumn("_pairs", F.coalesce(pairs(F.col(query)), F.array().cast("array<struct<name:string,value:string>>")))
-    of = lambda name: F.filter("_pairs", lambda x: x["name"] == name)
-    bracketed = lambda name: F.exists("_pairs", lambda x: F.startswith(x["name"], F.lit(f"{name}[")))
-    split = split.withColumn("_given", F.struct(*(F.struct(F.get(of(n), F.lit(0))["value"].alias("value"), ((F.size(of(n)) > 1) | bracketed(n)).alias("twice")).alias(n) for n in FIELDS)))
-    value = lambda n: F.col(f"_given.{n}.value")
-    q = text.trimmed(value("q"))
-    typed = {n: _typed(value(n))[n] if n != "q" else F.when(utf16_length(q) <= p.QUERY_CHARS, q) for n in FIELDS}
-    split = split.withColumn("_typed", F.struct(*(typed[n].cast(kind).alias(n) for n, (_, kind) in FIELDS.items())))
-    bad = F.coalesce(*(F.when(F.col(f"_given.{n}.twice") | (value(n).isNotNull() & F.col(f"_typed.{n}").isNull()), F.lit(n)) for n in FIELDS))
-    found = {n: F.col(f"_typed.{n}") for n in FIELDS}
-    found |= {"q": F.nullif(found["q"], F.lit("")), "free": F.coalesce(found["free"], F.lit(False)), "page": F.coalesce(found["page"], F.lit(1)), "pageSize": F.coalesce(found["pageSize"], F.lit(p.PAGE_SIZE))}
-    row = F.struct(*(found[n].alias(name) for n, (name, _) in FIELDS.items()))
+    given = F.coalesce(pairs(F.col(query)), F.array().cast("array<struct<name:string,value:string>>"))
+
+    def read(name: str, kind: str):
+        """Whether the field is given, and as what, out of all pairs."""
+
+        def of(pairs: Column) -> Column:
+            own = F.filter(pairs, lambda x: x["name"] == name)
+            twice = (F.size(own) > 1) | F.exists(pairs, lambda x: F.startswith(x["name"], F.lit(f"{name}[")))
+            value = F.get(own, F.lit(0))["value"]
+            typed = _typed(name, value).cast(kind)
+            return shape.let(F.struct(twice.alias("twice"), value.isNotNull().alias("given"), typed.alias("value")), lambda x: F.struct((x["twice"] | (x["given"] & x["value"].isNull())).alias("bad"), x["value"].alias("value")))
+
+        return of
+
+    def whole(pairs: Column) -> Column:
+        fields = F.struct(*(read(n, kind)(pairs).alias(n) for n, (_, kind) in FIELDS.items()))
+
+        def told(x: Column) -> Column:
+            found = {n: x[n]["value"] for n in FIELDS}
+            found |= {"q": F.nullif(found["q"], F.lit("")), "free": F.coalesce(found["free"], F.lit(False)), "page": F.coalesce(found["page"], F.lit(1)), "pageSize": F.coalesce(found["pageSize"], F.lit(p.PAGE_SIZE))}
+            return F.struct(F.struct(*(found[n].alias(name) for n, (name, _) in FIELDS.items())).alias("params"), F.coalesce(*(F.when(x[n]["bad"], F.lit(n)) for n in FIELDS)).alias("bad"))
+
+        return shape.let(fields, told)
+
+    split = requests.withColumn("_told", shape.let(given, whole))
     kept = [c for c in requests.columns if c not in ("params", "bad")]
-    return split.withColumn("_bad", bad).select(*kept, F.when(F.col("_bad").isNull(), row).alias("params"), F.col("_bad").alias("bad"))
+    return split.select(*kept, F.when(F.col("_told.bad").isNull(), F.col("_told.params")).alias("params"), F.col("_told.bad").alias("bad"))
