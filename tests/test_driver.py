@@ -5,9 +5,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lantern import catalogue, driver, live
+from lantern import bulk, catalogue, driver, live
 
-MODULES = (driver, catalogue, live)
+MODULES = (driver, catalogue, live, bulk)
 QUERIES, SQL = ({k: v for m in MODULES for k, v in getattr(m, part)().items()} for part in ("queries", "oracle_sql"))
 
 FOLDER = "/root/testdata/sf0.001"
