@@ -28,7 +28,8 @@ SCHEMAS = {"users": USERS, "api_keys": API_KEYS, "categories": CATEGORIES, "venu
 ROLES = ("USER", "MODERATOR", "ADMIN")
 SETTINGS = ("INDOOR", "OUTDOOR", "BOTH")
 #: Image types that an upload may have, with the bytes (hex) that each begins with, and its largest size.
-PHOTO_TYPES, PHOTO_BYTES = {"image/jpeg": "^FFD8FF", "image/png": "^89504E470D0A1A0A", "image/webp": "^52494646.{8}57454250"}, 10 * 1024 * 1024
+PHOTO_TYPES = {"image/jpeg": "^FFD8FF", "image/png": "^89504E470D0A1A0A", "image/webp": "^52494646.{8}57454250", "image/gif": "^47494638(37|39)61", "image/avif": "^.{8}66747970(61766966|61766973)"}
+PHOTO_BYTES = 10 * 1024 * 1024
 
 
 def struct(name: str) -> T.StructType:
