@@ -4,8 +4,9 @@ The standard library's parser streams a page as events. Block elements end a lin
 its tags and the element it stands in. The text-to-tag ratios of the lines are smoothed by a Gaussian and
 split by a threshold into content and other lines. The content region is the smallest container that
 has all content lines of a ratio of their own above the threshold, the headings right before them and the page's
-``h1``; an ``article`` or ``main`` element is not divided further. All of the region's lines are the main text,
-short ones included, but for those in elements that are something else:
+``h1``; an ``article`` or ``main`` element is not divided further. The region's lines are the main text, short ones
+between content lines included. Outside of ``article`` and ``main``, lines before the first line of clear text and after the last leave if their smoothed
+ratio is below half of the page's, they are no sentences and stand apart from that line: menus without links, copyright lines. Lines in elements that are something else leave anywhere:
 
 - by tag (``nav``, ``footer``, ``script``...), role, or being hidden;
 - by a name among class and id that says nothing else than that (``sidebar``, ``cookie-notice``, ``comment-list``; not
@@ -40,8 +41,8 @@ from pyspark.sql import types as T
 from lantern.llm.common import table
 
 #: Share of the page's text with which an element's words do not count; deviation of the Gaussian in lines;
-#: part of the smoothed ratios' standard deviation that is the threshold.
-MOST, SIGMA, LEVEL = 0.5, 1.0, 0.5
+#: part of the smoothed ratios' standard deviation that is the threshold, and of their mean that clear text has.
+MOST, SIGMA, LEVEL, RIM = 0.5, 1.0, 0.5, 0.5
 #: Pages that go through Python at once.
 SLICE_ROWS = 256
 
@@ -57,7 +58,8 @@ APART_ROLES = set("navigation banner contentinfo complementary search form dialo
 APART_WORDS = set(
     "ad ads adsbygoogle adsense advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus dropdown "
     "footer form gdpr login masthead menu modal nav navbar navigation navi newsletter notice notification notifications overlay pager pagination popup privacy promo promoted "
-    "promotion recommended recommendations related replies reply respond search share sharing sidebar signup sitemap social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
+    "promotion recommended recommendations related replies reply respond search share sharing sidebar signup sitemap social sponsor sponsored subscribe subscription toolbar topbar widget widgets "
+    "discussion discussions anzeige anzeigen werbung kommentar kommentare seitenleiste publicite commentaire commentaires publicidad anuncio anuncios comentario comentarios".split()
 )
 PLAIN_WORDS = set(
     "accept area articles bar block body bottom box btn button buttons center col column container content desktop fixed global group header heading icons inline inner "
@@ -67,6 +69,8 @@ PLAIN_WORDS = set(
 HEADER_WORDS = {"header"}
 #: Names that tell what an element has, not what it is.
 STATES = re.compile(r"(?:has|have|no|not|with|without|hide)[-_]")
+#: What ends a comment, and what ends a sentence, quotes and brackets after it included.
+COMMENT_END, SENTENCE = re.compile("--!?>"), re.compile("[.!?…:;。！？][\"'”’»«)\\]]*$")
 #: Links in a row that are a menu.
 MENU = 3
 #: A start tag of the first closes an open one of the second.
@@ -120,9 +124,11 @@ class Lines(HTMLParser):
     # the whole page is fed at once, so what does not end here never does
 
     def parse_html_declaration(self, i: int) -> int:
-        comment = self.rawdata.startswith("<!--", i)
-        end = self.rawdata.find("-->" if comment else ">", i + 2)
-        return len(self.rawdata) if end < 0 else end + (3 if comment else 1)
+        if not self.rawdata.startswith("<!--", i):
+            return self.rawdata.find(">", i + 2) + 1 or len(self.rawdata)
+        # the dashes that begin a comment may be those that end it
+        end = COMMENT_END.search(self.rawdata, i + 2)
+        return end.end() if end else len(self.rawdata)
 
     def parse_comment(self, i: int, report: int = 1) -> int:
         return self.parse_html_declaration(i)
@@ -264,6 +270,24 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return full(ratios) / full(np.ones(len(ratios)))
 
 
+def without_rims(page: Lines, lines: list[int], at: tuple[int, ...], text: tuple[str, ...], ratios: np.ndarray, own: np.ndarray) -> set[int]:
+    """Of the ``lines`` of a region those at its rims that are none of it.
+
+    These are lines before the first one that is clearly text, and after the last, of a low ratio, which are no sentence and stand in an
+    element of another kind or place than that one does.
+    """
+    least = RIM * ratios.mean()
+    clear = np.minimum(ratios, own) >= least
+    sure = [k for k in lines if clear[k]]
+    if not sure:
+        return set()
+    place = lambda k: (page.parent[at[k]], page.tag[at[k]])
+    gone = set()
+    for end, rim in ((sure[0], [k for k in lines if k < sure[0]]), (sure[-1], [k for k in lines if k > sure[-1]])):
+        gone |= {k for k in rim if not clear[k] and page.tag[at[k]] not in HEADING and not SENTENCE.search(text[k]) and place(k) != place(end)}
+    return gone
+
+
 def main_text(html: str) -> str:
     page = Lines()
     page.feed(html)
@@ -304,7 +328,9 @@ def main_text(html: str) -> str:
     inside[region] = True
     for i in range(region + 1, len(page.tag)):
         inside[i] = inside[page.parent[i]]
-    return "\n".join(x for i, x, ok in zip(at, text, kept, strict=True) if ok and inside[i])
+    lines = [k for k in range(len(text)) if kept[k] and inside[at[k]]]
+    gone = set() if page.tag[region] in WHOLE else without_rims(page, lines, at, text, ratios, own)
+    return "\n".join(text[k] for k in lines if k not in gone)
 
 
 def extract(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:

@@ -105,3 +105,50 @@ def test_edges(spark):
     got = [(r["page_id"], r["text"]) for r in x.extract(df).collect()]
     assert got[:4] == [(None, ""), (1, ""), (1, "é🎈 x"), (1, "é🎈 x")] and len(got[4][1]) == 999_999
     assert x.extract(df.limit(0)).collect() == []
+
+
+PARAGRAPH = "Ein langer Absatz mit genug Text, der zum Inhalt gehört und mehr als eine Zeile füllt, damit sein Verhältnis hoch ist."
+
+
+def bare(*more):
+    """A page without article or main: paragraphs right in the body, and what stands around them."""
+    before, after = more
+    return f"<html><body>{before}<p>{PARAGRAPH} Eins.</p><p>Kurz</p><p>{PARAGRAPH} Zwei.</p><p>Ein kurzer Schluss.</p>{after}</body></html>"
+
+
+def test_lines_at_the_rims_of_a_bare_body_leave_by_their_ratio(monkeypatch):
+    want = f"{PARAGRAPH} Eins.\nKurz\n{PARAGRAPH} Zwei.\nEin kurzer Schluss."
+    given = bare("<div>Home | About | Contact</div><div>Example</div>", "<div>© 2020 Company</div><div class='discussion'><p>" + PARAGRAPH + "</p></div><div class=werbung><p>" + PARAGRAPH + "</p></div>")
+    assert x.main_text(given) == want
+    # the same, if the threshold did nothing, would keep what stands at the rims
+    monkeypatch.setattr(x, "RIM", 0)
+    assert x.main_text(given) == f"Home | About | Contact\nExample\n{want}\n© 2020 Company"
+
+
+def test_ratio_smoothing_threshold_and_rims_by_brute_force():
+    import math
+    import random
+
+    rng = random.Random(2)
+    for _ in range(60):
+        lines = [rng.choice(["Menu", "Home | Kontakt", PARAGRAPH, PARAGRAPH + " " + PARAGRAPH, "Ein Satz.", "© 2020", PARAGRAPH[:59]]) for _ in range(rng.randint(1, 9))]
+        tags = [rng.choice("p div".split()) for _ in lines]
+        page = "<html><body>" + "".join(f"<{e}>{t}</{e}>" for e, t in zip(tags, lines, strict=True)) + "</body></html>"
+        # the first line has the start tags of page, body and paragraph before it, the others an end tag and a start tag
+        own = [len(t) / (3 if i == 0 else 2) for i, t in enumerate(lines)]
+        ratios = []
+        for i in range(len(own)):
+            near = [(math.exp(-0.5 * ((i - j) / x.SIGMA) ** 2), own[j]) for j in range(len(own)) if abs(i - j) <= int(3 * x.SIGMA)]
+            ratios.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+        least = x.RIM * sum(ratios) / len(ratios)
+        clear = [min(a, b) >= least for a, b in zip(ratios, own, strict=True)]
+        sure = [i for i, ok in enumerate(clear) if ok]
+        stays = lambda i, end: clear[i] or lines[i].endswith(".") or tags[i] == tags[end]
+        want = [t for i, t in enumerate(lines) if not sure or sure[0] <= i <= sure[-1] or stays(i, sure[0] if i < sure[0] else sure[-1])]
+        assert x.main_text(page).split("\n") == want, lines
+
+
+def test_comments_end_as_in_a_browser():
+    for comment in ("<!-- a --!>", "<!-->", "<!--->", "<!-- a -- b -->", "<!-- <p>no</p> --!>"):
+        assert x.main_text(f"<article><p>Eins</p>{comment}<p>Zwei</p></article>") == "Eins\nZwei", comment
+    assert x.main_text("<article><p>Eins</p><!-- never ends <p>Zwei</p></article>") == "Eins"
