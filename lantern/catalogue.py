@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lantern.driver import KM_SQL, Query
 from lantern.functions import shape, text
-from lantern.operators import backfill, mutations, predicates, relations, validate
+from lantern.operators import backfill, mutations, predicates, rank, relations, validate
 from lantern.plans import commands, search, statements
 from lantern.plans.params import Caller, SearchParams
 from lantern.sources import geocode, schema
@@ -128,12 +128,13 @@ def event_details(spark, d):
     return flat(search.detail(t, 5, None)).unionAll(flat(search.detail(t, 7, OWNER))).unionAll(flat(search.detail(t, 9, MODERATOR)))
 
 
-@query(f"SELECT {FLAT}, author_email, 1 + (SELECT count(*) FROM entries o WHERE o.status = 'PENDING' AND (o.\"createdAt\" < rel.\"createdAt\" OR (o.\"createdAt\" = rel.\"createdAt\" AND o.id < rel.id))) AS place FROM rel WHERE status = 'PENDING' AND id <= 200")
+@query(f"SELECT {FLAT}, author_email, row_number() OVER (ORDER BY rel.\"createdAt\", rel.id) AS place, count(*) OVER () AS queued FROM rel WHERE status = 'PENDING'")
 def moderation_queue(spark, d):
-    """With the authors' emails, and the place in the queue."""
+    """With the authors' emails, the place in the queue, and its length."""
     rows = search.pending(tables(spark, d), MODERATOR)
-    place = F.row_number().over(Window.orderBy("createdAt", "id")).cast("long")
-    return flat(rows.withColumn("place", place), F.col("createdBy.email").alias("author_email"), "place").where("id <= 200")
+    length = rows.agg(F.count(F.lit(1)).alias("queued"))
+    found = rank.placed(flat(rows, "createdAt", F.col("createdBy.email").alias("author_email")), [F.col("createdAt"), F.col("id")])
+    return found.drop("createdAt").crossJoin(length)
 
 
 @query('SELECT id, email, "displayName", role, coalesce(n, 0) AS events FROM users LEFT JOIN (SELECT "createdById" AS author, count(*) AS n FROM entries GROUP BY 1) ON author = id')
@@ -143,8 +144,8 @@ def users_with_event_counts(spark, d):
 
 @query("SELECT id, name, row_number() OVER (ORDER BY strip_accents(lower(name)), id) AS place FROM categories")
 def categories_by_name(spark, d):
-    rows = search.categories(tables(spark, d)).withColumn("_at", F.monotonically_increasing_id())
-    return rows.select("id", "name", F.row_number().over(Window.orderBy("_at")).cast("long").alias("place"))
+    rows = search.categories(tables(spark, d)).select("id", "name")
+    return rank.placed(rows, [text.by_name("name"), F.col("id")])
 
 
 @query('SELECT k.id, k.name, CASE WHEN revoked THEN \'revoked\' ELSE \'active\' END AS state, u.email, u.role, strftime(u."createdAt", \'%Y-%m-%d %H\') AS since FROM keys k JOIN users u ON u.id = "userId"')
@@ -157,8 +158,8 @@ def keys_with_users(spark, d):
 
 @query("""SELECT id, "displayName", role, row_number() OVER (ORDER BY strip_accents(lower("displayName")), id) AS place FROM users WHERE role IN ('USER', 'MODERATOR')""")
 def assignable_users(spark, d):
-    rows = search.assignable_users(tables(spark, d), MODERATOR).withColumn("_at", F.monotonically_increasing_id())
-    return rows.select("id", "displayName", "role", F.row_number().over(Window.orderBy("_at")).cast("long").alias("place"))
+    rows = search.assignable_users(tables(spark, d), MODERATOR).select("id", "displayName", "role")
+    return rank.placed(rows, [text.by_name("displayName"), F.col("id")])
 
 
 @query("SELECT id, email FROM users WHERE email = 'u42@example.org'")
@@ -404,15 +405,14 @@ def venues_by_statement(spark, d):
     return statements.venues_within(tables(spark, d)["venues"], 48.8566, 2.3522, 40.0)
 
 
-@query(""", r AS (SELECT user_id, ts FROM events WHERE user_id % 10 < 3)
+@query(""", r AS (SELECT user_id, ts FROM events)
     SELECT user_id, strftime(w, '%Y-%m-%d %H:%M:%S.%f') AS start, CAST(n AS BIGINT) AS n FROM (
         WITH RECURSIVE s AS (SELECT user_id, min(ts) AS w FROM r GROUP BY 1 UNION ALL
             SELECT s.user_id, (SELECT min(r.ts) FROM r WHERE r.user_id = s.user_id AND r.ts >= s.w + INTERVAL 15 MINUTE) FROM s WHERE s.w IS NOT NULL)
         SELECT s.user_id, s.w, count(*) AS n FROM s JOIN r ON r.user_id = s.user_id AND r.ts >= s.w AND r.ts < s.w + INTERVAL 15 MINUTE WHERE s.w IS NOT NULL GROUP BY 1, 2)""")
 def anchored_windows(spark, d):
     """Windows that begin with a key's first request after the last one."""
-    rows = spark.read.parquet(f"{d}/events.parquet").where("user_id % 10 < 3")
-    found = ratelimit.anchored(rows, "user_id")
+    found = ratelimit.anchored(spark.read.parquet(f"{d}/events.parquet"), "user_id")
     return found.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("start"), "n")
 
 
@@ -479,6 +479,22 @@ def broken_constraints(spark, d):
     return lost.unionAll(relations.repeated(read("customer"), "c_nationkey").select(F.lit("repeated"), F.col("c_nationkey").cast("long")))
 
 
+@query("""SELECT a.id AS actor, t.id AS target, CASE WHEN a.role <> 'ADMIN' THEN 403 WHEN t.id = a.id OR a.id % 7 = 3 THEN 400 END AS refused FROM users a JOIN users t ON t.id = CASE WHEN a.id % 3 = 0 THEN a.id ELSE a.id + 1 END""")
+def role_changes(spark, d):
+    """Whose change of another's role is refused: only an administrator's, to a role that exists, and never one's own."""
+    users = tables(spark, d)["users"]
+    wanted = users.select(F.col("id").alias("actor"), F.col("role").alias("actor_role"), F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(F.col("id") + 1).alias("target"), F.when(F.col("id") % 7 == 3, "OWNER").otherwise("MODERATOR").alias("role"))
+    asked = wanted.join(users.select(F.col("id").alias("target")), "target")
+    return asked.select("actor", "target", commands.role_refusal(F.col("actor"), F.col("actor_role"), F.col("target"), F.col("role")).alias("refused"))
+
+
+@query("""SELECT o_orderkey, try_cast('2001-' || strftime(o_orderdate, '%m-%d') AS DATE)::VARCHAR AS day FROM orders""")
+def seeded_dates(spark, d):
+    """Days of seeded events in the year of a given now; a day that the year lacks is none."""
+    day = shape.in_year(F.lit(NOW), F.date_format("o_orderdate", "MM-dd"))
+    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", day.cast("string").alias("day"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -71,6 +71,11 @@ def iso_date(c: Column) -> Column:
     return F.when(c.rlike("\\A(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}\\z"), F.try_to_date(c, "yyyy-MM-dd"))
 
 
+def in_year(now: Column, day: Column) -> Column:
+    """``MM-dd`` in the year of ``now``; null if that year has no such day."""
+    return iso_date(F.concat(F.date_format(now, "yyyy"), F.lit("-"), day))
+
+
 def page_count(total: Column, size: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(total / size)).cast("long")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lantern.functions import text
 from lantern.plans.params import Refused
+from lantern.sources import shared
 
 
 def normal(events: DataFrame) -> DataFrame:
@@ -68,8 +69,10 @@ ID_BUCKETS = 1024
 def next_ids(rows: DataFrame, table: DataFrame, order: list[str], id: str = "id") -> DataFrame:
     """Ids after the largest of the table, without gaps, to ``rows``; their order tells nothing but ties.
 
-    Rows are dealt by a hash into ``ID_BUCKETS``: these are numbered side by side, after a sum over their sizes.
+    Rows are dealt by a hash into ``ID_BUCKETS``: these are numbered side by side, after a sum over their sizes. They are
+    written before, so that sizes and numbers are of the same rows, computed once.
     """
+    rows = shared.written(rows, shared.workspace(rows.sparkSession), "new")
     top = table.agg(F.coalesce(F.max(id), F.lit(0)).alias("_top"))
     dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(ID_BUCKETS)))
     sizes = dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -94,11 +97,13 @@ def get_or_create(venues: DataFrame, wanted: DataFrame, key: tuple[str, ...] = V
     alike = [F.collate(F.col(k), text.EQUALS).alias(f"_{k}") for k in key]
     names = [f"_{k}" for k in key]
     kept = venues.select("id", *alike).groupBy(*names).agg(F.min("id").alias("_found"))
+    wanted = shared.written(wanted, shared.workspace(wanted.sparkSession), "wanted")
     asked = wanted.select(*wanted.columns, *alike)
     order = Window.partitionBy(*names).orderBy(*(c for c in venues.columns if c != "id"))
     missing = asked.join(kept, names, "left_anti").withColumn("_n", F.row_number().over(order)).where("_n = 1")
     fields = [c for c in venues.columns if c != "id"]
     created = next_ids(missing.select(*fields), venues, fields).select(*venues.columns)
     after = venues.unionByName(created)
-    ids = after.select("id", *alike).groupBy(*names).agg(F.min("id").alias("venueId"))
+    # a name that venues have keeps its smallest id, so only those that were created are new
+    ids = kept.withColumnRenamed("_found", "venueId").unionByName(created.select(F.col("id").alias("venueId"), *alike))
     return after, asked.join(ids, names, "left").drop(*names)

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from lantern.functions import shape, text
 from lantern.sources.schema import ROLES, SETTINGS
 
-#: The forms of a time and a date.
-TIME, DATE = "^([01]\\d|2[0-3]):[0-5]\\d$", "^\\d{4}-\\d{2}-\\d{2}$"
+#: Fixed value: the form of a time. Forms are of the whole text: the end is \\z, as $ would let a line end follow.
+TIME = "\\A([01][0-9]|2[0-3]):[0-5][0-9]\\z"
 #: Well-formedness, no more. A URL has a scheme and something after it.
-URL = "^[A-Za-z][A-Za-z0-9+.-]*:(//)?[^\\s/?#]+\\S*$"
+URL = "\\A[A-Za-z][A-Za-z0-9+.-]*:(//)?[^\\s/?#]+\\S*\\z"
 #: Before the one @, words joined by single dots; after it, two labels or more, of which the last is letters.
 _WORD, _LABEL = "[A-Za-z0-9_'+-]+", "[A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?"
-EMAIL = f"^{_WORD}(\\.{_WORD})*@({_LABEL}\\.)+[A-Za-z]{{2,}}$"
+EMAIL = f"\\A{_WORD}(\\.{_WORD})*@({_LABEL}\\.)+[A-Za-z]{{2,}}\\z"
 
 
 def first_error(*rules: tuple[Column, str]) -> Column:
@@ -37,6 +37,11 @@ def _outside(c: Column, low, high) -> Column:
     return (c < low) | (c > high)
 
 
+def _broken(c: Column) -> Column:
+    """Not a whole number, whatever the column's type."""
+    return c != F.floor(c)
+
+
 def venue_rules(name: Column, address: Column, city: Column, postal: Column, lat: Column, lng: Column) -> list[tuple[Column, str]]:
     return [
         *_length(name, 1, 120, "venue name required", "venue name too long"),
@@ -74,14 +79,16 @@ def event_error(c=F.col) -> Column:
         (F.length(text.trimmed(url)) > 500, "URL too long"),
         (c("isFree").isNull(), "isFree required"),
         (_outside(c("price"), 0, 100_000), "price out of range"),
+        (_broken(c("ageMin")), "ageMin not whole"),
         (_outside(c("ageMin"), 0, 17), "ageMin out of range"),
+        (_broken(c("ageMax")), "ageMax not whole"),
         (_outside(c("ageMax"), 0, 18), "ageMax out of range"),
         (bad_date(start), "invalid start date"),
         (bad_date(end), "invalid end date"),
         (opens.isNotNull() & ~opens.rlike(TIME), "invalid opening time"),
         (closes.isNotNull() & ~closes.rlike(TIME), "invalid closing time"),
         (~c("setting").isin(*SETTINGS), "invalid setting"),
-        (c("categoryId").isNull() | (c("categoryId") <= 0), "category required"),
+        (c("categoryId").isNull() | (c("categoryId") <= 0) | _broken(c("categoryId")), "category required"),
         *venue_rules(at["name"], at["address"], at["city"], at["postalCode"], at["lat"], at["lng"]),
         *cross_rules(c("ageMin"), c("ageMax"), permanent, start, end, c("isFree"), c("price"), opens, closes),
     )

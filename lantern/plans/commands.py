@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lantern.functions import text
 from lantern.operators import moderation
 from lantern.operators import mutations as m
+from lantern.operators.predicates import level
 from lantern.operators.relations import used
 from lantern.plans.params import Caller, Refused
 from lantern.sources.schema import ROLES, inline
@@ -63,6 +64,12 @@ def moderate(tables: Tables, id: int, action: str, caller: Caller, reason: str |
     return tables | {"events": moderation.fold(events, command).drop("applied", "refused")}
 
 
+def role_refusal(actor: Column, actor_role: Column, target: Column, role: Column) -> Column:
+    """The code with which a change of a role is refused, of a whole table of them; null if it is allowed."""
+    admin = F.coalesce(level(actor_role) >= ROLES.index("ADMIN"), F.lit(False))
+    return F.when(~admin, 403).when(~F.coalesce(role.isin(*ROLES), F.lit(False)) | (target == actor), 400)
+
+
 def set_role(tables: Tables, id: int, role: str, caller: Caller) -> Tables:
     """Nobody changes their own role."""
     caller.need("ADMIN")
