@@ -200,6 +200,10 @@ def placed(rows: DataFrame) -> DataFrame:
     return rows.select("low", "key", "order", "id", "sig").mapInArrow(run, "low long, key long, place binary, id long, sig binary")
 
 
+#: Numbers that a task's union holds before its edges leave.
+HELD_IDS = 200_000
+
+
 class Union:
     """Union-find over numbers; the root is the smallest of a component."""
 
@@ -271,6 +275,10 @@ def alike(sorted_: DataFrame) -> DataFrame:
                     i = stop - OVERLAP if stop < j else j
                 rest = i if last else rest
             held = [x[rest:] for x in held]
+            # what later windows join again meets these edges in the components
+            if len(together.up) >= HELD_IDS:
+                yield together.stars()
+                together = Union()
         yield together.stars()
 
     return sorted_.mapInArrow(run, "a long, b long").distinct()

@@ -74,6 +74,25 @@ def test_classes_of_a_group_against_all_pairs(many):
     assert roots.tolist() == [least for _, least in brute(rows, 1).values()]
 
 
+def test_a_union_that_is_emptied_again_and_again(spark, monkeypatch):
+    """Edges that leave early still make the same classes."""
+    monkeypatch.setattr(x, "HELD_IDS", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)
+    try:
+        rng = random.Random(4)
+        rows = []
+        for family in range(6):
+            words = [f"f{family}w{i}" for i in range(60)]
+            for k in range(25):
+                own = words[:]
+                own[rng.randrange(60)] = f"x{k}"
+                rows.append((family * 100 + k, " ".join(own)))
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        assert found(df, 2) == brute(rows, 2)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_rows_of_a_repeated_id_join_their_texts(spark):
     rows = [(1, "a b c"), (5, "a b c"), (5, "d e f"), (7, "d e f"), (9, "g h")]
     got = sorted((r["doc_id"], r["component_id"]) for r in x.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect())
