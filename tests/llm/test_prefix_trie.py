@@ -69,7 +69,7 @@ def test_against_brute_force(spark, tmp_path, seed):
 def test_a_conversation_over_many_partitions(spark, tmp_path, monkeypatch):
     """One conversation holds most rows, so its running sums cross partitions; ends are hashed in many blocks."""
     monkeypatch.setattr(x, "BLOCK", 8)
-    rows = random_rows(7, 60, "a") + [(307, t % 900, "user", f"t{t % 11}") for t in range(2000)] + [(300 + i, 0, "user", "same") for i in range(1, 90) if i != 7]
+    rows = random_rows(7, 60, "a") + [(307, t % 270, "user", f"t{t % 11}") for t in range(600)] + [(300 + i, 0, "user", "same") for i in range(1, 90) if i != 7]
     df = spark.createDataFrame(rows, SCHEMA)
     turns = x.digests(df).repartitionByRange(4, "conv_id", "turn")
     assert turns.where("conv_id = 307").select(x.F.spark_partition_id().alias("p")).distinct().count() > 1
