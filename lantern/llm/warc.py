@@ -7,8 +7,8 @@ the smallest id. Every record is a gzip member of its own, so an archive can be
 member ends in the size of its content, whose highest byte is 0 below 16 MB: that byte is the separator of
 Spark's text sink, which thus writes archives to any store, of ``ARCHIVE`` records at most.
 
-Reading takes each file once through a streaming parser that holds one record at a time; the parsed records are
-a table. Continuation records are grouped by the identifier of their origin (and the payload digest, so that
+Reading takes each file once through a streaming parser that holds one record at a time (files above ``WHOLE`` bytes
+in pieces, so an archive may have any size); the parsed records are a table. Continuation records are grouped by the identifier of their origin (and the payload digest, so that
 repeated identifiers do not mix), ordered by segment number, and checked: numbers 1 to n without a gap, lengths
 adding up to the total that the last one states. Only records in segments are shuffled. The HTTP block is then
 unframed. Framing and reassembly join their pieces once, in time in proportion to the payload.
@@ -16,15 +16,17 @@ unframed. Framing and reassembly join their pieces once, in time in proportion t
 Defined results: a null payload is an empty one; a null id is written as an empty name and read as null;
 repeated rows are records of their own, and among equal payloads with the same smallest id (a tie) all are
 responses; rows of one id with different payloads are told apart by their digests; a very long payload becomes
-as many segments as it takes; a group of segments that fails its check has ``complete`` false and a null
-payload; an empty table gives no records; columns of the input other than ``id``, ``uri`` and ``payload`` play no part.
+as many segments as it takes; a group of segments that fails its check, and a record within which its archive ends,
+has ``complete`` false and a null payload; an empty table gives no records; columns of the input other than ``id``, ``uri`` and ``payload`` play no part.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +44,8 @@ URN = "urn:lantern:"
 EOL = "\r\n"
 #: Bytes of record blocks that the reader hands on at once.
 BATCH_BYTES = 4_000_000
+#: Bytes of a file that is read as one value; longer ones are read in pieces of about ``PIECE`` bytes.
+WHOLE, PIECE = 32_000_000, 1_000_000
 
 
 def repeated(pages: DataFrame) -> DataFrame:
@@ -140,28 +144,34 @@ def write(pages: DataFrame, path: str, date: str = "2000-01-01T00:00:00Z") -> No
 
 
 class Stream:
-    """Bytes of an archive, plain or gzip (in one member or many), unpacked as they are asked for."""
+    """Bytes of an archive, plain or gzip (in one member or many), taken from its pieces and unpacked as they are asked for."""
 
-    def __init__(self, data: bytes, step: int = 1 << 14):
-        self.data, self.at, self.step, self.held = memoryview(data), 0, step, bytearray()
-        self.unpack = zlib.decompressobj(31) if data[:2] == b"\x1f\x8b" else None
+    def __init__(self, pieces: Iterable[bytes], step: int = 1 << 14):
+        self.steps = (memoryview(x)[i : i + step] for x in pieces for i in range(0, len(x), step))
+        self.held, self.unpack, self.begun = bytearray(), None, False
 
     def more(self) -> bool:
-        piece = self.data[self.at : self.at + self.step]
-        self.at += len(piece)
-        while self.unpack and len(piece):
-            self.held += self.unpack.decompress(piece)
-            piece = self.unpack.unused_data
-            if self.unpack.eof:
-                self.unpack = zlib.decompressobj(31)
+        """Hold one step more, if there is one; bytes that are no gzip where gzip is due end the archive."""
+        if (piece := next(self.steps, None)) is None:
+            return False
+        if not self.begun:
+            self.begun, self.unpack = True, zlib.decompressobj(31) if piece[:2] == b"\x1f\x8b" else None
+        try:
+            while self.unpack and len(piece):
+                self.held += self.unpack.decompress(piece)
+                piece = self.unpack.unused_data
+                if self.unpack.eof:
+                    self.unpack = zlib.decompressobj(31)
+        except zlib.error:
+            self.steps = iter(())
         self.held += b"" if self.unpack else piece
-        return self.at < len(self.data)
+        return True
 
     def until(self, end: bytes) -> bytes | None:
         looked = 0
         while (i := self.held.find(end, looked)) < 0:
             looked = max(0, len(self.held) - len(end) + 1)
-            if not self.more() and self.held.find(end, looked) < 0:
+            if not self.more():
                 return None
         return self.take(i + len(end))
 
@@ -173,42 +183,87 @@ class Stream:
         return out
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields by lower-case name, and the block, of every record."""
-    stream = Stream(data)
+def records(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """Header fields by lower-case name, and the block, of every record; the block is null if the archive ends within it."""
+    stream = Stream(pieces)
     while (head := stream.until((EOL * 2).encode())) is not None:
         lines = head.decode("utf-8", "replace").strip().split(EOL)
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         size = fields.get("content-length", "")
-        block = stream.take(int(size) if size.isdecimal() else 0)
+        size = int(size) if size.isdecimal() else 0
+        block = stream.take(size)
         stream.take(4)
-        yield fields, block
+        yield fields, block if len(block) == size else None
 
 
 FIELDS = {"type": "warc-type", "record_id": "warc-record-id", "uri": "warc-target-uri", "refers_to": "warc-refers-to", "digest": "warc-payload-digest", "origin": "warc-segment-origin-id", "segment": "warc-segment-number", "total": "warc-segment-total-length"}
 
 
-def parsed(spark: SparkSession, path: str) -> DataFrame:
-    """The fields and the block of every record of the archives below ``path``."""
+def pieces(spark: SparkSession, path: str, least: int = WHOLE, piece: int = PIECE) -> DataFrame:
+    """``file``, ``start``, ``n``, ``piece``: the files below ``path`` of more than ``least`` bytes, to be joined in that order.
+
+    The text source reads a file of any store in splits, cut at line feeds whatever the bytes between them are, and
+    unpacks it if its name ends in ``.gz``. A line feed that ends the file is left out.
+    """
+    here = F.col("_metadata")
+    lines = spark.read.option("lineSep", "\n").text(path).where(here["file_size"] > least)
+    lines = lines.select(here["file_path"].alias("file"), here["file_block_start"].alias("start"), F.col("value").cast("binary").alias("line"))
+    schema = pa.schema([("file", pa.string()), ("start", pa.int64()), ("n", pa.int64()), ("piece", pa.binary())])
+
+    def joined(file: str, start: int, n: int, held: list[bytes]) -> pa.RecordBatch:
+        data = (b"\n" if start or n else b"") + b"\n".join(held)
+        return pa.RecordBatch.from_pylist([{"file": file, "start": start, "n": n, "piece": data}], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (x for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for (file, start), split in groupby(rows, key=itemgetter(0, 1)):
+            held, size, n = [], 0, 0
+            for _, _, line in split:
+                held.append(line)
+                size += len(line) + 1
+                if size >= piece:
+                    yield joined(file, start, n, held)
+                    held, size, n = [], 0, n + 1
+            if held:
+                yield joined(file, start, n, held)
+
+    return lines.mapInArrow(run, "file string, start long, n long, piece binary")
+
+
+def parsed(spark: SparkSession, path: str, whole: int = WHOLE) -> DataFrame:
+    """The fields and the block of every record of the archives below ``path``.
+
+    A file of up to ``whole`` bytes is one value; the pieces of a longer one are sorted into one task, which reads them
+    one after the other, so that no more than a piece and a record are in memory, however long the archive is.
+    """
     schema = ", ".join(f"{k} string" for k in FIELDS) + ", block binary"
     names = [*FIELDS, "block"]
 
     def batch(rows: list[list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "block" else pa.string()) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tables(archives: Iterable[Iterable[bytes]]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
-        for data in (x for b in batches for x in b.column(0)):
-            for fields, block in records(data.as_py()):
+        for archive in archives:
+            for fields, block in records(archive):
                 rows.append([*(fields.get(k) for k in FIELDS.values()), block])
-                size += len(block) + 500
+                size += len(block or b"") + 500
                 if size > BATCH_BYTES:
                     yield batch(rows)
                     rows, size = [], 0
         if rows:
             yield batch(rows)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+    def at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from tables([x.as_py()] for b in batches for x in b.column(0))
+
+    def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((file.as_py(), piece.as_py()) for b in batches for file, piece in zip(b.column(0), b.column(1), strict=True))
+        yield from tables((piece for _, piece in file) for _, file in groupby(rows, key=itemgetter(0)))
+
+    short = spark.read.format("binaryFile").load(path).where(F.col("length") <= whole).select("content").mapInArrow(at_once, schema)
+    order = pieces(spark, path, whole).repartition("file").sortWithinPartitions("file", "start", "n")
+    return short.unionAll(order.select("file", "piece").mapInArrow(one_by_one, schema))
 
 
 def reassembled(parts: DataFrame) -> DataFrame:
@@ -248,14 +303,14 @@ def http_payload(block: bytes | None) -> bytes | None:
     return None
 
 
-def read(spark: SparkSession, path: str, folder: str = "") -> DataFrame:
+def read(spark: SparkSession, path: str, folder: str = "", whole: int = WHOLE) -> DataFrame:
     """Records of the archives below ``path``: type, record_id, uri, refers_to, digest, complete, payload.
 
     The parsed records are written to ``folder``, or else to a fresh one below the shared folder.
     """
     names = ["type", "record_id", "uri", "refers_to", "digest", "complete", "block"]
-    every = written(parsed(spark, path), folder or workspace(spark), "parsed")
-    single = every.where("segment IS NULL").withColumn("complete", F.lit(True))
+    every = written(parsed(spark, path, whole), folder or workspace(spark), "parsed")
+    single = every.where("segment IS NULL").withColumn("complete", F.col("block").isNotNull())
     found = single.select(*names).unionByName(reassembled(every.where("segment IS NOT NULL")))
     schema = "type string, record_id string, uri string, refers_to string, digest string, complete boolean, payload binary"
 

@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import random
 import zlib
 
 import duckdb
@@ -54,7 +55,7 @@ def test_every_record_is_a_gzip_member(spark, tmp_path):
 def test_broken_framing_and_lengths():
     head = b"HTTP/1.1 200\r\nTransfer-Encoding: chunked\r\n\r\n"
     assert [x.http_payload(head + b) for b in (b"zz\r\nab", b"-5\r\nab\r\n0\r\n\r\n", b"\r\n", b"0\r\n\r\n")] == [None, None, None, b""]
-    assert [b for _, b in x.records(b"WARC/1.0\r\nContent-Length: x\r\n\r\n\r\n\r\n")] == [b""]
+    assert [b for _, b in x.records([b"WARC/1.0\r\nContent-Length: x\r\n\r\n\r\n\r\n"])] == [b""]
 
 
 def test_segments_out_of_order_or_missing(spark):
@@ -77,6 +78,45 @@ def test_foreign_archives(spark, tmp_path):
     assert got == {"response": b"hi\r\n\r\n", "warcinfo": b"software: x", "metadata": b"abc", "resource": b""}
 
 
+def test_long_archives_in_pieces(spark, tmp_path):
+    """Plain, gzip by name and gzip without the name, over many splits, beside a short one; line feeds and bytes of all kinds."""
+    rng = random.Random(5)
+    blocks = [b"", b"\n", b"\n\n\nWARC/1.0\r\n\r\n", *(rng.randbytes(rng.randint(0, 9_000)) for _ in range(40)), b"x" * 30_000]
+    record = lambda i, b: f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: {i}\r\nContent-Length: {len(b)}\r\n\r\n".encode() + b + b"\r\n\r\n"
+    whole = [record(i, b) for i, b in enumerate(blocks)]
+    (tmp_path / "a.warc").write_bytes(b"".join(whole))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, whole)))
+    (tmp_path / "c.arc").write_bytes(b"".join(map(gzip.compress, whole)))
+    (tmp_path / "d.warc").write_bytes(record("short", b"\n"))
+    (tmp_path / "e.warc").write_bytes(b"".join(whole)[: -1 - 4])
+    want = sorted([(str(i), b) for i, b in enumerate(blocks)] * 4 + [("short", b"\n")])
+    want.remove((str(len(blocks) - 1), blocks[-1]))
+    split = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(split)
+    spark.conf.set(split, "7000")
+    try:
+        got = x.parsed(spark, str(tmp_path), whole=2_000).select("record_id", "block").collect()
+        cut = x.pieces(spark, str(tmp_path), 2_000, 1_000).orderBy("file", "start", "n").collect()
+    finally:
+        spark.conf.set(split, before)
+    assert sorted((r[0], bytes(r[1])) for r in got if r[1] is not None) == want
+    assert [r[0] for r in got if r[1] is None] == [str(len(blocks) - 1)]
+    files = {}
+    for r in cut:
+        files[r["file"][-6:]] = files.get(r["file"][-6:], b"") + bytes(r["piece"])
+    assert files == {"a.warc": b"".join(whole)[:-1], "arc.gz": b"".join(whole)[:-1], "/c.arc": (tmp_path / "c.arc").read_bytes(), "e.warc": b"".join(whole)[:-5]}
+    assert len({r["start"] for r in cut}) > 5
+
+
+def test_broken_and_cut_gzip():
+    record = b"WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    packed = gzip.compress(record)
+    blocks = lambda data: [b for _, b in x.records([data])]
+    assert blocks(packed * 2) == [b"abc"] * 2 and blocks(packed + b"no gzip") == [b"abc"] and blocks(packed + packed[:-20]) in ([b"abc"], [b"abc", None])
+    assert blocks(record[:-6]) == [None] and blocks(b"") == [] and blocks(b"\n") == []
+    assert [b for _, b in x.records(bytes([c]) for c in record)] == [b"abc"]
+
+
 def test_empty(spark, tmp_path):
     path = folder(spark, tmp_path, pages=spark.createDataFrame([], "page_id long, url string, html string"))
     assert x.query(spark, path).collect() == []
