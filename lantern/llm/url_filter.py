@@ -2,7 +2,8 @@
 
 A rule is a row of ``rule, verdict, tier``: text of the form ``host/path``, ``allow`` or ``block``, and a whole number. The
 host part fits a host and its subdomains, the path part is a prefix of the URL's path, and ``*`` stands for any run of
-characters (none in it is a ``/`` in the host part). Rule sets are data: a list, or a DataFrame of any size.
+characters (none in it is a ``/`` in the host part), ``^`` for a place that has no letter or digit on one side at least. Rule
+sets are data: a list, or a DataFrame of any size, as ``url_rules`` reads it from public forms of lists.
 
 Each rule is filed under one of its keys, the one that the fewest URLs have: its whole literal tokens, or, if it has
 none, its literal runs of ``GRAM`` characters. The keys of a URL fetch the candidate rules, and only those run their
@@ -37,6 +38,8 @@ GRAM = 3
 BROADCAST_RULES = 100_000
 #: Literal runs that every fitting URL has as whole tokens: not beside ``*``, not at the open end.
 TOKEN = "(?<![A-Za-z0-9*])[A-Za-z0-9]+(?=[^A-Za-z0-9*])"
+#: What ``^`` stands for in a pattern.
+BORDER = "(?:(?<![A-Za-z0-9])|(?![A-Za-z0-9]))"
 
 
 @dataclass(frozen=True)
@@ -50,12 +53,12 @@ class Rule:
     @property
     def pattern(self) -> str:
         host, _, path = self.rule.partition("/")
-        free = lambda text, run: run.join(re.escape(x) for x in text.split("*"))
+        free = lambda text, run: run.join(re.escape(x).replace(r"\^", BORDER) for x in text.split("*"))
         return rf"\A(?:[^/]*\.)?{free(host, '[^/]*')}/{free(path, '(?s:.*)')}"
 
     @property
     def keys(self) -> list[str]:
-        grams = [f"*{x[i : i + GRAM]}" for x in self.rule.split("*") for i in range(len(x) - GRAM + 1)]
+        grams = [f"*{x[i : i + GRAM]}" for x in re.split("[*^]", self.rule) for i in range(len(x) - GRAM + 1)]
         return [m[0] for m in re.finditer(TOKEN, self.rule)] or grams
 
 
@@ -67,11 +70,11 @@ LISTED = [
     Rule("com/fr/", "allow"),
     Rule("com/de/", "block"),
 ]
-#: The method's own verdict on URLs that no listed rule fits: hosts of spam, else allow.
-GENERAL = [
-    Rule(f"{label}.*/", "block", 1)
-    for label in ("cheap-pills", "spam-farm", "link-farm", "free-casino", "casino-bonus", "adult-content", "malware")
-]
+#: Words that name what no corpus wants, as whole tokens of a host. A list is the caller's to choose: "adult"
+#: also stands in hosts of schools.
+UNWANTED = ["adult", "porn", "xxx", "escort", "casino", "poker", "bets", "betting", "gambling", "jackpot", "viagra", "cialis", "pills", "spam", "malware", "phishing", "warez", "keygen", "ads", "adserver"]
+#: The method's own verdict on URLs that no listed rule fits: block hosts with such a word, else allow.
+GENERAL = [Rule(f"*^{word}^*/", "block", 1) for word in UNWANTED]
 
 
 def host_of(url: Column) -> Column:
@@ -97,19 +100,19 @@ def keys_of(subject: Column, grams: bool) -> Column:
 def rule_table(rules: DataFrame) -> DataFrame:
     """``rules`` with ``keys`` and ``pattern``, as ``Rule`` has them."""
     host, path = F.substring_index("rule", "/", 1), F.expr("substring(rule, locate('/', rule) + 1)")
-    plain = lambda c: F.regexp_replace(c, "([\\\\.\\[\\]{}()+?^$|])", "\\\\$1")
+    plain = lambda c: F.replace(F.regexp_replace(c, "([\\\\.\\[\\]{}()+?^$|])", "\\\\$1"), F.lit("\\^"), F.lit(BORDER))
     free = lambda c, run: F.array_join(F.transform(F.split(c, "\\*", -1), plain), run)
     pattern = F.concat(F.lit("\\A(?:[^/]*\\.)?"), free(host, "[^/]*"), F.lit("/"), free(path, "(?s:.*)"))
     tokens = F.regexp_extract_all("rule", F.lit(TOKEN), F.lit(0))
     places = lambda x: F.when(F.length(x) >= GRAM, F.sequence(F.lit(1), F.length(x) - (GRAM - 1))).otherwise(F.array().cast("array<int>"))
-    grams = F.flatten(F.transform(F.split("rule", "\\*", -1), lambda x: F.transform(places(x), lambda i: F.concat(F.lit("*"), F.substring(x, i, F.lit(GRAM))))))
+    grams = F.flatten(F.transform(F.split("rule", "[*^]", -1), lambda x: F.transform(places(x), lambda i: F.concat(F.lit("*"), F.substring(x, i, F.lit(GRAM))))))
     keys = F.when(F.size(tokens) > 0, tokens).otherwise(grams)
     return rules.select("rule", "verdict", F.col("tier").cast("int").alias("tier"), F.array_distinct(keys).alias("keys"), pattern.alias("pattern")).distinct()
 
 
-def _counted(subjects: DataFrame, wanted: DataFrame) -> DataFrame:
+def _counted(subjects: DataFrame, wanted: DataFrame, grams: bool) -> DataFrame:
     """How many rows of ``subjects`` have each ``key`` of ``wanted``."""
-    seen = subjects.select(F.explode(keys_of(F.col("subject"), True)).alias("key"))
+    seen = subjects.select(F.explode(keys_of(F.col("subject"), grams)).alias("key"))
     return seen.join(wanted, "key", "left_semi").groupBy("key").count()
 
 
@@ -166,12 +169,14 @@ def _joined(rows: DataFrame, rules: DataFrame) -> DataFrame:
     known = written(rule_table(rules), folder, "rules")
     subjects = rows.select("subject").distinct()
     wanted = known.select(F.explode("keys").alias("key")).distinct()
-    counts = _counted(subjects, small_or_plain(wanted, BROADCAST_RULES))
+    # runs of characters are made of a URL only if some rule has to be filed under one
+    grams = bool(wanted.where(F.startswith("key", F.lit("*"))).take(1))
+    counts = _counted(subjects, small_or_plain(wanted, BROADCAST_RULES), grams)
     each = known.select("rule", "verdict", "tier", "pattern", F.explode_outer("keys").alias("key")).join(counts, "key", "left")
     rarest = F.min_by("key", F.struct(F.coalesce("count", F.lit(0)), "key"))
     filed = each.groupBy("rule", "verdict", "tier", "pattern").agg(F.coalesce(rarest, F.lit("")).alias("key"))
     filed = written(filed, folder, "filed")
-    asked = subjects.select("subject", F.explode(keys_of(F.col("subject"), True)).alias("key"))
+    asked = subjects.select("subject", F.explode(keys_of(F.col("subject"), grams)).alias("key"))
     fits = asked.join(small_or_plain(filed, BROADCAST_RULES), "key").where(F.regexp_like("subject", F.col("pattern")))
     rank = F.struct(F.col("tier").alias("rank"), (-F.length("rule")).alias("size"), "rule", "verdict", "tier")
     best = fits.groupBy(F.col("subject").alias("of_subject")).agg(F.min(rank).alias("best"))
@@ -188,17 +193,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oracle() -> str:
     def fits(r: Rule) -> str:
         host, _, path = r.rule.partition("/")
-        if "*" in host:
-            return f"regexp_matches(host, '(^|\\.){re.escape(host.split('.')[0])}\\.')  AND starts_with(path, '/{path}')"
         return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}')"
 
     ranked = sorted(LISTED, key=lambda r: -len(r.rule))
     case = lambda what: " ".join(f"WHEN {fits(r)} THEN '{getattr(r, what)}'" for r in ranked)
-    spam = " ".join(f"WHEN {fits(r)} THEN '{r.verdict}'" for r in GENERAL)
+    unwanted = f"starts_with(path, '/') AND regexp_matches(host, '(^|[^A-Za-z0-9])({'|'.join(UNWANTED)})([^A-Za-z0-9]|$)')"
     letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
     return f"""
     WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
     parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), {letters}) AS host,
                      regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut)
     SELECT page_id, host, path, CASE {case('rule')} ELSE NULL END AS rule,
-           CASE {case('verdict')} {spam} ELSE 'allow' END AS verdict FROM parts"""
+           CASE {case('verdict')} WHEN {unwanted} THEN 'block' ELSE 'allow' END AS verdict FROM parts"""
