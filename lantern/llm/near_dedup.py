@@ -19,7 +19,8 @@ classes are the connected components of the links.
    first: a node's set is compared with those not reached yet, so that only one row a node leaves.
 5. A group beyond ``NODES`` nodes or ``SHINGLES`` shingles is first read in windows of that size along
    ``RUNS`` of the orders, sorted by range as above, and solved window by window. What is not in the group's largest
-   class then is compared with every node of the group of a size that can be linked, in blocks of both.
+   class then meets every node of the group of a size that can be linked, in blocks of both; in a block the sets are
+   filed under their rarest shingles, and only those are compared that can be linked by where they share one.
 6. Components of edges: alternating large-star and small-star joins until the edges stay, each step written.
 
 Steps 4 and 5 miss no link inside a group. A link is lost only if its texts are in two groups, that is if no
@@ -54,6 +55,8 @@ VALUES, ORDERS, DEPTH, WINDOW, OVERLAP = 128, 32, 4, 128, 32
 PLACE = 16
 #: Nodes, and shingles of all its nodes, of a group that one task solves by itself.
 NODES, SHINGLES = 1024, 1 << 20
+#: The same of a side of a block of unsettled nodes.
+BLOCK_NODES, BLOCK_SHINGLES = 4096, 1 << 21
 #: Orders along which larger groups are read in windows of that size.
 RUNS = 2
 #: Equal values that a candidate needs: 128 * 0.8 less 5 standard deviations.
@@ -372,6 +375,59 @@ def solved(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return roots
 
 
+def _joined(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs of ``sizes`` from ``begins``, one run after the other."""
+    return np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+class Filed:
+    """Sets filed under their rarest shingles, so that a set is compared only with those that can be linked with it.
+
+    With all shingles in one order, rarest first, two linked sets share one among the first ``n - least + 1`` of each
+    (``least``: ``PERCENT`` of its ``n``). Of the first one that they share, no more can follow than stand behind it in
+    either set, and that has to be enough; so texts with a frame in common and contents of their own never meet.
+    """
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        self.sizes, self.begins = sizes, np.cumsum(sizes) - sizes
+        _, numbers, counts = np.unique(flat, return_inverse=True, return_counts=True)
+        rank = np.empty(len(counts), np.int64)
+        rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        flat = rank[numbers]
+        self.flat = flat[np.lexsort((flat, owner))]
+        self.mask = np.zeros(len(counts), bool)
+        self.early = sizes + -PERCENT * sizes // 100 + 1
+        left = sizes[owner] - _joined(np.zeros_like(sizes), sizes)
+        early = np.flatnonzero(left > (sizes - self.early)[owner])
+        early = early[np.argsort(self.flat[early], kind="stable")]
+        self.who, self.left = owner[early], left[early]
+        self.posts = np.searchsorted(self.flat[early], np.arange(len(counts) + 1))
+
+    def of(self, k: int) -> np.ndarray:
+        return self.flat[self.begins[k] : self.begins[k] + self.sizes[k]]
+
+    def near(self, k: int) -> np.ndarray:
+        """The sets that ``k`` has to be compared with."""
+        head = self.of(k)[: self.early[k]]
+        many = self.posts[head + 1] - self.posts[head]
+        at = _joined(self.posts[head], many)
+        who = self.who[at]
+        left = np.minimum(self.left[at], np.repeat(self.sizes[k] - np.arange(len(head)), many))
+        return np.unique(who[((100 + PERCENT) * left >= PERCENT * (self.sizes[who] + self.sizes[k])) & (who != k)])
+
+    def linked(self, k: int) -> np.ndarray:
+        """The sets that are linked with ``k``."""
+        others = self.near(k)
+        if not len(others):
+            return others
+        sizes = self.sizes[others]
+        self.mask[self.of(k)] = True
+        common = np.add.reduceat(self.mask[self.flat[_joined(self.begins[others], sizes)]], np.cumsum(sizes) - sizes, dtype=np.int64)
+        self.mask[self.of(k)] = False
+        return others[100 * common >= PERCENT * (sizes + self.sizes[k] - common)]
+
+
 def classes(sorted_: DataFrame, overlap: int) -> DataFrame:
     """Edges ``a < b`` from the least node of each class to the others, of each run of ``key`` in ``sorted_`` (``key, id, shingles``).
 
@@ -414,7 +470,7 @@ def classes(sorted_: DataFrame, overlap: int) -> DataFrame:
 def settled(rows: DataFrame, known: DataFrame, folder: str) -> DataFrame:
     """Edges ``a < b`` between components (``known``: ``id, component``) of large groups' ``rows`` (``id, group, shingles``) that are one class.
 
-    What is not in its group's largest class is compared with all nodes whose size can be linked, in blocks of both.
+    What is not in its group's largest class meets all nodes whose size can be linked, in blocks of both (``Filed``).
     """
     sizes = F.size("shingles")
     # a size and 80 % of it are in the same or in neighbouring bins
@@ -429,7 +485,7 @@ def settled(rows: DataFrame, known: DataFrame, folder: str) -> DataFrame:
     if asking.isEmpty():
         return known.select(F.col("id").alias("a"), F.col("component").alias("b")).limit(0)
     near = F.explode(F.sequence(F.col("bin") - 1, F.col("bin") + 1))
-    blocks = lambda: F.greatest(F.ceil(F.count(F.lit(1)) / NODES), F.ceil(F.sum("size") / SHINGLES)).cast("long")
+    blocks = lambda: F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("long")
     asked = asking.select("group", near.alias("bin"), "size").groupBy(F.col("group").alias("_group"), F.col("bin").alias("_bin")).agg(blocks().alias("_sides"))
     parts = marked.groupBy("group", "bin").agg(blocks().alias("_parts"))
     plan = parts.join(asked, (F.col("group") == F.col("_group")) & (F.col("bin") == F.col("_bin"))).select("_group", "_bin", "_parts", "_sides")
@@ -445,12 +501,11 @@ def settled(rows: DataFrame, known: DataFrame, folder: str) -> DataFrame:
     both = both.join(named, F.col("id") == F.col("_id")).select(F.xxhash64("group", "bin", "part", "side").alias("key"), "asks", "component", "shingles")
 
     def window(rows: list[tuple[bool, int, np.ndarray]]) -> list[tuple[int, int]]:
-        rows = sorted(rows, key=lambda r: len(r[2]))
-        s = Sets(np.concatenate([r[2] for r in rows]), np.array([len(r[2]) for r in rows]))
+        filed = Filed(np.concatenate([r[2] for r in rows]), np.array([len(r[2]) for r in rows]))
         u, out = Union(), []
         for k, (asks, component, _) in enumerate(rows):
             if asks:
-                for j in linked(s.of(k), s.flat, s.sizes, s.ends, s.mask).tolist():
+                for j in filed.linked(k).tolist():
                     if u.unite(component, rows[j][1]):
                         out.append((min(component, rows[j][1]), max(component, rows[j][1])))
         return out

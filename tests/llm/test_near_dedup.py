@@ -57,7 +57,7 @@ def test_links_inside_a_large_family_of_unlike_texts(spark, monkeypatch):
     for i in range(400):
         own = [f"own{i - 300 if i >= 300 and k < 6 else i}x{k}" for k in range(16)]
         rows.append((i, " ".join(base + own)))
-    for name, value in (("WINDOW", 8), ("OVERLAP", 2), ("NODES", 32)):
+    for name, value in (("WINDOW", 8), ("OVERLAP", 2), ("NODES", 32), ("BLOCK_NODES", 50)):
         monkeypatch.setattr(x, name, value)
     got = found(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 1)
     assert sum(got[i][1] == i - 300 for i in range(300, 400)) == 100
@@ -74,6 +74,31 @@ def test_classes_of_a_group_against_all_pairs(many):
     assert roots.tolist() == [least for _, least in brute(rows, 1).values()]
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_filed_sets_against_all_pairs(seed):
+    """Sets of all sizes from 1 on, equal ones, subsets, and pairs exactly at the limit."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 62, 60)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(1, 61)] if seed % 2 else base[rng.random(60) > 0.12], rng.integers(0, 1 << 62, rng.integers(0, 9))])) for _ in range(70)]
+    sets += [base[:8], base[:10], base[10:11], base[10:11], base[11:13], base[:40], base[:50], sets[0]]
+    filed = x.Filed(np.concatenate(sets), np.array([len(s) for s in sets]))
+    whole = [set(s.tolist()) for s in sets]
+    for k, own in enumerate(whole):
+        assert filed.linked(k).tolist() == [j for j, other in enumerate(whole) if j != k and 100 * len(own & other) >= 80 * len(own | other)]
+
+
+def test_comparisons_in_growing_families_of_unlinked_texts():
+    """Texts with a frame in common, at 0.70 to 0.79 to each other: none is compared with another, however many there are."""
+    for shared in (168, 176, 180):
+        for n in (250, 1_000, 4_000):
+            own = np.arange(n * 40).reshape(n, 40)[:, : 204 - shared] + 1_000
+            filed = x.Filed(np.concatenate([np.concatenate([np.arange(shared), o]) for o in own]), np.full(n, 204))
+            assert sum(len(filed.near(k)) for k in range(0, n, 10)) == 0
+    own[1, :23] = own[0, :23]
+    filed = x.Filed(np.concatenate([np.concatenate([np.arange(shared), o]) for o in own]), np.full(n, 204))
+    assert (filed.near(0).tolist(), filed.linked(0).tolist(), filed.near(7).tolist()) == ([1], [1], [])
+
+
 def test_a_union_that_is_emptied_again_and_again(spark, monkeypatch):
     """Edges that leave early still make the same classes."""
     monkeypatch.setattr(x, "HELD_IDS", 3)
