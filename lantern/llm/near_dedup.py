@@ -56,7 +56,7 @@ PLACE = 16
 #: Nodes, and shingles of all its nodes, of a group that one task solves by itself.
 NODES, SHINGLES = 1024, 1 << 20
 #: The same of a side of a block of unsettled nodes.
-BLOCK_NODES, BLOCK_SHINGLES = 4096, 1 << 21
+BLOCK_NODES, BLOCK_SHINGLES = 1024, 1 << 20
 #: Orders along which larger groups are read in windows of that size.
 RUNS = 2
 #: Equal values that a candidate needs: 128 * 0.8 less 5 standard deviations.
