@@ -83,3 +83,17 @@ def test_many_searches_are_the_single_ones(spark, tables, tmp_path):
         assert total[i] == one.total(), strings[i]
         assert [x for x, _ in page.get(i, [])] == [x["id"] for x in got], strings[i]
     assert max(total.values()) > 50 and min(total.values()) == 0
+
+
+def test_places_meet_once_and_their_pairs_are_dealt(spark, monkeypatch):
+    """Many points and venues at few places: as many meetings as places of both, over all partitions, though their bytes are few."""
+    monkeypatch.setattr(many, "HOT_POINTS", 50)
+    points = spark.range(2000).select(F.col("id").alias("request"), (48 + F.col("id") % 5 / 100).alias("lat"), F.lit(2.0).alias("lng"), (F.col("id") % 3 + 0.5).alias("radius_km"))
+    venues = spark.range(600).select("id", (48 + F.col("id") % 6 / 100).alias("lat"), F.lit(2.0).alias("lng"))
+    met = many.meetings(points, venues)
+    places = met.selectExpr("_asked[0].request % 5 AS a", "_nears[0] % 6 AS b").collect()
+    assert len(places) == len(set(places)) < 30
+    assert met.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sum(met.rdd.mapPartitions(lambda rows: [any(True for _ in rows)]).collect()) > 1
+    want = sum(400 * 100 for a in range(5) for b in range(6)) - sum(1 for q in range(2000) for b in range(6) if km((48 + q % 5 / 100, 2.0), (48 + b / 100, 2.0)) > q % 3 + 0.5) * 100
+    assert many.each_near(met).count() == want
