@@ -9,8 +9,8 @@ documents from marked junk, a lost good document costing ``CARE`` times a kept b
 draw: equal texts get equal verdicts.
 
 The raw counts are over all documents, those of the target over all documents of quality 1 but for a third that is kept
-out, both over whole texts. Only the threshold comes from a bounded sample, ``TRUSTED`` of the kept-out documents and
-``JUNK`` of quality 0. Ids of labelled rows are broadcast up to ``BROADCAST_ROWS`` of them.
+out, both over whole texts. The threshold comes from all kept-out documents and all of quality 0: their scores are counted by
+value, in bins of which each is summed by itself. Ids of labelled rows are broadcast up to ``BROADCAST_ROWS`` of them.
 
 Defined results: a null or empty text has no words and fails the base rules; a text without a run has score
 0; a very long text is counted whole, by itself; without labels of both kinds nothing is dropped beyond the base
@@ -27,15 +27,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lantern.llm.common import remove, ship, small_or_plain, table, workspace, written
 
 GRAM, BUCKETS, M, CARE = 4, 1 << 16, 4.0, 20.0
-#: The bound of the sample of labelled rows for the threshold: documents of quality 1 and of quality 0.
-TRUSTED, JUNK = 4_000, 4_000
+#: Scores, which have six decimals, are counted in bins of a thousandth; there are fewer bins than 100,000, as the logarithms of counts are small.
+BIN = 1_000
 #: Labelled ids up to which their table (some 20 bytes a row) is broadcast; beyond, the join is shuffled.
 BROADCAST_ROWS = 500_000
 #: The base rules.
@@ -131,16 +131,13 @@ class Ratios:
 
 
 def marked(labels: DataFrame, id: str) -> DataFrame:
-    """Ids of labelled rows: those of the target (``_trusted``), and the sample for the threshold, in a hashed order."""
+    """Ids of all labelled rows, and which are of the target (``_trusted``); the others set the threshold."""
     known = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col(id).alias("_id")).agg(F.min("quality").alias("_quality"))
-    known = known.withColumn("_trusted", (F.col("_quality") == 1) & (F.pmod(F.xxhash64(F.lit(4), F.col("_id")), F.lit(3)) != 0))
-    order = [F.xxhash64(F.lit(3), F.col("_id")), F.col("_id")]
-    some = lambda q, n: known.where((F.col("_quality") == q) & ~F.col("_trusted")).orderBy(*order).limit(n)
-    return known.where("_trusted").unionAll(some(1, TRUSTED)).unionAll(some(0, JUNK))
+    return known.withColumn("_trusted", (F.col("_quality") == 1) & (F.pmod(F.xxhash64(F.lit(4), F.col("_id")), F.lit(3)) != 0))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> Ratios:
-    """Count all ``docs`` and those that ``labels`` (``id``, ``quality``) trusts; set the threshold on a sample."""
+    """Count all ``docs`` and those that ``labels`` (``id``, ``quality``) trusts; set the threshold on the other labelled ones."""
     spark = docs.sparkSession
     ship(spark)
     folder = workspace(spark)
@@ -169,22 +166,30 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     for b, r, t in sums:
         raw[b], target[b] = r, t
     ratios = Ratios(np.log((target + M) / (raw * (target.sum() / max(1.0, raw.sum())) + M)).astype(np.float32).tobytes())
-    sample = F.broadcast(known.where("NOT _trusted").select("_id", "_quality"))  # bounded by TRUSTED + JUNK rows
-    tried = score(all_rows.join(sample, "_id").select("_id", "_quality", F.col("_text").alias("text")), ratios).where(~base_failed())
-    found = tried.groupBy("_id").agg(F.first("_quality"), F.min("score")).select("first(_quality)", "min(score)").collect()  # one row an id of the sample
+    others = small_or_plain(known.where("NOT _trusted").select("_id", "_quality"), BROADCAST_ROWS)
+    tried = score(all_rows.join(others, "_id").select("_id", "_quality", F.col("_text").alias("text")), ratios).where(~base_failed())
+    found = tried.groupBy("_id").agg(F.first("_quality").alias("quality"), F.min("score").alias("score"))
+    least = threshold(written(found.groupBy("score").agg(F.sum("quality").alias("good"), F.sum(1 - F.col("quality")).alias("bad")), folder, "scores"))
     remove(spark, folder)
-    return Ratios(ratios.table, _threshold([s for q, s in found if q == 1], [s for q, s in found if q == 0]))
-
-
-def _threshold(good: list[float], bad: list[float]) -> float:
-    """The value between scores that costs least; at equal costs the lowest."""
-    if not good or not bad:
+    return Ratios(ratios.table, least)
+
+
+def threshold(scores: DataFrame) -> float:
+    """The value between scores (``score, good, bad``: how many have each) that costs least; at equal costs the lowest."""
+    binned = scores.withColumn("bin", F.floor(F.col("score") * BIN))
+    bins = binned.groupBy("bin").agg(F.sum("good").alias("bin_good"), F.sum("bad").alias("bin_bad"))
+    below = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # one row a bin
+    before = lambda name, window: F.coalesce(F.sum(name).over(window), F.lit(0))
+    bins = bins.select("bin", before("bin_good", below).alias("good_before"), before("bin_bad", below).alias("bad_before"))
+    all_good, all_bad = scores.agg(F.sum("good"), F.sum("bad")).first()
+    if not all_good or not all_bad:
         return float("-inf")
-    values = np.unique([*good, *bad])
-    cuts = np.concatenate([[values[0] - 1], (values[1:] + values[:-1]) / 2])
-    lost = np.searchsorted(np.sort(good), cuts) / len(good)
-    kept = 1 - np.searchsorted(np.sort(bad), cuts) / len(bad)
-    return float(cuts[np.argmin(CARE * lost + kept)])
+    within = Window.partitionBy("bin").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    lost = (F.col("good_before") + before("good", within)) / F.lit(float(all_good))
+    kept = 1 - (F.col("bad_before") + before("bad", within)) / F.lit(float(all_bad))
+    best = binned.join(bins, "bin").select("score", (CARE * lost + kept).alias("cost")).agg(F.min(F.struct("cost", "score"))).first()[0]["score"]
+    lower = scores.where(F.col("score") < best).agg(F.max("score")).first()[0]
+    return best - 1 if lower is None else (best + lower) / 2
 
 
 def base_failed() -> Column:
