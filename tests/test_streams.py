@@ -59,3 +59,35 @@ def test_late_requests_are_dropped_and_windows_close_as_time_passes(spark, tmp_p
     assert send((8, "c", at(60))) == [("a", at(0), 3), ("a", at(20), 1), ("b", at(24), 2)]
     over = limits.anchored(spark.readStream.schema(SCHEMA).parquet(source), "key", "1 day").where(F.col("n") > ratelimit.LOGIN_LIMIT)
     assert rows_of(limits.drain(over, f"{folder}2")) == []
+
+
+def test_calls_of_the_state_grow_with_keys_not_with_requests():
+    """A key's requests are stored, and folded, by a few calls however many they are."""
+
+    class Calls:
+        def __init__(self):
+            self.made, self.rows, self.timers = 0, [], []
+
+        def __getattr__(self, name):
+            def call(*args):
+                self.made += 1
+                if name in ("getListState", "getValueState"):
+                    return self if name == "getListState" else Empty()
+                return {"appendList": self.rows.extend, "get": lambda: list(self.rows), "listTimers": lambda: list(self.timers), "registerTimer": self.timers.append}.get(name, lambda *a: None)(*args)
+
+            return call
+
+    class Empty:
+        exists = lambda self: False
+        clear = lambda self: None
+
+    class Times:
+        getCurrentWatermarkInMs = lambda self: 10**9
+        getExpiryTimeInMs = lambda self: 5
+
+    state, window = Calls(), limits.AnchoredWindows("key", 1)
+    window.init(state)
+    list(window.handleInputRows(("a",), iter([{"_at": i * 1000} for i in range(5000)]), None))
+    found = list(window.handleExpiredTimer(("a",), Times(), Times()))
+    assert [(r["start"], r["n"]) for r in found] == [(i * 1_000_000, 1000) for i in range(5)]
+    assert state.made < 12
