@@ -1,6 +1,7 @@
 import datetime as dt
 import math
 import random
+import re
 from decimal import Decimal
 
 import pytest
@@ -97,3 +98,16 @@ def test_places_meet_once_and_their_pairs_are_dealt(spark, monkeypatch):
     assert sum(met.rdd.mapPartitions(lambda rows: [any(True for _ in rows)]).collect()) > 1
     want = sum(400 * 100 for a in range(5) for b in range(6)) - sum(1 for q in range(2000) for b in range(6) if km((48 + q % 5 / 100, 2.0), (48 + b / 100, 2.0)) > q % 3 + 0.5) * 100
     assert many.each_near(met).count() == want
+
+
+def test_no_loop_holds_the_rows_of_many_meetings(spark):
+    """The join of places is not compiled into one loop with the rows made of its meetings, and places are dealt by their number."""
+    points = spark.range(300).select(F.col("id").alias("request"), F.lit(48.0).alias("lat"), (2 + F.col("id") % 3 / 100).alias("lng"), F.lit(50.0).alias("radius_km"))
+    venues = spark.range(900).select("id", (48 + F.col("id") % 30 / 1000).alias("lat"), F.lit(2.0).alias("lng"))
+    found = many.near_many(points, venues)
+    assert len(found.collect()) == 300 * 900
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    stage = lambda line: re.search(r"\*\((\d+)\)", line).group(1)
+    makes = {stage(x) for x in plan.splitlines() if re.search(r"Generate explode\(_(asked|nears)", x)}
+    joins = [x for x in plan.splitlines() if "Join" in x and "part_of_points" in x]
+    assert makes and joins and all("*(" in x and stage(x) not in makes for x in joins)
