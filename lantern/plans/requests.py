@@ -110,3 +110,12 @@ def parsed(requests: DataFrame, query: str = "query") -> DataFrame:
     split = requests.withColumn("_told", shape.let(given, whole))
     kept = [c for c in requests.columns if c not in ("params", "bad")]
     return split.select(*kept, F.when(F.col("_told.bad").isNull(), F.col("_told.params")).alias("params"), F.col("_told.bad").alias("bad"))
+
+
+def parsed_once(requests: DataFrame, query: str = "query") -> DataFrame:
+    """As ``parsed``, but a query string is read once for all requests that send it; for tables in which many do."""
+    # a number of its own, as reading takes long for few bytes
+    parts = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    read = parsed(requests.select(F.col(query).alias("_said")).repartition(parts, "_said").distinct(), "_said")
+    kept = [c for c in requests.columns if c not in ("params", "bad")]
+    return requests.select(*kept).join(read, F.col(query).eqNullSafe(F.col("_said"))).drop("_said")

@@ -2,8 +2,8 @@
 
 Most requests fit a large part of all events, so pairs of both grow with their product. Here events are dealt into segments, by
 category, by venue and over all, and requests to those that they can fit. In a segment, sorted by start date and id, a test's
-value is a bitmap; a request is the conjunction of a few, its total the number of bits and its page among the first of them.
-Texts are compared once for each different text that is sought. Segments and parts of requests are of bounded size.
+value is a bitmap; a search is the conjunction of a few, its total the number of bits and its page among the first of them.
+Equal searches of many requests are one. Texts are compared once for each different text that is sought. Segments and parts of searches are of bounded size.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lantern.operators import predicates as p
@@ -23,8 +23,8 @@ from lantern.plans.search import Tables
 from lantern.sources.schema import SETTINGS
 from lantern.sources.shared import written
 
-#: Events of a segment, requests of a part, and bytes of bitmaps that are kept.
-SEGMENT, PART, KEPT = 1 << 18, 1 << 14, 64_000_000
+#: Events of a segment, searches of a part, and bytes of bitmaps that are kept.
+SEGMENT, PART, KEPT = 1 << 18, 1 << 16, 64_000_000
 #: Texts that are sought in an event at once; rows of a batch that leaves.
 TEXTS, BATCH = 100, 1 << 16
 LOW, HIGH = -(2**31), 2**31 - 1
@@ -46,7 +46,9 @@ def _events(events: DataFrame, asked: DataFrame) -> DataFrame:
     texts = asked.where("_q IS NOT NULL").select("_q").distinct()
     lists = -(-texts.count() // TEXTS)
     own = F.array().cast("array<string>")
-    if lists:
+    if lists == 1:
+        own = F.filter(F.array(*(F.lit(r["_q"]) for r in texts.collect())), lambda q: p.any_contains([c("title"), c("description")], q))
+    elif lists:
         listed = texts.groupBy(F.pmod(F.xxhash64("_q"), F.lit(lists)).alias("_list")).agg(F.collect_list("_q").alias("_qs"))
         met = rows.select("id", "title", "description", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lists - 1).cast("long"))).alias("_list")).join(listed, "_list")
         met = met.select("id", F.explode(F.filter("_qs", lambda q: p.any_contains([c("title"), c("description")], q))).alias("_q"))
@@ -81,18 +83,30 @@ def tallied(tables: Tables, requests: DataFrame, as_of: dt.date, folder: str) ->
     # by category where one is asked for
     kind = F.when(c("_category").isNull(), 0).otherwise(1)
     far = asked.where(~located).select("request", F.lit(None).cast("double").alias("km"), kind.alias("_kind"), F.coalesce("_category", F.lit(0)).alias("_value"), *carried)
-    asked = written(near.unionByName(far), folder, "asked")
+    asked = written(near.unionByName(far).select("request", "km", "_first", F.struct(*KEY, *TESTS).alias("_same")), folder, "asked")
+    # one search for all requests that are equal but for their page, with its first rows up to the last page of any
+    searches = written(asked.groupBy("_same").agg(F.max("_first").alias("_first")).withColumn("_search", F.monotonically_increasing_id()), folder, "searches")
+    found = written(_found(events, searches.select("_search", "_first", "_same.*"), folder), folder, "tiles")
+    whole = Window.partitionBy("_search")
+    ranked = found.select("_search", "id", "dateStart", F.sum("n").over(whole).alias("n"), F.row_number().over(whole.orderBy(c("dateStart").asc_nulls_first(), "id")).alias("_rank"))
+    asked = asked.join(searches.select("_same", "_search"), "_same").select("request", "km", "_first", "_search")
+    # the first row of a request and search says how many there are
+    return asked.join(ranked, "_search").where("_rank <= _first").select("request", F.when(c("_rank") == 1, c("n")).otherwise(0).alias("n"), "id", "dateStart", "km")
+
+
+def _found(events: DataFrame, searches: DataFrame, folder: str) -> DataFrame:
+    """``_search, n, id, dateStart``: the events that fit a search in each segment, their number in the first of its rows there."""
+    c = F.col
     filed = events.select("*", _keys((0, F.lit(0)), (1, c("_kin")), (2, c("venueId")))).select("*", "_key.*").drop("_key", "venueId")
     count = lambda rows, size, name: rows.groupBy(*KEY).agg(F.ceil(F.count(F.lit(1)) / size).alias(name))
-    dealt = written(count(filed, SEGMENT, "_segments").join(count(asked, PART, "_parts"), KEY), folder, "dealt")
+    dealt = written(count(filed, SEGMENT, "_segments").join(count(searches, PART, "_parts"), KEY), folder, "dealt")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), c(n) - 1))
     one = lambda key, n: F.pmod(F.xxhash64(key), c(n))
     left = filed.join(dealt, KEY).select("*", one("_id", "_segments").alias("_segment"), every("_parts").alias("_part")).drop("_segments", "_parts")
-    right = asked.join(dealt, KEY).select("*", one("request", "_parts").alias("_part"), every("_segments").alias("_segment")).drop("_segments", "_parts")
-    kind = asked.schema["request"].dataType.simpleString()
-    both = left.unionByName(right, allowMissingColumns=True).repartition(int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")), *TILE)
-    both = both.select(*TILE, "_id", *FACTS, "request", "km", "_first", *TESTS)
-    return both.groupBy(*TILE).applyInArrow(_tile, f"request {kind}, n long, id long, dateStart date, km double")
+    right = searches.join(dealt, KEY).select("*", one("_search", "_parts").alias("_part"), every("_segments").alias("_segment")).drop("_segments", "_parts")
+    both = left.unionByName(right, allowMissingColumns=True).repartition(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), *TILE)
+    both = both.select(*TILE, "_id", *FACTS, "_search", "_first", *TESTS)
+    return both.groupBy(*TILE).applyInArrow(_tile, "_search long, n long, id long, dateStart date")
 
 
 def totals(requests: DataFrame, found: DataFrame) -> DataFrame:
@@ -146,17 +160,21 @@ class Segment:
 
 
 def first_bits(bits: np.ndarray, n: int) -> np.ndarray:
-    """The places of the first ``n`` bits."""
-    octets = bits.view(np.uint8)
+    """The places of the first ``n`` bits; most lie near the beginning, so a little is read before all."""
+    octets = bits[: 8 * n].view(np.uint8)
     at = np.flatnonzero(octets)[:n]
+    if len(at) < n:
+        octets = bits.view(np.uint8)
+        at = np.flatnonzero(octets)[:n]
     return np.flatnonzero(np.unpackbits(octets[at]))[:n] % 8 + 8 * np.repeat(at, np.bitwise_count(octets[at]))[:n]
 
 
 def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The totals and first rows of each request of a part in one segment."""
+    """The totals and first rows of each search of a part in one segment."""
     rows = pa.Table.from_batches(list(batches))
     is_event = rows["_id"].is_valid()
-    events, asked = rows.filter(is_event), rows.filter(pc.invert(is_event))
+    # in an order in which bitmaps of days are needed for a while and then no more
+    events, asked = rows.filter(is_event), rows.filter(pc.invert(is_event)).sort_by([("_from", "ascending"), ("_to", "ascending")])
     low = pc.fill_null(pc.cast(events["_start"], pa.int32()), LOW)
     segment = Segment(events.append_column("_low_start", low))
     by_category = asked["_kind"][0].as_py() == 1
@@ -172,7 +190,7 @@ def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(len(places), np.int64)
         n[begins] = n_of
         take = lambda name: asked[name].take(which).combine_chunks()
-        return pa.RecordBatch.from_arrays([take("request"), pa.array(n), segment.ids.take(places), segment.starts.take(places), take("km")], names=["request", "n", "id", "dateStart", "km"])
+        return pa.RecordBatch.from_arrays([take("_search"), pa.array(n), segment.ids.take(places), segment.starts.take(places)], names=["_search", "n", "id", "dateStart"])
 
     for i, values in enumerate(zip(*columns, strict=True)):
         bits = segment.fits(dict(zip(names, values, strict=True)))

@@ -54,3 +54,30 @@ def test_totals_and_pages_are_those_of_all_pairs(spark, tables, tmp_path, monkey
     sizes = {r["request"]: r["n"] for r in asked.where("params IS NOT NULL").selectExpr("request", "params.page * params.page_size AS n").collect()}
     if segment > 1000:
         assert all(r["count"] <= 4 * sizes[r["request"]] for r in found.groupBy("request").count().collect())
+
+
+def test_equal_searches_are_answered_once(spark, tables, tmp_path):
+    """Many requests of a few searches, on different pages: one search each, read once, with every request's own page; a null query string too."""
+    rows = [event(i, isFree=i % 3 == 0, price=Decimal(i % 20), venueId=i % 4 + 1, categoryId=i % 5 + 1, dateStart=dt.date(YEAR, 1, 1 + i % 9)) for i in range(1, 120)]
+    t, folder = tables | {"events": inline(spark, "events", rows)}, f"file://{tmp_path}"
+    strings = [None, "page=3&pageSize=7", "categoryId=2&pageSize=4", "categoryId=2&page=2&pageSize=4", "lat=48.85&lng=2.35&radiusKm=20&free=true&pageSize=5", "page=0"]
+    sent = spark.createDataFrame([(i, strings[i % 6]) for i in range(600)], "request long, query string")
+    asked = written(requests.parsed_once(sent), folder, "requests")
+    as_text = lambda df: sorted(map(repr, df.select("request", "query", "params", "bad").collect()))
+    assert as_text(asked) == as_text(requests.parsed(sent))
+    pairs, found = written(many.matches(t, asked, TODAY), folder, "pairs"), written(tally.tallied(t, asked, TODAY, folder), folder, "found")
+    near = pairs.where("request = 4").join(t["events"].select("id", "venueId"), "id").select("venueId").distinct().count()
+    assert near and spark.read.parquet(f"{folder}/searches").count() == 2 + near
+    rows_of = lambda df: sorted(map(tuple, df.collect()))
+    assert rows_of(tally.totals(asked, found)) == rows_of(many.totals(asked, pairs))
+    page = lambda found: rows_of(many.pages(asked, found).select("request", "place", "id", F.coalesce("km", F.lit(-1.0))))
+    assert page(found) == page(pairs) and len(page(found)) > 1000
+
+
+def test_few_and_many_texts_are_found_alike(spark, tables, monkeypatch):
+    rows = [event(i, title=("Été au parc", "Musée", "ete", "Sport 100%")[i % 4], description=("au soleil", "rien")[i % 2]) for i in range(1, 40)]
+    events, asked = inline(spark, "events", rows), spark.createDataFrame([("ete",), ("MUSEE",), ("100%",), ("soleil",), (None,), ("nowhere",)], "_q string")
+    found = lambda: sorted((r["_id"], sorted(r["_texts"])) for r in tally._events(events, asked).collect())
+    few = found()
+    monkeypatch.setattr(tally, "TEXTS", 2)
+    assert found() == few and few[0] == (1, ["MUSEE"]) and few[1] == (2, ["ete", "soleil"])
