@@ -111,3 +111,5 @@ def test_no_loop_holds_the_rows_of_many_meetings(spark):
     makes = {stage(x) for x in plan.splitlines() if re.search(r"Generate explode\(_(asked|nears)", x)}
     joins = [x for x in plan.splitlines() if "Join" in x and "part_of_points" in x]
     assert makes and joins and all("*(" in x and stage(x) not in makes for x in joins)
+    # points of few bytes are not copied to the tasks of the venues, as few tasks would have all pairs
+    assert all("SortMergeJoin" in x for x in joins)
